@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -27,3 +33,18 @@ def build_session(app: str = "tamarack", master: str | None = None, shuffle_part
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table ``name`` below ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python, once per context, so that it need not be installed there."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tamarack_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="tamarack-ship-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/tamarack.zip", "w", zipfile.ZIP_DEFLATED) as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, f"tamarack/{path.relative_to(root)}")
+    sc.addPyFile(f"{folder}/tamarack.zip")
+    sc._tamarack_shipped = True
