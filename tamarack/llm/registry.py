@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from tamarack.llm import substring
+from tamarack.llm import decontaminate, jaccard, quality_rules, substring
 
 QUERIES = {
     "op4_substring_dedup": substring.op4_substring_dedup,
+    "op6_ngram_jaccard_join": jaccard.op6_ngram_jaccard_join,
+    "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
 }
 SQL = {
     "op4_substring_dedup": substring.OP4_SQL,
+    "op6_ngram_jaccard_join": jaccard.OP6_SQL,
 }
