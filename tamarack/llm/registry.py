@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tamarack.llm import decontaminate, jaccard, quality_rules, substring
+from tamarack.llm import cotrain, decontaminate, jaccard, language, quality_rules, substring
 
 QUERIES = {
+    "op1_language_id": language.op1_language_id,
     "op4_substring_dedup": substring.op4_substring_dedup,
     "op6_ngram_jaccard_join": jaccard.op6_ngram_jaccard_join,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
+    "op9_quality_classifier": cotrain.op9_quality_classifier,
 }
 SQL = {
     "op4_substring_dedup": substring.OP4_SQL,
