@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from tamarack.llm import cotrain, decontaminate, jaccard, language, quality_rules, substring
+from tamarack.llm import chat, cotrain, decontaminate, jaccard, language, mixing, quality_rules, secrets, sharding, substring
 
 QUERIES = {
     "op1_language_id": language.op1_language_id,
+    "op2_chat_format": chat.op2_chat_format,
+    "op3_sharding": sharding.op3_sharding,
     "op4_substring_dedup": substring.op4_substring_dedup,
+    "op5_mixing": mixing.op5_mixing,
     "op6_ngram_jaccard_join": jaccard.op6_ngram_jaccard_join,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
     "op9_quality_classifier": cotrain.op9_quality_classifier,
+    "op10_secret_scan": secrets.op10_secret_scan,
 }
 SQL = {
+    "op2_chat_format": chat.OP2_SQL,
     "op4_substring_dedup": substring.OP4_SQL,
+    "op5_mixing": mixing.OP5_SQL,
     "op6_ngram_jaccard_join": jaccard.OP6_SQL,
 }
