@@ -33,6 +33,17 @@ def text_key(text: Column) -> Column:
     return F.hash(text)
 
 
+def matched(docs: DataFrame, picked: DataFrame, key: Column) -> DataFrame:
+    """The rows of ``docs`` whose (doc_id, ``key``) is in ``picked`` (doc_id, key, ...), each such pair once.
+
+    Further columns of ``picked`` come along. Join and removal of repeats share one partitioning.
+    """
+    own = ["__tm_id", "__tm_none", "__tm_key"]
+    ids = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias(own[0]), F.col("doc_id").isNull().alias(own[1])]
+    rows = docs.select("*", *ids, key.alias(own[2]))
+    return rows.join(picked.select(*ids, F.col("key").alias(own[2]), *[c for c in picked.columns if c not in ("doc_id", "key")]), own).dropDuplicates(own).drop(*own)
+
+
 def encoded(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 bytes of each text; null is empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

@@ -126,20 +126,25 @@ def _verdict(found: dict[int, float], ids: np.ndarray, threshold: float) -> tupl
 SCHEMA = "doc_id long, key int, contaminated boolean, coverage double, n_items long, item_ids array<long>"
 
 
+def _judged(texts: list[bytes], items: Items, threshold: float) -> list[tuple[float, int, list[int]]]:
+    """Best coverage, and number and list of the items over the threshold, of each text."""
+    _, _, hashes, counts = hashing.words(folded(texts), SEPARATORS)[1:]
+    grams = hashing.ngrams(hashes, items.least)
+    at = np.searchsorted(items.grams, grams)
+    hit = np.zeros(len(grams), bool)
+    near = at < len(items.grams)
+    hit[near] = items.grams[at[near]] == grams[near]
+    hit &= hashing.within(counts, items.least)
+    some = set(np.unique(hashing.owner(counts)[: len(grams)][hit]).tolist())
+    ends = np.cumsum(counts)
+    return [_verdict(items.covered(hashes[ends[i] - counts[i] : ends[i]]) if i in some else {}, items.ids, threshold) for i in range(len(texts))]
+
+
 def _scan(sent, least: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(sent.value, least)
         for batch, texts in common.sliced(batches, "text", hashing.PIECE):
-            _, _, hashes, counts = hashing.words(folded(texts), SEPARATORS)[1:]
-            grams = hashing.ngrams(hashes, least)
-            at = np.searchsorted(items.grams, grams)
-            hit = np.zeros(len(grams), bool)
-            near = at < len(items.grams)
-            hit[near] = items.grams[at[near]] == grams[near]
-            hit &= hashing.within(counts, least)
-            some = set(np.unique(hashing.owner(counts)[: len(grams)][hit]).tolist())
-            ends = np.cumsum(counts)
-            rows = [_verdict(items.covered(hashes[ends[i] - counts[i] : ends[i]]) if i in some else {}, items.ids, threshold) for i in range(len(texts))]
+            rows = _judged(texts, items, threshold)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("key"), pa.array([r[1] > 0 for r in rows], pa.bool_()), pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))],
                 names=["doc_id", "key", "contaminated", "coverage", "n_items", "item_ids"],
@@ -173,6 +178,13 @@ def _pairs(least: int):
     return run
 
 
+def _sent(spark: SparkSession, benchmark: DataFrame, sent_bytes: int):
+    """The items with id and text, and a broadcast of them if their measured size allows it, else None."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null and item_id is not null")
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0)).alias("n")).head().n
+    return items, spark.sparkContext.broadcast([(r.item_id, r.text.encode()) for r in items.collect()]) if size <= sent_bytes else None
+
+
 def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, least: int = LEAST, threshold: float = THRESHOLD, sent_bytes: int = SENT_BYTES) -> DataFrame:
     """One row per document: doc_id, key, contaminated, coverage (the best item's), n_items, item_ids (sorted).
 
@@ -182,10 +194,8 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, lea
     answers. Other columns are not read. An empty benchmark leaves all documents clean.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(common.text_key(F.col("text")), F.lit(0)).alias("key"), "text")
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null and item_id is not null")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0)).alias("n")).head().n
-    if size <= sent_bytes:
-        sent = spark.sparkContext.broadcast([(r.item_id, r.text.encode()) for r in items.collect()])
+    items, sent = _sent(spark, benchmark, sent_bytes)
+    if sent is not None:
         return texts.mapInArrow(_scan(sent, least, threshold), SCHEMA)
     tables = Scratch(spark, "decontaminate")
     seeds = items.mapInArrow(_seeds("item_id", least), "item_id long, gram long").distinct()
@@ -200,5 +210,21 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, lea
     )
 
 
+def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, least: int = LEAST, threshold: float = THRESHOLD, sent_bytes: int = SENT_BYTES) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``contaminated`` does not flag."""
+    sent = _sent(spark, benchmark, sent_bytes)[1]
+    if sent is not None:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            items = Items(sent.value, least)
+            for batch, texts in common.sliced(batches, "text", hashing.PIECE):
+                yield batch.filter(pa.array([r[1] == 0 for r in _judged(texts, items, threshold)], pa.bool_()))
+
+        return docs.mapInArrow(run, docs.schema)
+    found = contaminated(spark, docs, benchmark, least, threshold, sent_bytes).where("contaminated").select("doc_id", "key").distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(found["doc_id"]) & (F.coalesce(common.text_key(docs["text"]), F.lit(0)) == found["key"])
+    return docs.join(found, same, "left_anti")
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(spark, common.load(spark, sf_dir, "documents"), common.load(spark, sf_dir, "benchmark")).drop("key")

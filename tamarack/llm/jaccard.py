@@ -251,6 +251,17 @@ def similar(spark: SparkSession, docs: DataFrame, k: int = SHINGLE, threshold: f
     return out.unionByName(wordless)
 
 
+def distinct(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, with all their columns, less all but one of each group of ``similar``: that of the least doc_id.
+
+    Of repeated rows one stays; rows without words all stay, as they are in no group.
+    """
+    groups = similar(spark, docs, **options)
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
+    stay = groups.where("group is not null").groupBy("group").agg(F.min(first).alias("at")).select("at.doc_id", "at.key")
+    return common.matched(docs.where(F.col("text").rlike(common.WORD)), stay, F.coalesce(common.text_key(F.col("text")), F.lit(0))).unionByName(docs.where(F.col("text").isNull() | ~F.col("text").rlike(common.WORD)))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar(spark, common.load(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_text_links")
 

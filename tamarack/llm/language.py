@@ -199,5 +199,19 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model | None = None, *
     return rows.mapInArrow(_predict(sent), "doc_id long, key int, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
+def accepted(spark: SparkSession, docs: DataFrame, model: Model | None = None, **options) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``identify`` does not reject."""
+    model = model or fit(docs, **options)
+    sent = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
+        for batch, texts in common.sliced(batches, "text", _CHUNK):
+            lettered = np.array([bool(_LETTER.search(t.decode("utf-8", "replace"))) for t in texts], bool)
+            yield batch.filter(pa.array(lettered & (own.scores(texts).max(axis=1) >= own.least) if own else np.zeros(len(texts), bool)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(spark, common.load(spark, sf_dir, "documents")).drop("key")

@@ -135,6 +135,13 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS
     return placed.select("doc_id", "order_key", "source", "size", "source_size", "target", F.transform(copy, draw).alias("draws"))
 
 
+def mixed(spark: SparkSession, docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
+    """The rows of ``docs``, with all their columns, each as often as ``mix`` takes it."""
+    taken = mix(spark, docs, seed=seed, **options).groupBy("doc_id", F.col("order_key").alias("key")).agg(F.sum(F.size("draws")).cast("int").alias("__tm_times")).where("__tm_times > 0")
+    rows = common.matched(docs, taken, permutation(F.col("doc_id"), F.col("text"), seed))
+    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), "__tm_times")).alias("__tm_turn")).drop("__tm_turn")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark, common.load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"))
 
