@@ -24,7 +24,7 @@ from tamarack.llm.decontaminate import SEPARATORS, folded
 
 BUCKETS, META_BUCKETS = 1 << 17, 1 << 12
 #: Labelled rows of each class, and unlabelled rows, that training may use.
-ROWS_EACH, POOL = 2500, 2000
+ROWS_EACH, POOL = 2000, 1500
 ROUNDS, TAKEN, SURE = 3, 100, 0.95
 #: Share of good held-out rows that the fitted least score may lose.
 LOST = 0.005
@@ -166,7 +166,9 @@ class Model:
 
 def cotrain(texts: list[bytes], source: list, lang: list, size: list, truth: np.ndarray, held: np.ndarray, rounds: int = ROUNDS, taken: int = TAKEN, sure: float = SURE) -> Model:
     """``truth``: 1, 0, or -1 for rows without a label; labelled rows in ``held`` only calibrate and combine."""
-    ids, per, form = text_features(texts)
+    parts = [text_features(texts[lo:hi]) for lo, hi in hashing.slices([len(t) for t in texts], hashing.PIECE)]
+    ids, per, form = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    ids = ids.astype(np.int32)
     often = np.bincount(ids, minlength=BUCKETS) >= min(LEAST_ROWS, len(texts) / 50)
     ends = np.cumsum(per)
     rows = [[((own := ids[e - n : e])[often[own]], f) for e, n, f in zip(ends, per, form, strict=True)], [(r, np.empty(0)) for r in meta_features(source, lang, size)]]
@@ -217,11 +219,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows_each: int = ROWS_EACH, pool: in
     chosen = F.broadcast(picked.unionByName(others).dropDuplicates(["doc_id"]))  # bounded by rows_each and pool
     sample = docs.select("doc_id", "text", "source", "lang", "n_chars").join(chosen, "doc_id").dropDuplicates(["doc_id"]).collect()
     sample.sort(key=lambda r: r.doc_id)
+    texts, metas = [(r.text or "").encode() for r in sample], [[r[c] for r in sample] for c in ("source", "lang", "n_chars")]
     held = np.array([h % 4 == 0 for h in hashing.mix(np.array([r.doc_id for r in sample], dtype=np.int64).view(np.uint64)).tolist()], bool)
     truth = np.array([r.good for r in sample])
+    del sample
     if len(set(truth[~held & (truth >= 0)].tolist())) < 2 or len(set(truth[held & (truth >= 0)].tolist())) < 2:
-        held = np.zeros(len(sample), bool)
-    return cotrain([(r.text or "").encode() for r in sample], [r.source for r in sample], [r.lang for r in sample], [r.n_chars for r in sample], truth, held, **options)
+        held = np.zeros(len(texts), bool)
+    return cotrain(texts, *metas, truth, held, **options)
 
 
 def _score(sent, least: float | None):
