@@ -1,0 +1,46 @@
+import re
+
+from pyspark.sql import functions as F
+
+from tamarack.llm import secrets
+
+HEX = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+
+
+def test_scan_and_redact(spark):
+    texts = [
+        (1, f'été of the token = "{HEX}" and more', "src0"), (2, f"commit {HEX} by them", "src0"), (3, "card 4785380592391139 here", None), (4, None, "a"), (5, "", None), (6, f'token = "{HEX}" token = "{HEX[::-1]}"', "x"),
+        (7, "nothing at all to see", "x"), (8, "password: hunter!xxpq", "x"), (9, "w" * 100_000 + f' secret="{HEX}" ' + "v1" * 50_000, "x"), (2, "repeated", "x"), (10, "see https://www.example.com/articles/page-123/the-and-for", "web"),
+    ]
+    docs = spark.createDataFrame([(*t, 1, "c") for t in texts], "doc_id long, text string, source string, score int, value string")
+    rows = secrets.scan(spark, docs).collect()
+    said = {t[0]: t[1] for t in texts if t[1] != "repeated"}
+    for r in rows:
+        assert said[r.doc_id][r.start : r.start + len(r.value)] == r.value and 0 <= r.score <= 1
+    found = {(r.doc_id, r.place): r.is_secret for r in rows}
+    assert found[(1, 0)] and found[(6, 0)] and found[(6, 1)] and found[(9, 0)]
+    assert not found[(2, 0)] and not found[(3, 0)] and not any(v for k, v in found.items() if k[0] == 10)
+    masked = {r.doc_id: r.text for r in secrets.redact(docs.where("text is null or text <> 'repeated'"), secrets.scan(spark, docs)).collect()}
+    assert masked[1] == 'été of the token = "[secret]" and more' and masked[2] == said[2] and masked[4] is None
+    assert masked[6] == 'token = "[secret]" token = "[secret]"'
+
+
+def test_held_out_findings(spark):
+    findings = secrets.labelled_findings(spark, 40)
+    model = secrets.train(findings)
+    other = secrets.labelled_findings(spark, 25, seed=99)
+    from pyspark.ml.feature import VectorAssembler
+
+    scored = model.transform(VectorAssembler(inputCols=list(secrets.FEATURES), outputCol="features").transform(other.select("label", *secrets.features(F.col("value"), F.col("left"), F.col("right"), F.col("path")))))
+    assert scored.agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).head()[0] > 0.97
+
+
+def test_every_planted_token_is_found(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {(r.doc_id, r.value) for r in secrets.scan(spark, docs).where("is_secret").collect()}
+    want = {(r.doc_id, m) for r in docs.select("doc_id", "text").collect() for m in re.findall(r'(?i)token = "([0-9a-f]{40})"', r.text)}
+    assert want and want <= got
+
+
+def test_empty(spark, empty):
+    assert secrets.scan(spark, empty).count() == 0
