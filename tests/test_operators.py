@@ -169,3 +169,54 @@ def test_streams(spark, tmp_path):
     days = drained(limits.daily_counts(read(), "k", "ts", 5), "days", "update")
     assert {(r.k, r.n, r.over) for r in days} == {("a", 10, True), ("b", 10, True)}
     assert len(drained(limits.first_sightings(read(), ["k"], "ts"), "first")) == 2
+
+
+def test_lifecycle(spark):
+    from tamarack.operators import lifecycle as life
+
+    stored = spark.createDataFrame([(1, 7, 0.6, "pending"), (1, 8, 0.7, "kept_apart")], "record_id long, business_id long, score double, status string")
+    found = spark.createDataFrame([(1, 7, 0.9), (1, 8, 0.9), (2, 7, 0.5)], "record_id long, business_id long, score double")
+    now = life.upsert_candidates(stored, found)
+    assert sorted(map(tuple, now.collect())) == [(1, 7, 0.9, "pending"), (1, 8, 0.7, "kept_apart"), (2, 7, 0.5, "pending")]
+    asked = spark.createDataFrame([(2, 7, "keep_apart"), (1, 7, "merge")], "record_id long, business_id long, decision string")
+    after = life.apply_decisions(now, asked)
+    assert sorted((r.record_id, r.business_id, r.status) for r in after.collect()) == [(1, 7, "merged"), (1, 8, "kept_apart"), (2, 7, "kept_apart")]
+    assert [r.record_id for r in life.without_home(after).collect()] == [2]
+    rows = spark.createDataFrame([(1, 1, "google_places", 5, "http://fb", None, "social_profile"), (1, 2, "zeta", 1, "http://own", "own", "own_site"), (1, 3, "zeta", 9, None, None, None)], "business_id long, record_id long, source string, observed_at int, website string, domain string, website_kind string")
+    assert life.group_survivors(rows, life.WEBSITE_GROUP, ("website", "website_kind"), life.website_rank(F.col("website_kind"))).head().website == "http://own"
+    assert [r.x for r in spark.createDataFrame([("audit-8",), ("x",)], "v string").select(life.logic_version(F.col("v")).alias("x")).collect()] == [8, None]
+    runs = spark.createDataFrame([(2, "k", NOW), (1, "k", NOW), (3, None, NOW)], "id long, idempotency_key string, created_at timestamp")
+    assert sorted(r.id for r in life.enqueued(runs).collect()) == [1, 3]
+
+
+def test_listing_comparison(spark):
+    from tamarack.operators import lifecycle as life
+
+    row = spark.createDataFrame([("+15125550123", ["512-555-0123"], "http://www.a.com/x", "https://a.com/", "https://b.com")], "p string, n array<string>, l string, f string, c string")
+    got = row.select(life.compare_phone(F.col("p"), F.col("n")).alias("phone"), life.compare_website(F.col("l"), F.col("f"), F.col("c")).alias("site"), life.compare_address(life.address_numbers(F.lit("12 A St, Suite #11"), F.lit("78701")), life.address_numbers(F.lit("12 B Rd Ste 12"), F.lit("78701-1"))).alias("home")).head()
+    assert got.phone == "match" and got.site.status == "mismatch" and got.site.differs_in == ["http", "www"]
+    assert got.home.status == "mismatch" and got.home.differs_in == ["unit"]
+    said = life.names_business(spark.createDataFrame([("UltimatePlumber.com", "Ultimate Plumber LLC"), ("Welcome", "Ann Electric"), ("Electrical", "Ann Electric"), ("x", "A B")], "t string, n string"), "t", "n").collect()
+    assert [r.names_business for r in said] == [True, False, True, None]
+    links = spark.createDataFrame([(["facebook", "x"], "facebook: https://fb.com/a; x: nothing")], "p array<string>, e string").select(life.linked_profiles(F.col("p"), F.col("e")).alias("x")).head().x
+    assert [(x.platform, x.url) for x in links] == [("facebook", "https://fb.com/a"), ("x", None)]
+
+
+def test_answers(spark):
+    from tamarack.operators import lifecycle as life
+
+    good = {"business_summary": "s", "industry": "i", "industry_matches_listing": True, "opportunities": [{"service": "seo_gbp", "confidence": 0.5, "rationale": "", "evidence": []}], "buying_intent": "explicit", "unknowns": [], "needs_human_review": False}
+    bad = [json.dumps(good), "nope", json.dumps(good | {"more": 1}), json.dumps({k: v for k, v in good.items() if k != "industry"}), json.dumps(good | {"buying_intent": "maybe"}), json.dumps(good | {"opportunities": [{"service": "a", "confidence": 2, "rationale": "", "evidence": []}]})]
+    got = [r.drift for r in life.parse_answers(spark.createDataFrame([(x,) for x in bad], "raw string")).collect()]
+    assert got == [None, "not_json", "extra_key", "missing_key", "bad_value", "bad_value"]
+
+
+def test_lead_record(spark):
+    from tamarack.operators import lifecycle as life
+
+    b = spark.createDataFrame([(1, "Ann", None, "plumbing", "Austin", "TX", "78701", "1 A St", "http://a.com", "+15125550123", ["f1", "f2"])], "business_id long, display_name string, legal_name string, industry string, city string, state string, postal_code string, address_line1 string, website string, phone_e164 string, findings array<string>")
+    a = spark.createDataFrame([(1, "SEO", 0.5, "low.", NOW, "me", "n1"), (1, "Web", 0.91, "high.", NOW - dt.timedelta(days=1), "you", "n0")], "business_id long, service_name string, score double, reason string, decided_at timestamp, decided_by string, note string")
+    o = spark.createDataFrame([(1, "google_places", "u", 0, NOW)], "business_id long, source string, source_url string, priority int, first_discovered_at timestamp")
+    r = life.lead_records(b, a, o, spark.createDataFrame([], "business_id long"), "http://radar/").head()
+    assert r.services == "Web; SEO" and r.lead_score == 91 and r.why_lead == "high. low." and r.public_phone == "(512) 555-0123" and r.notes == "n1" and r.do_not_contact is False
+    assert tuple(r.asDict()) == life.LEAD_FIELDS
