@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarack.functions import geo, pii, places, records, scores, text, web
-from tamarack.operators import leads, pages, relational, resolution
+from tamarack.operators import leads, lifecycle, pages, relational, reports, resolution
 from tamarack.session import ship, table
 
 FLAGSHIP = "queue_composite"
@@ -502,3 +502,111 @@ def sync_action(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderkey", (F.col("o_orderstatus") == "P").alias("suppressed"), (F.col("o_totalprice") >= 50000).alias("approved"), F.col("o_orderdate").alias("decided_at"), F.when(F.col("o_custkey") % 2 == 0, F.col("o_custkey")).alias("external_id"), F.when(F.col("o_custkey") % 4 == 0, "a").alias("sent_hash"), F.lit("a").alias("new_hash")
     )
     return leads.sync_action(o, F.lit("1998-01-01").cast("timestamp_ntz")).select("o_orderkey", "action")
+
+
+@query("""
+SELECT c_nationkey AS business_id, c_name AS website, c_mktsegment AS domain FROM customer WHERE c_acctbal >= 0
+QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY CASE c_mktsegment WHEN 'BUILDING' THEN 0 WHEN 'MACHINERY' THEN 1 ELSE 2 END, CASE WHEN c_custkey % 2 = 0 THEN 0 ELSE 2 END, c_custkey DESC) = 1
+""")
+def group_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ER16: a group of fields from the one best record of each business."""
+    c = table(spark, sf_dir, "customer")
+    rows = c.select(F.col("c_nationkey").alias("business_id"), F.col("c_custkey").alias("record_id"), F.when(F.col("c_custkey") % 2 == 0, "google_places").otherwise("zeta").alias("source"), F.lit(0).alias("observed_at"), F.when(F.col("c_acctbal") >= 0, F.col("c_name")).alias("website"), F.col("c_mktsegment").alias("domain"))
+    rank = F.when(F.col("domain") == "BUILDING", 0).when(F.col("domain") == "MACHINERY", 1).otherwise(2)
+    return lifecycle.group_survivors(rows, ("website", "domain"), ("website",), rank)
+
+
+@query("""
+SELECT record_id, business_id, CASE WHEN s.status <> 'pending' THEN s.score ELSE coalesce(f.score, s.score) END AS score, coalesce(s.status, 'pending') AS status
+FROM (SELECT o_orderkey AS record_id, o_custkey AS business_id, o_totalprice AS score, CASE WHEN o_orderstatus = 'O' THEN 'pending' ELSE 'kept_apart' END AS status FROM orders WHERE o_orderkey % 2 = 0) s
+FULL JOIN (SELECT o_orderkey AS record_id, o_custkey AS business_id, o_totalprice + 1 AS score FROM orders WHERE o_orderkey % 3 = 0) f USING (record_id, business_id)
+""")
+def candidate_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ER11: decided pairs are never reopened."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("record_id"), F.col("o_custkey").alias("business_id"), F.col("o_totalprice").alias("score"), F.when(F.col("o_orderstatus") == "O", "pending").otherwise("kept_apart").alias("status"))
+    return lifecycle.upsert_candidates(o.where("record_id % 2 = 0"), o.where("record_id % 3 = 0").select("record_id", "business_id", (F.col("score") + 1).alias("score")))
+
+
+@query("""
+WITH m AS (SELECT max(ts) AS now FROM events)
+SELECT event_id AS id, 'no heartbeat' AS why FROM events, m WHERE event_type = 'click' AND ts < now - INTERVAL 30 MINUTE
+UNION ALL SELECT event_id, 'not in the queue' FROM events, m WHERE event_type = 'view' AND ts < now - INTERVAL 30 MINUTE AND event_id % 7 <> 0
+""")
+def stale_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Silent runs, and queued ones that no queue holds."""
+    e = table(spark, sf_dir, "events")
+    now = e.agg(F.max("ts").alias("now"))
+    status = F.when(F.col("event_type") == "click", "running").when(F.col("event_type") == "view", "queued").otherwise("done")
+    runs = e.select(F.col("event_id").alias("id"), status.alias("status"), F.col("ts").alias("updated_at"), F.col("ts").alias("created_at")).join(F.broadcast(now))
+    return reports.stale_runs(runs, runs.where("id % 7 = 0"), F.col("now")).select("id", "why")
+
+
+@query("""
+SELECT o_custkey::VARCHAR AS idempotency_key, o_orderkey AS id FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1
+""")
+def enqueue_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST19: one run a key, the earliest."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("idempotency_key"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at"))
+    return lifecycle.enqueued(o).select("idempotency_key", "id")
+
+
+@query(r"""
+SELECT p_partkey, CASE WHEN regexp_matches(v, '^audit-\d+$') THEN regexp_extract(v, '(\d+)$', 1)::INT END AS version FROM (SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'rules' ELSE 'audit-' || p_size END AS v FROM part)
+""")
+def version_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST20: a number read out of a version text."""
+    v = F.when(F.col("p_size") % 3 == 0, "rules").otherwise(F.concat(F.lit("audit-"), F.col("p_size")))
+    return table(spark, sf_dir, "part").select("p_partkey", lifecycle.logic_version(v).alias("version"))
+
+
+@query("""
+SELECT a, b, 'delete' AS action FROM (SELECT o_custkey AS a, o_orderkey AS b FROM orders WHERE o_orderkey % 2 = 0 EXCEPT SELECT o_custkey, o_orderkey FROM orders WHERE o_orderkey % 3 = 0)
+UNION ALL SELECT a, b, 'insert' FROM (SELECT o_custkey AS a, o_orderkey AS b FROM orders WHERE o_orderkey % 3 = 0 EXCEPT SELECT o_custkey, o_orderkey FROM orders WHERE o_orderkey % 2 = 0)
+""")
+def link_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What to delete and what to insert."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("a"), F.col("o_orderkey").alias("b"))
+    return relational.sync_links(o.where("b % 2 = 0"), o.where("b % 3 = 0"))
+
+
+@query("""
+WITH c AS (SELECT o_orderkey AS id, [o_custkey % 5, o_custkey % 7] AS cited, [o_orderkey % 5, o_orderkey % 3] AS codes, o_orderstatus FROM orders)
+SELECT id, o_orderstatus = 'O' AND NOT list_has_any(cited, codes) AS withdraw FROM c
+""")
+def withdrawals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U1, ST8: pending rows whose cited findings are all gone."""
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    rows = table(spark, sf_dir, "orders").select(key.alias("id"), F.array(cust % 5, cust % 7).alias("cited"), F.array(key % 5, key % 3).alias("codes"), F.when(F.col("o_orderstatus") == "O", "pending").otherwise("approved").alias("status"), F.lit(None).cast("timestamp").alias("withdrawn_at"))
+    return leads.withdrawn(rows).select("id", "withdraw")
+
+
+@query("SELECT o_orderkey, replace(replace(rtrim(to_base64(encode(o_orderdate::DATE || '|' || o_orderkey)), '='), '+', '-'), '/', '_') AS cursor FROM orders")
+def cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page cursors."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", records.encode_cursor(F.to_date("o_orderdate").cast("string"), F.col("o_orderkey").cast("string")).alias("cursor"))
+
+
+@query("""
+SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN '''' || c_acctbal::INT ELSE c_acctbal::INT::VARCHAR END AS cell FROM customer
+""")
+def protected_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK2: cells that a spreadsheet must not read as formulas."""
+    return table(spark, sf_dir, "customer").select("c_custkey", records.protect_cell(F.round("c_acctbal").cast("int")).alias("cell"))
+
+
+@query("""
+SELECT l_orderkey, sum(l_quantity * 1000)::BIGINT AS tokens, round(sum(l_quantity * 1000)::DECIMAL(18,0) * 0.15 / 1000000, 6)::DOUBLE AS cost FROM lineitem GROUP BY 1
+""")
+def model_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cost in decimals, half up."""
+    t = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum((F.col("l_quantity") * 1000).cast("long")).alias("tokens"))
+    return t.select("l_orderkey", "tokens", scores.estimate_cost(F.col("tokens"), F.lit("0.15"), F.lit(0), F.lit("0")).cast("double").alias("cost"))
+
+
+@query("""
+SELECT c_custkey, greatest(3600, (c_custkey % 40) * 210)::INT AS seconds, pow(2, greatest(c_custkey % 6, 1))::DOUBLE AS backoff FROM customer
+""")
+def limits_and_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST21, M15."""
+    c = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select("c_custkey", lifecycle.time_limit(c % 40).cast("int").alias("seconds"), scores.backoff_seconds(F.lit(2), (c % 6)).cast("double").alias("backoff"))
