@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column
@@ -36,7 +37,9 @@ def combine(confidences: Column) -> Column:
 
 
 def weighted(parts: dict[str, Column], weights: dict[str, float] = SCORE_WEIGHTS) -> Column:
-    return F.round(reduce(lambda a, b: a + b, [F.lit(weights[k]) * F.round(v, 3) for k, v in parts.items()]), 3)
+    """Sum of the parts, each to 3 places, by weight; in decimals, so that the third place is exact, half up."""
+    term = lambda k, v: F.lit(Decimal(str(weights[k]))) * F.round(v.cast("double"), 3).cast("decimal(6,3)")
+    return F.round(reduce(lambda a, b: a + b, [term(k, v) for k, v in parts.items()]), 3).cast("double")
 
 
 def facts(status: Column, website_kind: Column, audit_status: Column, industry: Column, city: Column, state: Column) -> Column:

@@ -257,7 +257,8 @@ def combine_prob(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT c_custkey, round(0.25 * round(CASE WHEN c_acctbal > 0 THEN 1.0 ELSE 0.5 END, 3) + 0.45 * round(greatest(0, least(1, c_acctbal / 10000)), 3) + 0.1 * (c_mktsegment = 'BUILDING')::INT + 0.2 * (CASE WHEN c_nationkey > 12 THEN 0.5 ELSE 0 END), 3) AS score FROM customer
+SELECT c_custkey, round(0.25::DECIMAL(4,2) * round(CASE WHEN c_acctbal > 0 THEN 1.0::DOUBLE ELSE 0.5 END, 3)::DECIMAL(6,3) + 0.45::DECIMAL(4,2) * round(greatest(0, least(1, c_acctbal / 10000)), 3)::DECIMAL(6,3)
+  + 0.1::DECIMAL(4,2) * (c_mktsegment = 'BUILDING')::INT::DECIMAL(6,3) + 0.2::DECIMAL(4,2) * (CASE WHEN c_nationkey > 12 THEN 0.5 ELSE 0 END)::DECIMAL(6,3), 3)::DOUBLE AS score FROM customer
 """)
 def weighted_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four weighted parts."""
@@ -587,11 +588,11 @@ def cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN '''' || c_acctbal::INT ELSE c_acctbal::INT::VARCHAR END AS cell FROM customer
+SELECT c_custkey, CASE WHEN floor(c_acctbal) < 0 THEN '''' || floor(c_acctbal)::INT ELSE floor(c_acctbal)::INT::VARCHAR END AS cell FROM customer
 """)
 def protected_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK2: cells that a spreadsheet must not read as formulas."""
-    return table(spark, sf_dir, "customer").select("c_custkey", records.protect_cell(F.round("c_acctbal").cast("int")).alias("cell"))
+    return table(spark, sf_dir, "customer").select("c_custkey", records.protect_cell(F.floor("c_acctbal").cast("int")).alias("cell"))
 
 
 @query("""
