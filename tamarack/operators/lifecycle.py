@@ -14,7 +14,7 @@ WEBSITE_GROUP = ("website", "domain", "website_kind")
 ADDRESS_GROUP = ("address_line1", "address_line2", "street_key", "city", "state", "postal_code", "country", "lat", "lng", "geohash7")
 # Columns of a lead record, in order; the last four are set on creation only.
 LEAD_FIELDS = (
-    "radar_business_id", "business_name", "legal_name", "industry", "city", "state", "postal_code", "address", "website", "public_phone", "services", "lead_score", "why_lead", "top_findings", "source", "source_url", "radar_link",
+    "business_key", "business_name", "legal_name", "industry", "city", "state", "postal_code", "address", "website", "public_phone", "services", "lead_score", "why_lead", "top_findings", "source", "source_url", "lead_link",
     "date_discovered", "date_approved", "approved_by", "do_not_contact", "assigned_rep", "status", "follow_up_date", "notes",
 )
 CREATE_ONLY = LEAD_FIELDS[-4:]
@@ -164,9 +164,9 @@ def lead_records(businesses: DataFrame, approved: DataFrame, origin: DataFrame,
     part = lambda c: F.transform("rows", lambda r: r[c])
     nothing = F.lit(None).cast("string")
     columns = {
-        "radar_business_id": F.col("business_id").cast("string"), "business_name": F.col("display_name"), "legal_name": F.col("legal_name"), "industry": text.humanize(F.col("industry")), "city": F.col("city"), "state": F.col("state"), "postal_code": F.col("postal_code"), "address": F.col("address_line1"), "website": F.col("website"), "public_phone": places.national(F.col("phone_e164")),
+        "business_key": F.col("business_id").cast("string"), "business_name": F.col("display_name"), "legal_name": F.col("legal_name"), "industry": text.humanize(F.col("industry")), "city": F.col("city"), "state": F.col("state"), "postal_code": F.col("postal_code"), "address": F.col("address_line1"), "website": F.col("website"), "public_phone": places.national(F.col("phone_e164")),
         "services": F.array_join(F.array_distinct(part("service_name")), "; "), "lead_score": F.round(F.col("score") * 100).cast("int"), "why_lead": text.clip(F.array_join(part("reason"), " "), 1000), "top_findings": F.array_join(F.slice("findings", 1, 3), "\n"), "source": text.humanize(F.col("o.source")), "source_url": F.col("o.source_url"),
-        "radar_link": F.concat(F.lit(base_url.rstrip("/") + "/leads/"), F.col("business_id").cast("string")), "date_discovered": F.date_format("since", "yyyy-MM-dd"), "date_approved": F.date_format("last.decided_at", "yyyy-MM-dd"), "approved_by": F.col("last.decided_by"), "do_not_contact": F.coalesce("dnc", F.lit(False)),
+        "lead_link": F.concat(F.lit(base_url.rstrip("/") + "/leads/"), F.col("business_id").cast("string")), "date_discovered": F.date_format("since", "yyyy-MM-dd"), "date_approved": F.date_format("last.decided_at", "yyyy-MM-dd"), "approved_by": F.col("last.decided_by"), "do_not_contact": F.coalesce("dnc", F.lit(False)),
         "assigned_rep": nothing, "status": F.lit("New"), "follow_up_date": nothing, "notes": F.col("last.note"),
     }
     return out.select(*[columns[c].alias(c) for c in LEAD_FIELDS])

@@ -217,6 +217,6 @@ def test_lead_record(spark):
     b = spark.createDataFrame([(1, "Ann", None, "plumbing", "Austin", "TX", "78701", "1 A St", "http://a.com", "+15125550123", ["f1", "f2"])], "business_id long, display_name string, legal_name string, industry string, city string, state string, postal_code string, address_line1 string, website string, phone_e164 string, findings array<string>")
     a = spark.createDataFrame([(1, "SEO", 0.5, "low.", NOW, "me", "n1"), (1, "Web", 0.91, "high.", NOW - dt.timedelta(days=1), "you", "n0")], "business_id long, service_name string, score double, reason string, decided_at timestamp, decided_by string, note string")
     o = spark.createDataFrame([(1, "google_places", "u", 0, NOW)], "business_id long, source string, source_url string, priority int, first_discovered_at timestamp")
-    r = life.lead_records(b, a, o, spark.createDataFrame([], "business_id long"), "http://radar/").head()
+    r = life.lead_records(b, a, o, spark.createDataFrame([], "business_id long"), "http://leads.example/").head()
     assert r.services == "Web; SEO" and r.lead_score == 91 and r.why_lead == "high. low." and r.public_phone == "(512) 555-0123" and r.notes == "n1" and r.do_not_contact is False
     assert tuple(r.asDict()) == life.LEAD_FIELDS
