@@ -220,3 +220,40 @@ def test_lead_record(spark):
     r = life.lead_records(b, a, o, spark.createDataFrame([], "business_id long"), "http://leads.example/").head()
     assert r.services == "Web; SEO" and r.lead_score == 91 and r.why_lead == "high. low." and r.public_phone == "(512) 555-0123" and r.notes == "n1" and r.do_not_contact is False
     assert tuple(r.asDict()) == life.LEAD_FIELDS
+
+
+def test_queue(spark):
+    from tamarack.operators import review
+
+    b = spark.createDataFrame(
+        [(i, NOW - dt.timedelta(days=i), f"Shop {i}", f"shop {i}", f"s{i}.com" if i != 4 else None, None, "w" if i % 2 else None, "none" if i == 3 else "own_site", "operational", "plumbing", "Austin", "TX", None if i == 2 else i) for i in range(1, 8)],
+        "business_id long, created_at timestamp, display_name string, normalized_name string, domain string, phone_e164 string, website string, website_kind string, business_status string, industry string, city string, state string, user_rating_count int",
+    )
+    o = spark.createDataFrame(
+        [(10 * i + j, i, s, round(0.1 * i + 0.01 * j, 2), c, "rules", "pending", None, NOW) for i in range(1, 8) for j, (s, c) in enumerate([("seo_gbp", 0.6), ("booking_setup", 0.2)]) if not (i == 6 and j == 0)],
+        "id long, business_id long, service string, score double, confidence double, source string, status string, withdrawn_at timestamp, created_at timestamp",
+    )
+    x = spark.createDataFrame([(1, None, "s1.com", None, None), (2, None, "s5.com", None, NOW)], "id long, business_id long, domain string, phone_e164 string, lifted_at timestamp")
+    a = spark.createDataFrame([(i, i, NOW, "done", [("no_h1", "low", "seo_gbp"), ("no_https", "high", "website_design")] + ([("thin_content", "low", "seo_gbp")] if i == 7 else [])) for i in range(1, 8)], "id long, business_id long, created_at timestamp, status string, findings array<struct<code: string, severity: string, service: string>>")
+    r = spark.createDataFrame([(i, s, NOW - dt.timedelta(days=i)) for i in range(1, 8) for s in ("zeta", "google_places")], "business_id long, source string, first_discovered_at timestamp")
+    page = {p.business_id: p for p in review.queue(b, o, x, a, r, limit=3).collect()}
+    assert sorted(page) == [3, 4, 5, 7]  # 1 is suppressed, 6 has weak ones only; one row more than the page
+    assert page[7].top_score == 0.7 and page[7].weak_hidden == 1 and [q.service for q in page[7].open] == ["seo_gbp"]
+    assert [f.code for f in page[7].findings] == ["no_https", "thin_content", "no_h1"] and page[7].findings[2].n == 5 and page[7].sources == ["google_places", "zeta"]
+    seen, after = [], None
+    while True:
+        rows = sorted(review.queue(b, o, x, a, r, sort="reviews", descending=False, limit=2, after=after).collect(), key=lambda p: (p.user_rating_count is None, p.user_rating_count, p.business_id))
+        seen += [p.business_id for p in rows[:2]]
+        if len(rows) <= 2:
+            break
+        after = (rows[1].user_rating_count, rows[1].business_id)
+    assert seen == [3, 4, 5, 7, 2]
+    assert [p.business_id for p in review.queue(b, o, x, a, r, badge="no_website", since=F.lit(NOW - dt.timedelta(days=3))).collect()] == [3]
+    assert [p.business_id for p in review.list_businesses(b, a, has_website=False, finding=("no_h1",), q="SHOP _").collect()] == [2, 4, 6]
+    assert [p.id for p in review.list_opportunities(o, b, service="seo_gbp", min_score=0.4, limit=1).collect()] == [70, 50]
+    assert a.select(review.top_findings(F.col("findings")).alias("x")).head().x == ["no_https", "no_h1"]
+    d = spark.createDataFrame([(1, 70, "approve", NOW), (2, 70, "undo", NOW)], "id long, opportunity_id long, decision string, decided_at timestamp")
+    one = review.detail(7, b, o, d, a).head()
+    assert [q.id for q in one.opportunities] == [71, 70] and [h.decision for h in one.opportunities[1].history] == ["undo", "approve"]
+    cited = o.withColumn("cited", F.array(F.when(F.col("business_id") == 7, "thin_content").otherwise("gone")))
+    assert {p.id: p.withdraw for p in review.orphans(cited, a).collect()}.keys() == {i for i in [10, 11, 20, 21, 30, 31, 40, 41, 50, 51, 61]}
