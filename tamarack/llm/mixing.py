@@ -19,7 +19,7 @@ from tamarack.scratch import Scratch
 
 WEIGHTS, MOST, SHARDS, BLOCK_WORDS, SEED = (5, 2, 1), 3, 16, 20_000, 11
 #: Rows that a task puts in order, on average.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4_000
 _PRIMES = (1000003, 1000033, 1000037, 1000039)
 
 
