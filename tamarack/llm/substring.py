@@ -130,16 +130,17 @@ def repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, seed: in
     tables = Scratch(spark, "substring")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_key(F.col("text")).alias("key"), "text").where(F.col("text").isNotNull())
     runs = tables.keep(texts.mapInArrow(_anchors(window, seed), "doc_id long, key int, start int, n int, anchor long, context long"), "runs")
-    seen = runs.groupBy("anchor").agg(F.count("*").alias("seen"), (F.min("context") != F.max("context")).alias("mixed")).where("seen > 1").drop("seen")
+    # written before the join, which Spark can then split where one anchor has very many rows
+    seen = tables.keep(runs.groupBy("anchor").agg(F.count("*").alias("seen"), (F.min("context") != F.max("context")).alias("mixed")).where("seen > 1").drop("seen"), "seen")
     again = tables.keep(runs.join(seen, "anchor"), "again")
-    tables.drop("runs")
+    tables.drop("runs", "seen")
     mixed = again.where("mixed")
     contexts = tables.keep(mixed.groupBy("anchor", "context").agg(F.count("*").alias("times"), F.min(F.struct(F.coalesce("doc_id", F.lit(0)), "doc_id", "key", "start", "n")).alias("at")), "contexts")
     common_runs = mixed.join(contexts.where("times > 1").select("anchor", "context"), ["anchor", "context"], "left_semi")
     wanted = contexts.select("at.doc_id", "at.key", F.struct("at.start", "at.n", "anchor", (F.col("times") == 1).alias("single")).alias("run")).groupBy("doc_id", "key").agg(F.collect_list("run").alias("runs"))
     parts = texts.alias("t").join(wanted.alias("w"), F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.key") == F.col("w.key"))).select("t.doc_id", "t.key", "t.text", "w.runs")
     grown = tables.keep(parts.mapInArrow(_extended(window), "doc_id long, key int, start int, anchor long, match long, single boolean"), "grown")
-    twice = grown.groupBy("anchor", "match").agg(F.count("*").alias("times")).where("times > 1").drop("times")
+    twice = tables.keep(grown.groupBy("anchor", "match").agg(F.count("*").alias("times")).where("times > 1").drop("times"), "twice")
     ragged = grown.where("single").join(twice, ["anchor", "match"], "left_semi")
     span = lambda df, n: df.select("doc_id", "key", "start", (F.col("start") + n + F.lit(window - 1)).cast("int").alias("stop"))
     return span(again.where("not mixed"), F.col("n")).unionByName(span(common_runs, F.col("n"))).unionByName(span(ragged, F.lit(1))), tables
