@@ -24,6 +24,8 @@ BUCKETS, DIMENSIONS, EPOCHS, RATE = 1 << 15, 16, 6, 0.5
 #: Labelled rows of each language that training and calibration may use.
 ROWS_EACH = 700
 UNKNOWN = "und"
+#: The fitted least score is no higher, so that short texts of known languages stay.
+MOST_LEAST = 0.4
 
 _LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.array([b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256)], dtype=np.uint8)
@@ -145,7 +147,7 @@ def train(texts: list[bytes], langs: list[str], held: np.ndarray, buckets: int =
         wrong = np.cumsum(~right[order]) / np.arange(1, len(own) + 1)
         good = np.flatnonzero(wrong <= most_errors)
         floor = float(score[order][good[-1]]) if len(good) and good[-1] + 1 < len(own) else 0.0
-        model.least = min(0.5, max(floor, float(np.quantile(score, 0.001))))
+        model.least = min(MOST_LEAST, max(floor, float(np.quantile(score, 0.001))))
     return model
 
 
