@@ -188,7 +188,10 @@ def audit(pages: DataFrame) -> DataFrame:
                 made = [None if h is None else checks_of(h) for h in part.column("html").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(made, arrow)], names=["page_id", "url", "checks"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, schema)
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    # parsing costs far more than moving a page, so pages are dealt evenly however few files they come in
+    spread = max(pages.sparkSession.sparkContext.defaultParallelism, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(spread).mapInArrow(run, schema)
 
 
 def _rules(c: Column, url: Column, year: int) -> list[tuple[str, Column, Column]]:

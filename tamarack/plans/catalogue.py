@@ -449,9 +449,11 @@ def verbatim_quote(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select("item_id", text.verbatim(F.col("text")).alias("q"))
     items = items.withColumn("words", F.split("q", " ")).withColumn("seed", F.when(F.size("words") >= 8, F.xxhash64(key(F.slice("words", 2, 6)))))
     docs = table(spark, sf_dir, "documents").select("doc_id", text.verbatim(F.col("text")).alias("t"))
-    words = docs.withColumn("words", F.split("t", " "))
-    seeds = words.select("doc_id", "t", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - 5, F.lit(1))), lambda i: F.xxhash64(key(F.slice("words", i, 6)))))).alias("seed"))
-    met = seeds.join(items.where("seed is not null").select("item_id", "q", "seed"), "seed").where(F.contains("t", "q")).select("item_id", "doc_id")
+    windows = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 5, F.lit(1))), lambda i: F.xxhash64(key(F.slice(w, i, 6)))))
+    # bound to a lambda's variable, the words are split once and not once a window
+    seeds = docs.select("doc_id", F.explode(F.get(F.transform(F.array(F.split("t", " ")), windows), F.lit(0))).alias("seed"))
+    pairs = seeds.join(items.where("seed is not null").select("item_id", "seed"), "seed").select("doc_id", "item_id").distinct()
+    met = pairs.join(docs, "doc_id").join(items.select("item_id", "q"), "item_id").where(F.contains("t", "q")).select("item_id", "doc_id")
     short = items.where("seed is null").select("item_id", "q")
     met = met.unionByName(docs.join(short, F.contains("t", "q")).select("item_id", "doc_id"))
     return met.groupBy("item_id").agg(F.countDistinct("doc_id").alias("docs"))
