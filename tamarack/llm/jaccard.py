@@ -118,11 +118,12 @@ def _prune(signs: np.ndarray, ii: np.ndarray, jj: np.ndarray, threshold: float,
 
 
 def _links(texts: list[bytes], signs: np.ndarray, side: np.ndarray, k: int, threshold: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs of a cell; in a cell of two blocks only pairs of one text of each."""
+    """Linked pairs of a cell; in a cell of two blocks (no side is -1) only pairs of one text of each, so none if one is empty."""
     n = len(texts)
-    left, right = (np.flatnonzero(side == s) for s in (0, 1))
-    two = bool(len(left)) and bool(len(right))
-    left, right = (left, right) if two else (np.arange(n), np.arange(n))
+    two = not (side == -1).any()
+    left, right = (np.flatnonzero(side == s) for s in (0, 1)) if two else (np.arange(n), np.arange(n))
+    if not len(left) or not len(right):
+        return np.empty(0, dtype=int), np.empty(0, dtype=int)
     step = max(1, 100_000 // max(1, len(right)))
     found = []
     for lo in range(0, len(left), step):

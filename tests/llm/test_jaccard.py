@@ -1,3 +1,4 @@
+import random
 import re
 from itertools import combinations
 
@@ -60,3 +61,14 @@ def test_least_matches_is_the_posterior():
 def test_empty(spark, empty):
     assert jaccard.similar(spark, empty).count() == 0
     assert jaccard.distinct(spark, empty).count() == 0
+
+
+def test_an_empty_block_adds_no_links(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = []
+    for group in range(24):
+        words = [f"g{group}w{rng.randrange(10_000)}" for _ in range(300)]
+        rows += [(3 * group + i, " ".join([*words, f"end{i}"])) for i in range(3)]
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", max(len(t) for _, t in rows) * 3 // 2)
+    got = jaccard.similar(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.class_id, r.n_links, r.n_text_links) for r in got} == {(i, i // 3 * 3, 2, 2) for i, _ in rows}
