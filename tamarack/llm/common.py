@@ -29,8 +29,8 @@ def n_bytes(text: Column) -> Column:
 
 
 def text_key(text: Column) -> Column:
-    """A 32-bit hash that tells apart rows that share a doc_id (or have none)."""
-    return F.hash(text)
+    """128 bits that tell apart rows that share a doc_id (or have none); all 0 for null."""
+    return F.coalesce(F.unhex(F.md5(text.cast("binary"))), F.lit(bytes(16)))
 
 
 def matched(docs: DataFrame, picked: DataFrame, key: Column) -> DataFrame:

@@ -123,7 +123,7 @@ def _verdict(found: dict[int, float], ids: np.ndarray, threshold: float) -> tupl
     return best, len(over), over
 
 
-SCHEMA = "doc_id long, key int, contaminated boolean, coverage double, n_items long, item_ids array<long>"
+SCHEMA = "doc_id long, key binary, contaminated boolean, coverage double, n_items long, item_ids array<long>"
 
 
 def _judged(texts: list[bytes], items: Items, threshold: float) -> list[tuple[float, int, list[int]]]:
@@ -193,17 +193,17 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, lea
     have fewer than ``least`` tokens match nothing; equal items are reported each; repeated rows get equal
     answers. Other columns are not read. An empty benchmark leaves all documents clean.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(common.text_key(F.col("text")), F.lit(0)).alias("key"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_key(F.col("text")).alias("key"), "text")
     items, sent = _sent(spark, benchmark, sent_bytes)
     if sent is not None:
         return texts.mapInArrow(_scan(sent, least, threshold), SCHEMA)
     tables = Scratch(spark, "decontaminate")
     seeds = items.mapInArrow(_seeds("item_id", least), "item_id long, gram long").distinct()
-    read = texts.where("text is not null").mapInArrow(_seeds("doc_id", least), "doc_id long, key int, gram long").distinct()
+    read = texts.where("text is not null").mapInArrow(_seeds("doc_id", least), "doc_id long, key binary, gram long").distinct()
     pairs = read.join(seeds, "gram").select("doc_id", "key", "item_id").distinct()
     same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.key") == F.col(f"{b}.key"))
     both = pairs.alias("p").join(texts.dropDuplicates(["doc_id", "key"]).alias("t"), same("p", "t")).select("p.*", "t.text").join(items.withColumnRenamed("text", "item"), "item_id")
-    shares = tables.keep(both.select("doc_id", "key", "text", "item_id", "item").mapInArrow(_pairs(least), "doc_id long, key int, item_id long, share double"), "shares")
+    shares = tables.keep(both.select("doc_id", "key", "text", "item_id", "item").mapInArrow(_pairs(least), "doc_id long, key binary, item_id long, share double"), "shares")
     found = shares.groupBy("doc_id", "key").agg(F.max("share").alias("coverage"), F.array_sort(F.collect_list(F.when(F.col("share") >= threshold, F.col("item_id")))).alias("item_ids"))
     return texts.drop("text").alias("t").join(found.alias("p"), same("t", "p"), "left").select(
         "t.doc_id", "t.key", (F.coalesce(F.size("item_ids"), F.lit(0)) > 0).alias("contaminated"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"), F.greatest(F.coalesce(F.size("item_ids"), F.lit(0)), F.lit(0)).cast("long").alias("n_items"), F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids")
@@ -222,7 +222,7 @@ def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, least: int
 
         return docs.mapInArrow(run, docs.schema)
     found = contaminated(spark, docs, benchmark, least, threshold, sent_bytes).where("contaminated").select("doc_id", "key").distinct()
-    same = docs["doc_id"].cast("long").eqNullSafe(found["doc_id"]) & (F.coalesce(common.text_key(docs["text"]), F.lit(0)) == found["key"])
+    same = docs["doc_id"].cast("long").eqNullSafe(found["doc_id"]) & (common.text_key(docs["text"]) == found["key"])
     return docs.join(found, same, "left_anti")
 
 

@@ -216,8 +216,8 @@ def similar(spark: SparkSession, docs: DataFrame, k: int = SHINGLE, threshold: f
     Repeated rows are copies of each other. Other columns are not read.
     """
     tables = Scratch(spark, "jaccard")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(common.text_key(F.col("text")), F.lit(0)).alias("key"), "text")
-    signed = tables.keep(texts.where("text is not null").mapInArrow(_sign(k, bands, rows), "doc_id long, key int, c1 long, c2 long, size long, bands array<long>"), "signed")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_key(F.col("text")).alias("key"), "text")
+    signed = tables.keep(texts.where("text is not null").mapInArrow(_sign(k, bands, rows), "doc_id long, key binary, c1 long, c2 long, size long, bands array<long>"), "signed")
     classes = tables.keep(
         signed.groupBy("c1", "c2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.min(F.struct(F.coalesce("doc_id", F.lit(0)), "doc_id", "key")).alias("at"), F.max("size").alias("size"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()),
         "classes",
@@ -260,7 +260,7 @@ def distinct(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     groups = similar(spark, docs, **options)
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
     stay = groups.where("group is not null").groupBy("group").agg(F.min(first).alias("at")).select("at.doc_id", "at.key")
-    return common.matched(docs.where(F.col("text").rlike(common.WORD)), stay, F.coalesce(common.text_key(F.col("text")), F.lit(0))).unionByName(docs.where(F.col("text").isNull() | ~F.col("text").rlike(common.WORD)))
+    return common.matched(docs.where(F.col("text").rlike(common.WORD)), stay, common.text_key(F.col("text"))).unionByName(docs.where(F.col("text").isNull() | ~F.col("text").rlike(common.WORD)))
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

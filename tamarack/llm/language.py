@@ -197,8 +197,8 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model | None = None, *
     """
     model = model or fit(docs, **options)
     sent = spark.sparkContext.broadcast(model)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(common.text_key(F.col("text")), F.lit(0)).alias("key"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    return rows.mapInArrow(_predict(sent), "doc_id long, key int, held_out boolean, lang_pred string, score double, rejected boolean")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_key(F.col("text")).alias("key"), held_out(F.col("doc_id")).alias("held_out"), "text")
+    return rows.mapInArrow(_predict(sent), "doc_id long, key binary, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
 def accepted(spark: SparkSession, docs: DataFrame, model: Model | None = None, **options) -> DataFrame:

@@ -129,7 +129,7 @@ def repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, seed: in
         raise ValueError("the seed must fit the window")
     tables = Scratch(spark, "substring")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_key(F.col("text")).alias("key"), "text").where(F.col("text").isNotNull())
-    runs = tables.keep(texts.mapInArrow(_anchors(window, seed), "doc_id long, key int, start int, n int, anchor long, context long"), "runs")
+    runs = tables.keep(texts.mapInArrow(_anchors(window, seed), "doc_id long, key binary, start int, n int, anchor long, context long"), "runs")
     # written before the join, which Spark can then split where one anchor has very many rows
     seen = tables.keep(runs.groupBy("anchor").agg(F.count("*").alias("seen"), (F.min("context") != F.max("context")).alias("mixed")).where("seen > 1").drop("seen"), "seen")
     again = tables.keep(runs.join(seen, "anchor"), "again")
@@ -139,7 +139,7 @@ def repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, seed: in
     common_runs = mixed.join(contexts.where("times > 1").select("anchor", "context"), ["anchor", "context"], "left_semi")
     wanted = contexts.select("at.doc_id", "at.key", F.struct("at.start", "at.n", "anchor", (F.col("times") == 1).alias("single")).alias("run")).groupBy("doc_id", "key").agg(F.collect_list("run").alias("runs"))
     parts = texts.alias("t").join(wanted.alias("w"), F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.key") == F.col("w.key"))).select("t.doc_id", "t.key", "t.text", "w.runs")
-    grown = tables.keep(parts.mapInArrow(_extended(window), "doc_id long, key int, start int, anchor long, match long, single boolean"), "grown")
+    grown = tables.keep(parts.mapInArrow(_extended(window), "doc_id long, key binary, start int, anchor long, match long, single boolean"), "grown")
     twice = tables.keep(grown.groupBy("anchor", "match").agg(F.count("*").alias("times")).where("times > 1").drop("times"), "twice")
     ragged = grown.where("single").join(twice, ["anchor", "match"], "left_semi")
     span = lambda df, n: df.select("doc_id", "key", "start", (F.col("start") + n + F.lit(window - 1)).cast("int").alias("stop"))
@@ -157,7 +157,7 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, window: int = WINDOW,
     """
     spans, _ = repeats(spark, docs, window, seed)
     spans = spans.distinct().groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(common.text_key(F.col("text")), F.lit(0)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_key(F.col("text")).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     both = texts.alias("t").join(spans.alias("s"), F.col("t.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("t.key") == F.col("s.key")), "left").select("t.doc_id", "t.key", "t.text", "s.spans")
     return both.mapInArrow(_cut(with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
 
