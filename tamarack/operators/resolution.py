@@ -145,20 +145,28 @@ def _keys(r: dict, own: bool = False) -> Iterator[tuple[int, tuple]]:
 def resolve(spark: SparkSession, records: DataFrame) -> DataFrame:
     """(record_id, business_id, decision) for records as in ``RECORD``; a business takes its first record's id.
 
-    Components come from stars around the least record of each key, by least labels on written tables.
+    Components come from stars around the least record of each key, by least labels on written tables: in a
+    round a record takes its neighbours' least label, its former label takes that too, and both jump to the
+    label of their label, until nothing changes.
     """
     tables = Scratch(spark, "resolve")
     keyed = tables.keep(records.select("record_id", F.inline(block_keys())).select("record_id", "kind", "value"), "keys")
     heads = keyed.groupBy("kind", "value").agg(F.min("record_id").alias("head"))
-    edges = tables.keep(keyed.join(heads, ["kind", "value"]).select(F.col("record_id").alias("a"), F.col("head").alias("b")).distinct(), "edges")
-    labels = records.select(F.col("record_id").alias("node"), F.col("record_id").alias("label"))
-    for i in range(100):
-        low = edges.join(labels, F.col("a") == F.col("node")).groupBy("b").agg(F.min("label").alias("low"))
-        down = edges.join(low, "b").groupBy(F.col("a").alias("node")).agg(F.min("low").alias("low"))
-        now = tables.keep(labels.join(down, "node", "left").select("node", F.col("label").alias("was"), F.least("label", F.coalesce("low", "label")).alias("label")), f"labels-{i}")
+    stars = tables.keep(keyed.join(heads, ["kind", "value"]).select(F.col("record_id").alias("a"), F.col("head").alias("b")).where("a <> b").distinct(), "edges")
+    edges = stars.union(stars.select("b", "a"))
+    labels = records.select(F.col("record_id").alias("node"), F.col("record_id").alias("label")).distinct()
+    i = 0
+    while True:  # labels only fall, so they settle
+        near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        low = tables.keep(labels.join(near, "node", "left").select("node", F.col("label").alias("was"), F.least("label", F.coalesce("near", "label")).alias("label")), f"low-{i}")
+        hooks = low.groupBy(F.col("was").alias("node")).agg(F.min("label").alias("hook"))
+        hooked = low.join(hooks, "node", "left").select("node", "was", F.least("label", F.coalesce("hook", "label")).alias("label"))
+        now = tables.keep(hooked.join(hooked.select(F.col("node").alias("label"), F.col("label").alias("further")), "label").select("node", "was", F.least("label", "further").alias("label")), f"labels-{i}")
         labels = now.select("node", "label")
+        tables.drop(f"low-{i}", *([f"labels-{i - 1}"] if i else []))
         if now.where("label <> was").isEmpty():
             break
+        i += 1
     grouped = records.join(labels.withColumnRenamed("node", "record_id"), "record_id")
     return grouped.groupBy("label").applyInPandas(lambda g: _replay(g.drop(columns="label")), "record_id long, business_id long, decision string")
 

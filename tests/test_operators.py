@@ -34,6 +34,14 @@ def test_resolution_replays_in_order(spark):
     assert got[5] == (5, "new") and got[6] == (6, "new")
 
 
+def test_resolution_of_a_long_chain(spark):
+    rows = [{"record_id": i, "domain": f"d{i // 2}.com", "phone": f"+1512555{(i + 1) // 2:04}", "name": f"shop {i // 2}"} for i in range(300)]
+    df = records(spark, rows)
+    want = resolution._replay(df.toPandas())
+    got = resolution.resolve(spark, df).collect()
+    assert {(r.record_id, r.business_id, r.decision) for r in got} == {(int(r.record_id), None if r.business_id != r.business_id else int(r.business_id), r.decision) for r in want.itertuples()}
+
+
 def test_pairs_and_decisions(spark):
     rows = records(spark, [{"record_id": 1, "domain": "a.com", "phone": "p", "name": "abc", "postal": "1", "street": "s"}, {"record_id": 2, "domain": "z.com", "phone": "q", "name": "abc"}])
     pairs = resolution.blocked_pairs(rows, rows.withColumnsRenamed({"record_id": "business_id", "seq": "created_seq"}))
