@@ -1,7 +1,8 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest, in DataFrame operations only.
 
-A candidate is a value assigned to a name such as password or token, or a run of 16 or more characters of
-keys and digests with a digit in it. The forest sees its length, its character transitions, how much of it
+A candidate is a value assigned to a name such as password or access_key_id, or a run of 16 or more
+characters of keys and digests that has a digit, begins with the prefix of a key format, changes between
+capitals and small letters three times or more, or begins with 16 capitals. The forest sees its length, its character transitions, how much of it
 a dictionary covers, the path it lies under and the words beside it, and is trained on labelled findings.
 Texts are cut at candidates, so each has its neighbours and its place without a second search.
 """
@@ -20,12 +21,13 @@ TREES, DEPTH, LEAST, SEED = 30, 8, 0.5, 5
 BESIDE = 48
 
 _NAMES = r"passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential"
-_ASSIGNED = rf"(?i:(?:{_NAMES})[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?[^\s\"']{{8,}})"
-_RUN = r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{16,}"
-CANDIDATE = f"{_ASSIGNED}|{_RUN}"
-_PARTS = rf"^((?i:(?:{_NAMES})[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?))([^\s\"']{{8,}})$"
+_ENDED = r"(?:[_-][A-Za-z0-9]{1,16}){0,2}"
+_ASSIGNED = rf"(?i:(?:{_NAMES}){_ENDED}[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?[^\s\"']{{8,}})"
+_PARTS = rf"^((?i:(?:{_NAMES}){_ENDED}[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?))([^\s\"']{{8,}})$"
 # Prefixes of public key formats, common words in code and prose, frequent English letter pairs.
 _PREFIXES = "AKIA|ASIA|gh[pousr]_|github_pat_|sk-|sk_live_|xox[abp]-|eyJ|glpat-|AIza|npm_"
+_RUN = rf"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9]|{_PREFIXES}|[a-z_+/=-]*+(?:[A-Z]++[a-z_+/=-]++){{3}}|[A-Z]{{16}})[A-Za-z0-9_+/=-]{{16,}}"
+CANDIDATE = f"{_ASSIGNED}|{_RUN}"
 _WORDS = (
     "test|example|sample|dummy|placeholder|your|here|change|replace|insert|key|token|secret|password|user|name|data|file|path|version|release|build|image|config|value|null|none|true|false|default|admin|root|local|host|server|client|https|http|www|com|org|index|page|item|list|string|number|object|class|function|return|import|public|private|static|module|package|service|report|section|table|figure|chapter|model|layer|block|the|and|for|with"
 )
@@ -48,7 +50,7 @@ def features(value: Column, left: Column, right: Column, path: Column) -> list[C
         F.log2(n), share(value, "[0-9]"), share(value, "[A-Z]"), share(value, "[a-z]"), share(value, "[^A-Za-z0-9]"), has(value, "^[0-9a-fA-F]+$"), has(value, "^[0-9]+$"),
         has(value, "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"), (F.length(F.regexp_replace(kinds, r"(.)\1*", "x")) - 1) / n,
         F.size(F.array_distinct(F.split(value, ""))) / F.least(n, F.lit(64.0)), has(value, r"(.)\1{3,}"), share(low, _PAIRS), share(low, "[aeiou]"), 1 - F.length(F.regexp_replace(low, _WORDS, "")) / n,
-        share(value, "/"), has(near, "test|spec|fixture|example|sample|mock|doc"), has(beside, r"(?:://|www\.)\S*$"), has(beside, rf"(?:{_NAMES}|bearer)[^a-z]{{0,8}}$"), has(beside, r"[:=]\s*[\"']?$"),
+        share(value, "/"), has(near, "test|spec|fixture|example|sample|mock|doc"), has(beside, r"(?:://|www\.)\S*$"), has(beside, rf"(?:{_NAMES}|bearer){_ENDED}[^a-z]{{0,8}}$"), has(beside, r"[:=]\s*[\"']?$"),
         (has(beside, r"[\"']$") * has(right, r"^[\"']")), has(beside, r"(?:commit|sha-?\d*|md5|checksum|digest|hash|etag|rev|revision|uuid|guid|blob|tree)[^a-z]{0,8}$"), has(beside, r"(?:card|phone|tel|no|number|isbn|order|invoice|id|version)[^a-z]{0,4}$"), has(value, f"^(?:{_PREFIXES})"),
     ]
     return [c.cast("double").alias(name) for c, name in zip(columns, FEATURES, strict=True)]
@@ -62,6 +64,7 @@ def labelled_findings(spark: SparkSession, each: int = 60, seed: int = SEED) ->
     """
     hexed = lambda salt: F.sha2(F.concat_ws("|", F.lit(f"{seed}{salt}"), F.col("i").cast("string")), 256)
     based = lambda salt: F.regexp_replace(F.base64(F.unhex(F.concat(hexed(salt), hexed(salt + "+")))), "[+/=\n]", "")
+    letters = lambda salt: F.translate(based(salt), "0123456789", "gHjKmPqRsT")
     digits = lambda salt, n: F.substring(F.regexp_replace(F.concat(hexed(salt), hexed(salt + "+")), "[a-f]", ""), 1, n)
     pick = lambda *xs: F.element_at(F.array(*[x if isinstance(x, Column) else F.lit(x) for x in xs]), (F.pmod(F.xxhash64(F.lit(len(xs)), "i"), F.lit(len(xs))) + 1).cast("int"))
     said = lambda: pick("the of and ", "in this we find ", "der die das und ", "le la les de ", "el la de que ", "see ")
@@ -71,10 +74,12 @@ def labelled_findings(spark: SparkSession, each: int = 60, seed: int = SEED) ->
         (F.concat(F.lit("AKIA"), F.upper(F.substring(based("d"), 1, 16))), said(), F.lit(" "), 1), (F.concat(F.lit("ghp_"), F.substring(based("e"), 1, 36)), pick("Bearer ", "url ", "token "), F.lit("\n"), 1), (F.concat(F.lit("sk-"), F.substring(based("f"), 1, 44)), F.concat(said(), name()), F.lit("\""), 1),
         (F.concat(F.lit("eyJ"), F.substring(based("g"), 1, 60)), pick("Authorization: Bearer ", "auth="), F.lit(" "), 1), (F.concat(F.substring(based("h"), 1, 12), F.lit("!"), F.substring(based("h2"), 1, 6)), F.concat(said(), pick("password: ", "pwd=", "passwd = '")), F.lit(" "), 1),
         (F.substring(hexed("i"), 1, 64), F.concat(said(), name()), F.lit("\"###"), 1),
+        (F.concat(F.lit("AKIA"), F.upper(F.substring(letters("aa"), 1, 16))), pick(said(), "aws_access_key_id = ", "access_key_id: \"", "AWS_ACCESS_KEY_ID="), F.lit(" "), 1), (F.concat(pick("ghp_", "sk-", "npm_"), F.substring(letters("ab"), 1, 36)), pick("Bearer ", "url ", "see ", "the "), F.lit("\n"), 1), (F.substring(letters("ac"), 1, 40), pick(name(), said()), F.lit("\""), 1),
         (F.substring(hexed("k"), 1, 40), F.concat(said(), pick("commit ", "revision ", "tree ", "blob ", "sha1: ")), F.lit(" by"), 0), (F.substring(hexed("l"), 1, 32), F.concat(said(), pick("md5 ", "checksum: ", "etag \"", "hash=")), F.lit("\""), 0), (hexed("m"), pick("sha256:", "digest ", "sha-256 = "), F.lit(" "), 0),
         (F.regexp_replace(F.substring(hexed("n"), 1, 32), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), pick("uuid ", "id: ", "guid=", "request "), F.lit(" "), 0), (digits("o", 16), pick("card ", "no. ", "in ", "de ", "the ", "der "), F.lit(" "), 0), (digits("p", 18), said(), F.lit("."), 0), (digits("q", 24), pick("order ", "invoice number ", "isbn "), F.lit(" "), 0),
         (F.concat(F.lit("articles/page-"), digits("r", 3), F.lit("/the-and-for-section")), pick("https://www.example.com/", "http://host/"), F.lit(" "), 0), (F.concat(F.lit("release_version_"), digits("s", 2), F.lit("_build_"), digits("s2", 4)), pick("see ", "= \"", "version "), F.lit(" "), 0),
         (F.concat(pick("your_token_here_", "example-api-key-", "change_this_password", "xxxxxxxxxxxxxxxx", "placeholder-secret-"), digits("t", 2)), name(), F.lit("\""), 0), (F.concat(F.lit("test_user_password_"), digits("u", 2)), name(), F.lit("\""), 0), (F.concat(F.lit("function_return_value"), digits("v", 1), F.lit("_string")), said(), F.lit("("), 0), (F.concat(F.lit("2024-0"), digits("w", 1), F.lit("-1"), digits("w2", 1), F.lit("-100000-report")), said(), F.lit(" "), 0),
+        (F.concat(pick("get", "load", "parse", "Abstract", "read"), pick("User", "Table", "Model", "Client", "Config", "Report", "Page"), pick("Name", "Index", "List", "Value"), pick("FromService", "Builder", "ForEachItem")), pick(said(), "new ", "import "), F.lit("("), 0), (F.concat(pick("State-Of-The-", "New-York-", "Out-Of-"), pick("Art-Report", "City-Council-Page", "Town-Service-List", "Date-Module-Index"), F.lit("-Section")), said(), F.lit(" "), 0), (pick("INTERNATIONALIZATION", "RESPONSIBILITIES", "ACKNOWLEDGEMENTS", "CHARACTERIZATION", "INCOMPREHENSIBLE"), said(), F.lit(" "), 0),
         (F.lit("1234567890123456"), name(), F.lit("\""), 0), (F.concat(F.lit("====================="), digits("x", 1)), F.lit("\n"), F.lit("\n"), 0),
     ]
     cases = F.array(*[F.struct(v.alias("value"), a.alias("left"), b.alias("right"), F.lit(float(y)).alias("label")) for v, a, b, y in kinds])
@@ -92,7 +97,7 @@ def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int
 
 def candidates(docs: DataFrame) -> DataFrame:
     """One row per candidate: doc_id, place (0, 1, ... in its text), start (code points), value, left, right, path."""
-    rows = docs.where(F.col("text").rlike("[0-9]|[:=]")).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("path"), "text").where(F.col("text").rlike(CANDIDATE))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("path"), "text").where(F.col("text").rlike(CANDIDATE))
     cut = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "path", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("found"), F.split("text", CANDIDATE, -1).alias("between"))
     pair = F.transform("found", lambda f, i: F.struct(f.alias("match"), F.length(F.get("between", i)).alias("gap"), F.right(F.get("between", i), F.lit(BESIDE)).alias("left"), F.left(F.get("between", i + 1), F.lit(BESIDE)).alias("right")))
     each = cut.select("row", "doc_id", "path", F.posexplode(pair).alias("place", "c")).select("row", "doc_id", "path", "place", "c.*")
