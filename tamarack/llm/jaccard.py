@@ -1,12 +1,16 @@
 """Documents whose word shingles have a Jaccard similarity of 0.8 or more, by MinHash with Bayesian pruning.
 
 1. Each text gets ``bands`` x ``rows`` MinHash values of one byte. Texts of the same words are one class.
-2. Classes that agree on all values of a band are candidates. A bucket is recorded as a star around its
-   least class, never as pairs, and stars are joined into candidate components.
-3. A component is dealt to cells of two blocks of bounded size. Within a cell the MinHash values of each
-   pair are compared some at a time; a pair is dropped as soon as the posterior probability (uniform
-   prior) that its similarity reaches the threshold falls below ``tolerance``. All others are verified
-   on their whole shingle sets. A cell returns its links as counts and a spanning forest, never as pairs.
+2. Classes that agree on all values of a band share a bucket. Each class goes to the block of its near: the
+   least class that it shares a bucket with. Ids are dealt by hash, so large buckets tend to hold the least
+   id and a hot group is one near; its block is cut into parts of bounded size.
+3. A cell compares two parts of a near, or two parts whose classes share a bucket, and gets of the latter
+   only the classes that do. So a pair meets in one cell at most, and classes without a common bucket meet
+   only where their blocks are small or hot. Within a cell the MinHash values of each pair are compared
+   some at a time; a pair is dropped as soon as the posterior probability (uniform prior) that its
+   similarity reaches the threshold falls below ``tolerance``. All others are verified on their whole
+   shingle sets. A cell returns its links as counts and a spanning forest, never as pairs.
+4. Forests are joined into classes of near duplicates by their least labels.
 """
 
 from __future__ import annotations
@@ -24,8 +28,10 @@ from tamarack.llm.components import components
 from tamarack.scratch import Scratch
 
 SHINGLE, THRESHOLD, BANDS, ROWS, TOLERANCE = 5, 0.8, 40, 6, 1e-7
-#: Classes, and bytes of text, that a block of a component holds on average.
-BLOCK, BLOCK_BYTES = 768, 8 << 20
+#: Classes, and bytes of text, that a part of a block holds on average.
+BLOCK, BLOCK_BYTES = 768, 4 << 20
+#: Bytes of the table of shared shingles that a cell builds at a time.
+TABLE_BYTES = 32 << 20
 
 
 def shingle_hashes(hashes: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -144,16 +150,22 @@ def _links(texts: list[bytes], signs: np.ndarray, side: np.ndarray, k: int, thre
     _, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = times > 1
     rank = np.cumsum(shared) - 1
-    bits = np.zeros((n, int(shared.sum()) // 8 + 1), dtype=np.uint8)
-    bits = np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8)))
-    of = np.repeat(np.arange(n), sizes)
     live = shared[place]
-    np.bitwise_or.at(bits, (of[live], rank[place[live]] // 8), (1 << (rank[place[live]] % 8)).astype(np.uint8))
-    words = bits.view(np.uint64)
-    both = np.empty(len(ii), dtype=np.int64)
-    step = max(1, 2_000_000 // words.shape[1])
-    for lo in range(0, len(ii), step):
-        both[lo : lo + step] = np.bitwise_count(words[ii[lo : lo + step]] & words[jj[lo : lo + step]]).sum(axis=1, dtype=np.int64)
+    of, rank = np.repeat(np.arange(n), sizes)[live], rank[place[live]]
+    both = np.zeros(len(ii), dtype=np.int64)
+    width = max(64, TABLE_BYTES * 8 // n // 64 * 64)
+    order = np.argsort(rank, kind="stable")
+    of, rank = of[order], rank[order]
+    for first in range(0, int(rank[-1]) + 1 if len(rank) else 0, width):
+        lo, hi = np.searchsorted(rank, (first, first + width))
+        bit = rank[lo:hi] - first
+        bits = np.zeros((n, -(-min(width, int(bit[-1]) + 1) // 64) * 8), dtype=np.uint8)
+        np.bitwise_or.at(bits, (of[lo:hi], bit // 8), (1 << (bit % 8)).astype(np.uint8))
+        words = bits.view(np.uint64)
+        step = max(1, 2_000_000 // words.shape[1])
+        for at in range(0, len(ii), step):
+            part = slice(at, at + step)
+            both[part] += np.bitwise_count(words[ii[part]] & words[jj[part]]).sum(axis=1, dtype=np.int64)
     linked = both / (sizes[ii] + sizes[jj] - both) >= threshold
     return ii[linked], jj[linked]
 
@@ -172,7 +184,7 @@ def _roots(n: int, ii: np.ndarray, jj: np.ndarray) -> np.ndarray:
 
 
 def _verify(k: int, bands: int, rows: int, threshold: float, tolerance: float):
-    def cell(node: np.ndarray, copies: np.ndarray, side: np.ndarray, whole: bool, keys: np.ndarray, texts: list[bytes]) -> pa.RecordBatch:
+    def cell(node: np.ndarray, copies: np.ndarray, side: np.ndarray, keys: np.ndarray, texts: list[bytes]) -> pa.RecordBatch:
         signs = np.stack([(keys >> (8 * r)) & 0xFF for r in range(rows)], axis=2).astype(np.uint8).reshape(len(node), bands * rows)
         ii, jj = _links(texts, signs, side, k, threshold, tolerance)
         classes = np.bincount(ii, minlength=len(node)) + np.bincount(jj, minlength=len(node))
@@ -181,7 +193,9 @@ def _verify(k: int, bands: int, rows: int, threshold: float, tolerance: float):
         np.add.at(docs, jj, copies[ii])
         root = _roots(len(node), ii, jj)
         some = np.flatnonzero(classes)
-        return pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(node[root[some]]), pa.array(docs[some]), pa.array(classes[some]), pa.array(np.full(len(some), whole))], names=["node", "root", "docs", "texts", "whole"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(x) for x in (node[some], node[root[some]], docs[some], classes[some])], names=["node", "root", "docs", "texts"]
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -189,23 +203,48 @@ def _verify(k: int, bands: int, rows: int, threshold: float, tolerance: float):
 
         def done() -> Iterator[pa.RecordBatch]:
             if len(held) > 1:
-                node, copies, side, whole, keys, texts = zip(*held, strict=True)
-                yield cell(np.array(node), np.array(copies), np.array(side), whole[0], np.array(keys), list(texts))
+                node, copies, side, keys, texts = zip(*held, strict=True)
+                yield cell(np.array(node), np.array(copies), np.array(side), np.array(keys), list(texts))
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("cell", "node", "copies", "side", "whole")]
+            columns = [batch.column(c).to_pylist() for c in ("cell", "node", "copies", "side")]
             keys = batch.column("bands").flatten().to_numpy().reshape(-1, bands)
             for row, text in enumerate(common.encoded(batch.column("text"))):
                 if columns[0][row] != at:
                     yield from done()
                     held, at = [], columns[0][row]
                 if not held or held[-1][0] != columns[1][row]:
-                    held.append((columns[1][row], columns[2][row], columns[3][row], columns[4][row], keys[row].copy(), text))
+                    held.append((columns[1][row], columns[2][row], columns[3][row], keys[row].copy(), text))
         yield from done()
 
     return run
 
 
+def _cells(tables: Scratch, classes: DataFrame, block: int) -> DataFrame:
+    """(cell, side, node): the classes that each cell compares; side 0 and 1 in a cell of two parts, else -1."""
+    dealt = classes.select("node", F.explode("bands").alias("band"))
+    heads = dealt.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("head")).where("n > 1").drop("n")
+    members = tables.keep(dealt.join(heads, "band"), "members")
+    near = members.groupBy("node").agg(F.min("head").alias("near")).join(classes.select("node", "size"), "node")
+    near = tables.keep(near, "near")
+    sizes = near.groupBy("near").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    parts = F.greatest(F.ceil(F.col("n") / F.lit(block)), F.ceil(F.col("bytes") / F.lit(BLOCK_BYTES))).cast("int")
+    placed = near.join(sizes.select("near", "n", parts.alias("parts")), "near").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    placed = tables.keep(placed.select("node", "near", "part", "parts", "n"), "placed")
+    tables.drop("near")
+    within = placed.where("n > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    within = within.select("node", "near", "part", F.col("near").alias("near2"), F.col("other").alias("part2"))
+    # buckets that hold several nears: each class meets the parts of the other nears in the bucket
+    seen = members.select("band", "node").join(placed.select("node", "near", "part"), "node")
+    mixed = seen.groupBy("band").agg(F.min("near").alias("low"), F.max("near").alias("high")).where("low < high").select("band")
+    seen = tables.keep(seen.join(mixed, "band"), "mixed")
+    others = seen.select("band", F.col("near").alias("near2"), F.col("part").alias("part2")).distinct()
+    across = seen.join(others, "band").where("near <> near2").select("node", "near", "part", "near2", "part2").distinct()
+    own, other = F.struct("near", "part"), F.struct(F.col("near2").alias("near"), F.col("part2").alias("part"))
+    side = F.when(own > other, 1).when(own < other, 0).otherwise(-1)
+    return within.unionByName(across).select(F.struct(F.least(own, other).alias("a"), F.greatest(own, other).alias("b")).alias("cell"), side.alias("side"), "node")
+
+
 def similar(spark: SparkSession, docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, key, group (internal number), class_id, n_links, n_text_links.
 
@@ -222,24 +261,14 @@ def similar(spark: SparkSession, docs: DataFrame, k: int = SHINGLE, threshold: f
         signed.groupBy("c1", "c2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.min(F.struct(F.coalesce("doc_id", F.lit(0)), "doc_id", "key")).alias("at"), F.max("size").alias("size"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()),
         "classes",
     )
-    dealt = classes.select("node", F.explode("bands").alias("band"))
-    heads = dealt.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("head")).where("n > 1").drop("n")
-    stars = tables.keep(dealt.join(heads, "band").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    near = components(tables, stars, "candidates")
-    members = near.join(classes.select("node", "copies", "at", "size", "bands"), "node")
-    blocks = near.join(classes.select("node", "size"), "node").groupBy("label").agg(F.greatest(F.ceil(F.count("*") / F.lit(block)), F.ceil(F.sum("size") / F.lit(BLOCK_BYTES))).cast("int").alias("blocks"))
-    members = members.join(blocks, "label").withColumn("own", F.pmod(F.hash("node"), F.col("blocks")))
-    fetched = members.alias("m").join(texts.alias("t"), F.col("m.at.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("m.at.key") == F.col("t.key"))).select("m.*", "t.text")
-    cells = fetched.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select(
-        F.struct("label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).alias("cell"), "node", "copies", F.when(F.col("own") > F.col("other"), 1).when(F.col("own") < F.col("other"), 0).otherwise(-1).alias("side"), (F.col("blocks") == 1).alias("whole"), "bands", "text"
-    )
-    sorted_cells = cells.repartition("cell").sortWithinPartitions("cell", "node").withColumn("cell", F.concat_ws("/", "cell.label", "cell.i", "cell.j"))
-    links = tables.keep(sorted_cells.mapInArrow(_verify(k, bands, rows, threshold, tolerance), "node long, root long, docs long, texts long, whole boolean"), "links")
-    labels = links.where("whole").select("node", F.col("root").alias("label"))
-    parted = links.where("not whole").select(F.col("root").alias("a"), F.col("node").alias("b"))
-    if not parted.isEmpty():
-        labels = labels.union(components(tables, parted, "classes-across"))
+    cells = _cells(tables, classes, block)
+    members = cells.groupBy("node").agg(F.collect_list(F.struct("cell", "side")).alias("cells")).join(classes.select("node", "copies", "at", "bands"), "node")
+    same = F.col("m.at.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("m.at.key") == F.col("t.key"))
+    fetched = members.alias("m").join(texts.alias("t"), same).select("m.node", "m.copies", "m.bands", "t.text", F.explode("m.cells").alias("c"))
+    dealt = fetched.select("c.cell", "c.side", "node", "copies", "bands", "text").repartition("cell").sortWithinPartitions("cell", "node")
+    dealt = dealt.withColumn("cell", F.concat_ws("/", "cell.a.near", "cell.a.part", "cell.b.near", "cell.b.part"))
+    links = tables.keep(dealt.mapInArrow(_verify(k, bands, rows, threshold, tolerance), "node long, root long, docs long, texts long"), "links")
+    labels = components(tables, links.select(F.col("root").alias("a"), F.col("node").alias("b")), "groups")
     counted = links.groupBy("node").agg(F.sum("docs").alias("docs"), F.sum("texts").alias("texts"))
     grouped = labels.join(classes.select("node", "least"), "node")
     least = grouped.groupBy("label").agg(F.min("least").alias("class_id"))
