@@ -61,3 +61,45 @@ def test_chunks_do_not_matter(monkeypatch):
     whole = model.scores(texts)
     monkeypatch.setattr(language, "_CHUNK", 16)
     assert abs(model.scores(texts) - whole).max() < 1e-6
+
+
+FOREIGN = [
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan.",
+    "Minden emberi lény szabadon születik és egyenlő méltósága és joga van.",
+    "Съешь же ещё этих мягких французских булок, да выпей чаю",
+    "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である",
+    "asdkjh qwlkej zmxncb",
+    "jkdfh sdkjfh weriuy cvbnm zxqwe " * 20,
+]
+SF = "/root/testdata/sf0.01"
+
+
+def test_tables_are_kept_and_the_rest_is_rejected(spark):
+    import numpy as np
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language.fit(docs)
+    truth = {r.doc_id: (r.lang, r.text) for r in docs.collect() if r.lang and r.text}
+    rows = [r for r in language.identify(spark, docs, model).collect() if r.held_out and r.doc_id in truth]
+    assert len(rows) > 100
+    assert sum(r.lang_pred == truth[r.doc_id][0] for r in rows) / len(rows) > 0.98
+    assert sum(r.rejected for r in rows) / len(rows) < 0.02
+    assert not language._judge(model, [t.encode() for t in FOREIGN])[2].any()
+    # runs of words of held-out texts stay, noise of the same lengths goes
+    rng = np.random.default_rng(4)
+    for n, least_noise in ((4, 0.8), (16, 0.9), (64, 0.9)):
+        texts = [truth[r.doc_id][1].encode().split() for r in rows]
+        runs = [b" ".join(t[a : a + n]) for t in texts if len(t) > n for a in rng.integers(0, len(t) - n, 3)]
+        assert language._judge(model, runs)[2].mean() > 0.97
+        assert 1 - language._judge(model, [language.noise(x, rng) for x in runs])[2].mean() > least_noise
+
+
+def test_the_sample_is_bounded(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(language, "train", lambda texts, langs, held, **o: seen.append((texts, langs)))
+    rows = [(i, f"text {i} " * 10, f"l{i % 5}" if i % 9 else "rare") for i in range(2000)] + [(7001, "x" * 3000, "l1")] * 50 + [(7003, "same", "l1")] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    language.fit(docs, rows_each=40, text_bytes=2000, languages=4)
+    texts, langs = seen[0]
+    assert len(set(langs)) == 4 and max(map(len, texts)) <= 2000
+    assert all(langs.count(g) < 100 for g in set(langs)) and texts.count(b"same") <= 1
