@@ -1,8 +1,8 @@
 """Words and word n-grams of many texts at once, as 64-bit hashes in numpy.
 
 A word is ``[^\\x20\\x09-\\x0D]+`` over the text's UTF-8 bytes, unchanged. Hashing goes over all
-bytes of a batch in bounded pieces, so memory follows the piece and not the batch or the text;
-what remains per text is eight bytes a word.
+bytes of a batch in pieces of bounded size, which may end inside a word; beside the bytes themselves,
+memory follows the piece and the number of words, not the length of a text or of a word.
 """
 
 from __future__ import annotations
@@ -28,17 +28,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Places of a word that have a factor of their own; further ones multiply it by one for their page.
+_PAGE = 4096
 with np.errstate(over="ignore"):
     _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _STEP)
-    _PLACE = mix(np.arange(1, 4097, dtype=np.uint64) * _BASE) | np.uint64(1)
+    _PLACE = mix(np.arange(1, _PAGE + 1, dtype=np.uint64) * _BASE) | np.uint64(1)
 
 
-def _places(n: int) -> np.ndarray:
-    global _PLACE
-    if n > len(_PLACE):
+def _factors(place: np.ndarray) -> np.ndarray:
+    if place.max(initial=0) < _PAGE:
+        return _PLACE[place]
+    out = _PLACE[place % _PAGE]
+    far = np.flatnonzero(place >= _PAGE)
+    if len(far):
         with np.errstate(over="ignore"):
-            _PLACE = mix(np.arange(1, 2 * n + 1, dtype=np.uint64) * _BASE) | np.uint64(1)
-    return _PLACE
+            out[far] *= mix((place[far] // _PAGE).astype(np.uint64) * _STEP) | np.uint64(1)
+    return out
 
 
 def slices(sizes: Sequence[int], limit: int = PIECE) -> Iterator[tuple[int, int]]:
@@ -53,7 +58,8 @@ def slices(sizes: Sequence[int], limit: int = PIECE) -> Iterator[tuple[int, int]
         yield lo, len(sizes)
 
 
-def _hash_piece(buf: np.ndarray, spaces: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _piece_sums(buf: np.ndarray, spaces: np.ndarray, before: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and sum of terms of each word in a piece whose first word has ``before`` bytes in the pieces before."""
     inside = ~spaces[buf]
     edge = np.diff(np.concatenate((np.zeros(1, np.int8), inside.view(np.int8), np.zeros(1, np.int8))))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -62,27 +68,30 @@ def _hash_piece(buf: np.ndarray, spaces: np.ndarray) -> tuple[np.ndarray, np.nda
     lens = ends - starts
     first = np.cumsum(lens) - lens
     place = np.arange(int(lens.sum()), dtype=np.int32) - np.repeat(first.astype(np.int32), lens)
+    if before:
+        place = place.astype(np.int64)
+        place[: lens[0]] += before
     with np.errstate(over="ignore"):
-        terms = _BYTE[buf[inside]] * _places(int(lens.max()))[place]
-        return starts, ends, mix(np.add.reduceat(terms, first) + lens.astype(np.uint64) * _STEP)
+        return starts, ends, np.add.reduceat(_BYTE[buf[inside]] * _factors(place), first)
 
 
 def words(texts: Sequence[bytes], spaces: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of the texts joined by newlines: the bytes, each word's start, end and hash, and the words of each text."""
     buf = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
-    parts, a = [], 0
-    while a < len(buf):
-        b = min(len(buf), a + PIECE)
-        if b < len(buf):
-            back = np.flatnonzero(spaces[buf[a:b]])
-            while not len(back) and b < len(buf):
-                b = min(len(buf), b + PIECE)
-                back = np.flatnonzero(spaces[buf[a:b]])
-            b = a + int(back[-1]) + 1 if len(back) and b < len(buf) else b
-        s, e, h = _hash_piece(buf[a:b], spaces)
-        parts.append((s + a, e + a, h))
-        a = b
-    starts, ends, hashes = (np.concatenate([p[i] for p in parts]) for i in range(3)) if parts else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64))
+    parts: list[list[np.ndarray]] = []
+    for a in range(0, len(buf), PIECE):
+        last = next((p for p in reversed(parts) if len(p[0])), None)
+        goes_on = last is not None and last[1][-1] == a and not spaces[buf[a]]
+        start, end, total = _piece_sums(buf[a : a + PIECE], spaces, a - int(last[0][-1]) if goes_on else 0)
+        start, end = start + a, end + a
+        if goes_on:
+            with np.errstate(over="ignore"):
+                last[1][-1], last[2][-1] = end[0], last[2][-1] + total[0]
+            start, end, total = start[1:], end[1:], total[1:]
+        parts.append([start, end, total])
+    starts, ends, hashes = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    with np.errstate(over="ignore"):
+        hashes = mix(hashes + (ends - starts).astype(np.uint64) * _STEP)
     bounds = np.cumsum([len(t) + 1 for t in texts])
     cuts = np.searchsorted(starts, bounds)
     counts = np.diff(np.concatenate(([0], cuts)))
