@@ -79,5 +79,55 @@ def test_mixed_repeats_rows(spark, docs, plain):
     assert {k: v for k, v in draws.items() if v} == dict(have)
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 10, 17, 100, 1001])
+def test_permuted_is_a_permutation(spark, n):
+    got = [r.y for r in spark.range(n).select(mixing.permuted("id", str(n), "'salt'").alias("y")).collect()]
+    assert sorted(got) == list(range(n))
+    if n >= 100:
+        assert abs(np.corrcoef(got, range(n))[0, 1]) < 0.25 and sum(abs(a - b) == 1 for a, b in zip(got, got[1:], strict=False)) < n / 10
+
+
+def test_the_tree_deals_what_is_taken(spark, docs, monkeypatch):
+    plans = []
+    own = mixing.quotas
+
+    def seen(blocks, shards, seed):
+        out = own(blocks, shards, seed)
+        plans.append(({r.sid: r.blocks for r in blocks.collect()}, {r.sid: r.ends for r in out.collect()}))
+        return out
+
+    monkeypatch.setattr(mixing, "quotas", seen)
+    rows = mixing.mix(spark, docs, shards=4, block_words=50).collect()
+    quota, ends = plans[0]
+    names = sorted({r.source for r in rows}, key=lambda s: (s is None, s))
+    for sid, name in enumerate(names):
+        at = {(d.block, d.shard) for r in rows if r.source == name for d in r.draws}
+        # a block is in one shard, the one whose part of the quota it falls in
+        assert all(0 <= b < quota[sid] and s == sum(e <= b for e in ends[sid]) for b, s in at)
+        assert ends[sid][-1] == quota[sid]
+    assert len({d.shard for r in rows for d in r.draws}) == 4
+
+    # without the tree's last shard, its blocks are not taken; without the tree nothing is
+    def short(blocks, shards, seed):
+        return own(blocks, shards, seed).withColumn("ends", F.transform("ends", lambda e: F.least(e, F.element_at("ends", -2))))
+
+    monkeypatch.setattr(mixing, "quotas", short)
+    fewer = {(r.doc_id, r.order_key): len(r.draws) for r in mixing.mix(spark, docs, shards=4, block_words=50).collect()}
+    for r in rows:
+        assert fewer[(r.doc_id, r.order_key)] == sum(d.shard < 3 for d in r.draws)
+
+
+def test_rows_lie_in_the_order_of_the_shards(spark, docs):
+    draws = {}
+    for r in mixing.mix(spark, docs, shards=4, block_words=50).collect():
+        draws.setdefault(r.doc_id, []).extend((d.shard, d.shuffle_key % (1 << 64) >> 1) for d in r.draws)
+    once = {i: d[0] for i, d in draws.items() if len(d) == 1}
+    got = mixing.mixed(spark, docs, shards=4, block_words=50).withColumn("part", F.spark_partition_id()).collect()
+    assert len(got) == sum(map(len, draws.values()))
+    for part in {r.part for r in got}:
+        places = [once[r.doc_id] for r in got if r.part == part and r.doc_id in once]
+        assert places == sorted(places)
+
+
 def test_empty(spark, empty):
     assert mixing.mix(spark, empty).count() == 0
