@@ -11,24 +11,29 @@ PHONE = r"\+?\(?\d(?=(?:[\s().\-]*\d){6})[\d\s().\-]{5,}\d"
 URL = r"(?i)(?:https?://|www\.)[^\s<>\"'()]+"
 STREETS = "street|st|avenue|ave|road|rd|boulevard|blvd|lane|ln|drive|dr|way|court|ct|highway|hwy|parkway|pkwy|place|pl|trail|trl|circle|cir|terrace|ter|square|sq|loop|expressway|expy|freeway|fwy|route|rte"
 ADDRESS = rf"(?i)\b\d{{1,6}}[A-Za-z]?\s+(?:[A-Za-z0-9'.\-]+\s+){{0,4}}(?:{STREETS})\b\.?"
-PHONE_REMOVED, EMAIL_REMOVED, ADDRESS_REMOVED = "[phone removed]", "[email removed]", "[address removed]"
+# What is replaced by which token, in this order.
+TOKENS = ((PHONE, "[phone removed]"), (EMAIL, "[email removed]"), (ADDRESS, "[address removed]"))
 
 
-def scrub_phones(text: Column) -> Column:
-    return F.regexp_replace(text, PHONE, PHONE_REMOVED)
+def replaced(text: Column, *patterns: str) -> Column:
+    """``text`` with what these of the patterns find replaced by their tokens."""
+    for pattern, token in TOKENS:
+        if pattern in patterns:
+            text = F.regexp_replace(text, pattern, token)
+    return text
 
 
-def scrub_emails(text: Column) -> Column:
-    return F.regexp_replace(text, EMAIL, EMAIL_REMOVED)
+def without_known(text: Column, known: Column) -> Column:
+    """``text`` with each of the literal addresses (an array) replaced, the longest first, in any case."""
+    token = TOKENS[2][1]
+    literals = F.array_sort(F.filter(known, lambda k: F.length(F.trim(k)) > 0), lambda a, b: F.length(b) - F.length(a))
+    pattern = lambda k: F.concat(F.lit("(?i)"), F.regexp_replace(F.trim(k), r"([\\.\[\]{}()*+?^$|\-])", r"\\$1"))
+    return F.aggregate(F.coalesce(literals, F.array().cast("array<string>")), text, lambda acc, k: F.regexp_replace(acc, pattern(k), F.lit(token)))
 
 
-def scrub_addresses(text: Column) -> Column:
-    return F.regexp_replace(text, ADDRESS, ADDRESS_REMOVED)
-
-
-def scrub(text: Column) -> Column:
-    """Phones, then e-mail addresses, then street addresses."""
-    return scrub_addresses(scrub_emails(scrub_phones(text)))
+def scrub(text: Column, known: Column | None = None) -> Column:
+    """Known literal addresses, then phones, e-mail addresses and street addresses."""
+    return replaced(text if known is None else without_known(text, known), *(p for p, _ in TOKENS))
 
 
 def find(text: Column, pattern: str) -> Column:

@@ -10,10 +10,10 @@ STREET_ABBREVIATIONS = {
     "st": "street", "str": "street", "ave": "avenue", "av": "avenue", "rd": "road", "blvd": "boulevard", "dr": "drive", "ln": "lane", "ct": "court", "cir": "circle", "pkwy": "parkway", "pky": "parkway", "hwy": "highway", "sq": "square", "ter": "terrace", "trl": "trail", "pl": "place", "expy": "expressway", "ste": "suite", "apt": "apartment", "bldg": "building", "fl": "floor",
     "n": "north", "s": "south", "e": "east", "w": "west", "ne": "northeast", "nw": "northwest", "se": "southeast", "sw": "southwest",
 }
-# USPS codes of the states and the District of Columbia.
+# USPS codes of the states, the District of Columbia and Puerto Rico.
 STATES = {
     "alabama": "AL", "alaska": "AK", "arizona": "AZ", "arkansas": "AR", "california": "CA", "colorado": "CO", "connecticut": "CT", "delaware": "DE", "district of columbia": "DC", "florida": "FL", "georgia": "GA", "hawaii": "HI", "idaho": "ID", "illinois": "IL", "indiana": "IN", "iowa": "IA", "kansas": "KS", "kentucky": "KY", "louisiana": "LA", "maine": "ME", "maryland": "MD", "massachusetts": "MA", "michigan": "MI", "minnesota": "MN", "mississippi": "MS", "missouri": "MO",
-    "montana": "MT", "nebraska": "NE", "nevada": "NV", "new hampshire": "NH", "new jersey": "NJ", "new mexico": "NM", "new york": "NY", "north carolina": "NC", "north dakota": "ND", "ohio": "OH", "oklahoma": "OK", "oregon": "OR", "pennsylvania": "PA", "rhode island": "RI", "south carolina": "SC", "south dakota": "SD", "tennessee": "TN", "texas": "TX", "utah": "UT", "vermont": "VT", "virginia": "VA", "washington": "WA", "west virginia": "WV", "wisconsin": "WI", "wyoming": "WY",
+    "montana": "MT", "nebraska": "NE", "nevada": "NV", "new hampshire": "NH", "new jersey": "NJ", "new mexico": "NM", "new york": "NY", "north carolina": "NC", "north dakota": "ND", "ohio": "OH", "oklahoma": "OK", "oregon": "OR", "pennsylvania": "PA", "puerto rico": "PR", "rhode island": "RI", "south carolina": "SC", "south dakota": "SD", "tennessee": "TN", "texas": "TX", "utah": "UT", "vermont": "VT", "virginia": "VA", "washington": "WA", "west virginia": "WV", "wisconsin": "WI", "wyoming": "WY",
 }
 # Listing type to industry.
 INDUSTRIES = {
@@ -120,5 +120,10 @@ def effective_limit(requested: Column, cap: Column, most: int = 60) -> Column:
     return F.greatest(F.least(requested, F.least(cap, F.lit(most))), F.lit(0))
 
 
+def run_call_ceiling(limit: Column, multiplier: int = 2, page: int = 20) -> Column:
+    """Most calls that a run for so many results may make."""
+    return F.lit(multiplier) * F.ceil(limit / page)
+
+
 def build_query(industry: Column, city: Column, state: Column) -> Column:
     return F.when(city.isNotNull() & state.isNotNull(), F.concat(industry, F.lit(" in "), city, F.lit(", "), state)).otherwise(industry)

@@ -14,7 +14,8 @@ def payload_hash(**fields: Column) -> Column:
 
 
 def input_hash(version: str, model: Column, body: Column) -> Column:
-    return F.sha2(F.concat_ws("|", F.lit(version), model, body), 256)
+    """sha256 of the parts as a JSON array, so that no two inputs run together and null is a value of its own."""
+    return F.sha2(F.to_json(F.array(F.lit(version), model.cast("string"), body.cast("string"))), 256)
 
 
 def encode_cursor(*parts: Column) -> Column:
@@ -64,6 +65,11 @@ def robots_allowed(status: Column, allowed_by_rules: Column) -> Column:
     return F.when(status.between(400, 499), True).when(~status.between(200, 299) | status.isNull(), False).otherwise(allowed_by_rules)
 
 
+def fresh(checked_at: Column, now: Column, seconds: int) -> Column:
+    """Whether a snapshot is younger than ``seconds``; one that was never taken is not."""
+    return F.coalesce(F.unix_timestamp(now) - F.unix_timestamp(checked_at) < seconds, F.lit(False))
+
+
 def protect_cell(value: Column) -> Column:
     """Text of a spreadsheet cell: null is empty, a leading sign that starts a formula gets a quote before it."""
     text = F.coalesce(value.cast("string"), F.lit(""))

@@ -36,6 +36,12 @@ def combine(confidences: Column) -> Column:
     return F.round(F.least(1 - rest, F.lit(MOST_CONFIDENCE)), 3)
 
 
+def combined(confidence: Column) -> Column:
+    """``combine`` as an aggregate over rows, with partial aggregation; 0 where none is known."""
+    held = F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence.cast("double")))
+    return F.round(F.least(1 - F.coalesce(F.product(1 - held), F.lit(1.0)), F.lit(MOST_CONFIDENCE)), 3)
+
+
 def weighted(parts: dict[str, Column], weights: dict[str, float] = SCORE_WEIGHTS) -> Column:
     """Sum of the parts, each to 3 places, by weight; in decimals, so that the third place is exact, half up."""
     term = lambda k, v: F.lit(Decimal(str(weights[k]))) * F.round(v.cast("double"), 3).cast("decimal(6,3)")

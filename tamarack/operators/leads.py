@@ -10,6 +10,8 @@ from tamarack.functions import pii, scores, text
 # What may be sold, and which findings speak for it without a page having been read.
 SERVICES = ("website_design", "seo_gbp", "booking_setup", "ai_chat_setup", "ads_social")
 _SEVERITY_ORDER = ("high", "medium", "low", "info")
+# Findings that name servers and the registry tell, never the page.
+DOMAIN_CODES = ("domain_expired", "domain_no_a_record", "domain_expiring_soon", "multiple_spf_records", "spf_allows_all", "no_spf", "no_dmarc", "dmarc_policy_none", "no_domain_mx")
 
 
 def severity_rank(severity: Column) -> Column:
@@ -25,6 +27,17 @@ def rule_opportunities(findings: DataFrame) -> DataFrame:
     return grouped.select("business_id", "service", scores.combine(part("c")).alias("confidence"), F.array_join(part("message"), " ").alias("reason"), part("e").alias("evidence"))
 
 
+def ads_social(audits: DataFrame) -> DataFrame:
+    """Opportunities, as ``rule_opportunities`` gives them, of pages that were read and link to no social profile.
+
+    ``audits``: (business_id, status, parsed, social_links, url). Unknown links tell nothing.
+    """
+    reason = "The homepage links to no social profile."
+    evidence = F.array(F.struct(F.lit(None).cast("string").alias("code"), F.lit(reason).alias("evidence_text"), F.col("url").alias("evidence_url")))
+    rows = audits.where((F.col("status") == "done") & F.col("parsed") & (F.size("social_links") == 0) & F.col("social_links").isNotNull())
+    return rows.select("business_id", F.lit("ads_social").alias("service"), F.lit(scores.SOCIAL_CONFIDENCE).alias("confidence"), F.lit(reason).alias("reason"), evidence.alias("evidence"))
+
+
 def merge(rules: DataFrame, model: DataFrame, answered: Column | None = None) -> DataFrame:
     """Rules and model answers by (business_id, service): the model may confirm, raise a little or add, never remove.
 
@@ -61,6 +74,63 @@ def withdrawn(opportunities: DataFrame) -> DataFrame:
     return opportunities.withColumn("withdraw", F.coalesce((F.col("status") == "pending") & F.col("withdrawn_at").isNull() & gone, F.lit(False)))
 
 
+def judged(rows: DataFrame) -> DataFrame:
+    """Adds ``domain_codes``, ``page_codes``, ``rests_on_page`` and ``can_judge`` to rows (cited, audit_status, answered).
+
+    An audit can judge a row if it looked at every kind of evidence that the row rests on: page evidence, or
+    none at all, needs one that read the page; domain evidence needs an answer (``answered``) to each code cited.
+    """
+    known = F.array(*map(F.lit, DOMAIN_CODES))
+    out = rows.withColumn("domain_codes", F.array_intersect("cited", known)).withColumn("page_codes", F.array_except("cited", known))
+    out = out.withColumn("rests_on_page", (F.size("page_codes") > 0) | (F.size("cited") == 0))
+    read = ~F.col("rests_on_page") | F.coalesce(F.col("audit_status").isin("done", "skipped"), F.lit(False))
+    return out.withColumn("can_judge", read & (F.size(F.array_except("domain_codes", F.coalesce("answered", F.array().cast("array<string>")))) == 0))
+
+
+def wrongly_withdrawn(rows: DataFrame, audits: DataFrame, live: DataFrame) -> DataFrame:
+    """(id, held) of withdrawn rows whose reason names no audit that could judge them; ``held`` says why one stays so.
+
+    ``rows``: (id, business_id, service, status, cited, withdrawn_reason, business_status); ``audits``: (audit_id,
+    audit_status, answered); ``live``: (business_id, service) of rows that wait. Audits are named in the reason as
+    36-digit ids.
+    """
+    ids = F.array_distinct(F.regexp_extract_all("withdrawn_reason", F.lit("[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"), F.lit(0)))
+    named = rows.select("id", "cited", F.explode(ids).alias("audit_id")).join(audits, "audit_id")
+    able = judged(named).groupBy("id").agg(F.every("can_judge").alias("fine"))
+    open_pairs = live.select("business_id", "service", F.lit(True).alias("__live")).distinct()
+    out = rows.join(able, "id", "left").join(open_pairs, ["business_id", "service"], "left").where(~F.coalesce("fine", F.lit(False)))
+    held = F.when(F.col("fine").isNull(), "names no audit").when(F.col("business_status") == "closed_permanently", "closed").when((F.col("status") == "pending") & F.col("__live"), "a live row waits")
+    return out.select("id", held.alias("held"))
+
+
+def undo(requests: DataFrame, decisions: DataFrame, rows: DataFrame, now: Column, minutes: int = 30) -> DataFrame:
+    """(id, verdict, restore_to) for requests (id, actor, is_admin) to undo a decision.
+
+    ``decisions``: (id, opportunity_id, decided_by, decided_at, undone_at, from_status, to_status); ``rows``:
+    (opportunity_id, status). Of several reasons the first counts: not_found, already_undone, not_allowed,
+    closed (the window has passed), conflict (the row has changed since), else ok with the status to restore.
+    """
+    joined = requests.alias("q").join(decisions.alias("d"), "id", "left").join(rows.alias("r"), "opportunity_id", "left")
+    late = now > F.col("d.decided_at") + F.expr(f"interval {minutes} minutes")
+    verdict = F.when(F.col("d.to_status").isNull(), "not_found").when(F.col("d.undone_at").isNotNull(), "already_undone").when(~F.col("q.is_admin") & ~F.col("d.decided_by").eqNullSafe(F.col("q.actor")), "not_allowed")
+    verdict = verdict.when(late, "closed").when(~F.col("r.status").eqNullSafe(F.col("d.to_status")), "conflict").otherwise("ok")
+    return joined.select("id", verdict.alias("verdict"), F.when(verdict == "ok", F.col("d.from_status")).alias("restore_to"))
+
+
+def due_leads(leads: DataFrame, destination: str, now: Column, limit: int = 100) -> DataFrame:
+    """The next scheduled deliveries to ``destination``: those due, earliest first, ``limit`` at most."""
+    due = leads.where((F.col("status") == "scheduled") & (F.col("destination") == destination) & (F.col("due_at") <= now))
+    return due.orderBy("due_at", "lead_id").limit(limit)
+
+
+def carried(leads: DataFrame, links: DataFrame, opportunities: DataFrame) -> DataFrame:
+    """(lead_id, carried): the opportunities (id, service, score) that a lead delivers, best first."""
+    rows = links.join(opportunities, links["opportunity_id"] == opportunities["id"]).join(leads.select("lead_id"), "lead_id")
+    row = F.struct((-F.col("score")).alias("by"), "id", "service", "score")
+    grouped = rows.groupBy("lead_id").agg(F.array_sort(F.collect_list(row)).alias("c"))
+    return grouped.select("lead_id", F.transform("c", lambda x: F.struct(x["id"].alias("id"), x["service"].alias("service"), x["score"].alias("score"))).alias("carried"))
+
+
 def upsert_opportunities(found: DataFrame, stored: DataFrame, blocked: DataFrame) -> DataFrame:
     """What to do with each found (business_id, service): update, revive, skip or create.
 

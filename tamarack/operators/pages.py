@@ -15,34 +15,93 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tamarack.functions import signatures, web
+from tamarack.session import ship
+
 # Limits of the findings.
 SHORT_TITLE, LONG_TITLE, THIN_WORDS, STALE_YEARS, SHELL_TEXT, SHELL_SCRIPTS = 20, 60, 200, 3, 200, 5
+SLOW_SCORE, QUALITY_SCORE, QUALITY_MEDIUM, FEW_REVIEWS, FIRST_YEAR, YEARS_AHEAD = 50, 90, 70, 20, 1995, 30
 # Titles that templates ship with.
 TEMPLATE_TITLES = (
     "home", "homepage", "home page", "welcome", "untitled", "untitled document", "untitled page", "site", "my site", "my website", "website", "my wordpress site", "wordpress", "just another wordpress site",
     "new page", "new site", "index", "business", "my business", "company", "page", "default", "blank", "document", "main", "coming soon", "under construction", "react app",
 )
-# Finding code, severity, service (null: none is sold for it).
-CATALOGUE = (
-    ("no_website", "high", "website_design"), ("social_profile_only", "high", "website_design"), ("unreachable", "high", "website_design"), ("no_https", "high", "website_design"), ("tls_invalid", "high", "website_design"), ("builder_subdomain", "medium", "website_design"), ("site_builder", "low", "website_design"),
-    ("no_mobile_viewport", "high", "website_design"), ("viewport_blocks_zoom", "medium", "website_design"), ("missing_title", "medium", "seo_gbp"), ("default_title", "medium", "seo_gbp"), ("short_title", "low", "seo_gbp"), ("long_title", "low", "seo_gbp"), ("missing_meta_description", "medium", "seo_gbp"), ("no_h1", "low", "seo_gbp"),
-    ("multiple_h1", "low", "seo_gbp"), ("no_structured_data", "low", "seo_gbp"), ("no_local_business_schema", "low", "seo_gbp"), ("invalid_structured_data", "medium", "seo_gbp"), ("nap_phone_mismatch", "low", "seo_gbp"), ("listing_website_http", "low", "seo_gbp"), ("listing_website_host_mismatch", "low", "seo_gbp"),
-    ("no_online_booking", "medium", "booking_setup"), ("no_live_chat", "medium", "ai_chat_setup"), ("no_contact_on_homepage", "high", "website_design"), ("no_click_to_call", "medium", "website_design"), ("placeholder_email", "high", "website_design"), ("placeholder_text", "medium", "website_design"),
-    ("images_without_alt", "low", "website_design"), ("unlabelled_form_fields", "low", "website_design"), ("thin_content", "low", "seo_gbp"), ("no_section_headings", "low", "seo_gbp"), ("heading_level_skipped", "low", "website_design"), ("stale_copyright", "low", "website_design"), ("future_copyright", "medium", "website_design"),
-    ("slow_mobile", "medium", "website_design"), ("low_accessibility_score", "low", "website_design"), ("low_best_practices_score", "low", "website_design"), ("js_shell_suspected", "info", None), ("few_reviews", "low", "seo_gbp"), ("robots_blocked", "info", None), ("domain_expired", "high", None), ("domain_no_a_record", "high", None),
-    ("domain_expiring_soon", "medium", None), ("multiple_spf_records", "medium", None), ("spf_allows_all", "medium", None), ("no_spf", "low", None), ("no_dmarc", "low", None), ("dmarc_policy_none", "low", None), ("no_domain_mx", "low", None),
-)
-_BOOKING = re.compile(r"calendly\.com|acuityscheduling\.com|squareup\.com/appointments|booksy\.com|setmore\.com|book(?:ing)?\s+(?:now|online|appointment)|schedule\s+(?:online|now)", re.I)
-_CHAT = re.compile(r"intercom|drift\.com|tawk\.to|livechatinc|crisp\.chat|tidio|zendesk|hubspot.*conversations", re.I)
-_SOCIAL = re.compile(r"https?://(?:www\.)?(facebook|instagram|linkedin|twitter|x|tiktok|youtube|yelp)\.com/", re.I)
-_TECH = {"wordpress": "wp-content", "wix": "static.wixstatic", "squarespace": "squarespace", "shopify": "cdn.shopify", "webflow": "webflow", "weebly": "weebly", "google_analytics": "google-analytics|gtag\\(", "jquery": "jquery", "react": "data-reactroot|__next"}
+# Finding code, severity, service (-: none is sold for it); then our wording, {} for what was found.
+CATALOGUE = tuple(
+    tuple(None if part.strip() == "-" else part.strip() for part in line.split("|"))
+    for line in """
+no_website | high | website_design | The listing gives no website.
+social_profile_only | high | website_design | The listing gives a social profile where a website would be.
+unreachable | high | website_design | The homepage did not load: {}.
+no_https | high | website_design | The homepage is served without https.
+tls_invalid | high | website_design | The certificate of the homepage could not be verified: {}.
+builder_subdomain | medium | website_design | The homepage is on a subdomain of a website builder, {}.
+site_builder | low | website_design | The homepage is made with a website builder: {}.
+no_mobile_viewport | high | website_design | The homepage has no viewport tag for phones.
+viewport_blocks_zoom | medium | website_design | The viewport tag keeps visitors on phones from zooming: {}.
+missing_title | medium | seo_gbp | The homepage has no title.
+default_title | medium | seo_gbp | The title is one that templates ship with: {}.
+short_title | low | seo_gbp | The title is short: {}.
+long_title | low | seo_gbp | The title is long: {}.
+missing_meta_description | medium | seo_gbp | The homepage has no description for search engines.
+no_h1 | low | seo_gbp | The homepage has no main heading.
+multiple_h1 | low | seo_gbp | The homepage has several main headings: {}.
+no_structured_data | low | seo_gbp | The homepage has no structured data.
+no_local_business_schema | low | seo_gbp | The structured data names no local business: {}.
+invalid_structured_data | medium | seo_gbp | A block of structured data cannot be read.
+nap_phone_mismatch | low | seo_gbp | The phone number of the page is not the listing's: {}.
+listing_website_http | low | seo_gbp | The listing links to http where the site answers on https: {}.
+listing_website_host_mismatch | low | seo_gbp | The listing's link and the site differ in www: {}.
+no_online_booking | medium | booking_setup | The homepage offers no online booking.
+no_live_chat | medium | ai_chat_setup | The homepage has no live chat.
+no_contact_on_homepage | high | website_design | The homepage has neither a phone link nor a mail link nor a form.
+no_click_to_call | medium | website_design | The homepage has no phone link.
+placeholder_email | high | website_design | The homepage links to a template's mail address: {}.
+placeholder_text | medium | website_design | The homepage shows a template's text: {}.
+images_without_alt | low | website_design | Images without a text alternative: {}.
+unlabelled_form_fields | low | website_design | Form fields without a label: {}.
+thin_content | low | seo_gbp | The homepage has little text, in words: {}.
+no_section_headings | low | seo_gbp | The homepage has no headings below the main one.
+heading_level_skipped | low | website_design | Heading levels are skipped: {}.
+stale_copyright | low | website_design | The copyright notice is old: {}.
+future_copyright | medium | website_design | The copyright notice is of a year to come: {}.
+slow_mobile | medium | website_design | The page is slow on phones, with a score of {}.
+low_accessibility_score | low | website_design | The accessibility score is low: {}.
+low_best_practices_score | low | website_design | The score for good practice is low: {}.
+js_shell_suspected | info | - | The homepage seems to be built by scripts, so its text was not seen.
+few_reviews | low | seo_gbp | The listing has few reviews: {}.
+robots_blocked | info | - | The site asks not to be read: {}.
+domain_expired | high | website_design | The domain has expired.
+domain_no_a_record | high | website_design | The domain has no address record.
+domain_expiring_soon | medium | website_design | The domain expires soon.
+multiple_spf_records | medium | - | The domain has several SPF records.
+spf_allows_all | medium | - | The SPF record lets anyone send mail.
+no_spf | low | - | The domain has no SPF record.
+no_dmarc | low | - | The domain has no DMARC record.
+dmarc_policy_none | low | - | The DMARC policy asks for nothing.
+no_domain_mx | low | - | The domain has no mail server.
+""".strip().splitlines()
+)
+# Findings that an audit of this status may contribute; other statuses keep all.
+DOMAIN_FINDINGS = ("domain_expired", "domain_no_a_record", "domain_expiring_soon")
+ALLOWED = {
+    "unreachable": ("unreachable", "tls_invalid", "few_reviews", *DOMAIN_FINDINGS),
+    "not_readable": ("listing_website_http", "listing_website_host_mismatch", *DOMAIN_FINDINGS),
+    "bot_challenge": DOMAIN_FINDINGS,
+}
 _SILENT = {"script", "style", "noscript", "template", "svg"}
-_YEARS = re.compile(r"(?:©|\(c\)|copyright)\D{0,40}?((?:19|20)\d{2})(?:\s*[-–—]\s*((?:19|20)\d{2}|present|now))?", re.I)
-_PLACEHOLDER = re.compile(r"lorem ipsum|your text here|coming soon|under construction|company name here", re.I)
+_MARK = r"(?:©|&copy;|\(c\)|copyright)"
+_NOTICE = re.compile(rf"{_MARK}[^0-9]{{0,40}}(\d{{4}})(?!\d)", re.I)
+_RANGE = re.compile(rf"{_MARK}[^0-9]{{0,40}}\d{{4}}\s*[-–—]\s*(\d{{4}})(?!\d)", re.I)
+_BESIDE = re.compile(rf"{_MARK}(?:\s*{_MARK})*\s*(\d{{4}})(?:\s*[-–—]\s*(\d{{4}}))?(?!\d)", re.I)
+_OPEN = re.compile(r"\s*[-–—](?!\s*\d)")
 
 CHECKS = (
-    "title string, meta_description string, viewport_meta boolean, viewport_zoom_blocked boolean, canonical string, h1_count int, heading_skips int, section_headings int, word_count int, tel_link boolean, mailto_address string, placeholder_email boolean, contact_form boolean, "
-    "booking boolean, live_chat boolean, social_links array<string>, tech array<string>, structured_types array<string>, local_business boolean, broken_structured_data boolean, copyright_year int, placeholder_text string, images_without_alt int, unlabelled_inputs int, scripts int, links int, js_shell boolean, lang string, html_bytes int"
+    "title string, meta_description string, viewport_meta boolean, viewport_zoom_blocked string, canonical string, h1_count int, heading_skips int, section_headings int, "
+    "word_count int, tel_link boolean, tel_numbers array<string>, mailto_address string, placeholder_email boolean, contact_form boolean, booking boolean, booking_label string, "
+    "booking_method string, booking_evidence string, booking_target string, live_chat boolean, chat_evidence string, social_links array<string>, tech array<string>, "
+    "builder string, builder_evidence string, structured_types array<string>, local_business boolean, broken_structured_data boolean, copyright_year int, copyright_open boolean, "
+    "copyright_evidence string, placeholder_text string, images_without_alt int, unlabelled_inputs int, scripts int, links int, js_shell boolean, lang string, html_bytes int"
 )
 
 
@@ -57,6 +116,10 @@ class Page(HTMLParser):
         self.meta: dict[str, str] = {}
         self.levels: list[int] = []
         self.hrefs: list[str] = []
+        #: What a visitor clicks: [href or None, its own words, its markup, whether it is a link].
+        self.clicks: list[list] = []
+        self.inside: list[list] = []
+        self.footer, self.footers = 0, []
         self.blocks: list[str] = []
         self.labelled: set[str] = set()
         self.inputs: list[tuple[str, bool]] = []
@@ -78,6 +141,8 @@ class Page(HTMLParser):
             self.levels.append(int(tag[1]))
         elif tag == "a" and "href" in a:
             self.hrefs.append(a["href"].strip())
+        elif tag == "footer":
+            self.footer += 1
         elif tag == "form":
             self.form = True
         elif tag == "img" and "alt" not in a:
@@ -90,10 +155,21 @@ class Page(HTMLParser):
             self.labelled.add(a["for"])
         elif tag in ("input", "select", "textarea") and a.get("type", "text").lower() not in ("hidden", "submit", "button", "image", "reset"):
             self.inputs.append((a.get("id", ""), "label" in self.open or bool(a.get("aria-label") or a.get("aria-labelledby") or a.get("title"))))
+        if tag in ("a", "button") or tag == "input" and a.get("type", "").lower() in ("submit", "button"):
+            words = " ".join(x for x in (a.get("aria-label"), a.get("title"), a.get("value") if tag == "input" else None) if x)
+            self.clicks.append([a.get("href"), words, self.get_starttag_text() or "", tag == "a" and "href" in a])
+            if tag != "input":
+                self.inside.append([tag, self.clicks[-1]])
+        if "typeof" in a:
+            self.blocks.append(json.dumps({"@type": [t.rpartition("/")[2].rpartition(":")[2] for t in a["typeof"].split()]}))
         if "itemtype" in a:
             self.blocks.append(json.dumps({"@type": a["itemtype"].rstrip("/").rpartition("/")[2]}))
 
     def handle_endtag(self, tag: str) -> None:
+        self.footer -= tag == "footer" and self.footer > 0
+        if any(t == tag for t, _ in self.inside):
+            while self.inside and self.inside.pop()[0] != tag:
+                pass
         if tag in self.open:
             while self.open and self.open.pop() != tag:
                 pass
@@ -108,6 +184,10 @@ class Page(HTMLParser):
             self.title = (self.title or "") + data
         elif not any(t in _SILENT for t in self.open):
             self.text.append(data)
+            for _, click in self.inside:
+                click[1] = f"{click[1]} {data}"
+            if self.footer:
+                self.footers.append(" ".join(data.split()))
 
 
 def json_ld_types(text: str) -> tuple[list[str], bool]:
@@ -135,17 +215,71 @@ def json_ld_types(text: str) -> tuple[list[str], bool]:
     return types, False
 
 
-def copyright_year(text: str) -> int | None:
-    """Latest year of a notice; None without one or where the range is open."""
-    years = []
-    for a, b in _YEARS.findall(text):
-        if b and not b.isdigit():
-            return None
-        years.append(int(b or a))
-    return max(years, default=None)
+def copyright_year(text: str, year: int = 2026) -> tuple[int | None, bool, str | None]:
+    """(latest year of a notice, whether a range has no end, the line): no year without a notice or with an open range.
+
+    A year is four digits. One to come counts only right after the mark, as others are house numbers and such.
+    """
+    found = []
+    for m in _NOTICE.finditer(text):
+        line = signatures.whole_words(text, m.start(), m.start() + 160, fixed_start=True)
+        if _OPEN.match(text, m.end()):
+            return None, True, line
+        found.append((int(m[1]), line))
+    found += [(int(m[1]), signatures.whole_words(text, m.start(), m.start() + 160, fixed_start=True)) for m in _RANGE.finditer(text)]
+    found = [(y, line) for y, line in found if FIRST_YEAR <= y <= year]
+    for m in _BESIDE.finditer(text):
+        line = signatures.whole_words(text, m.start(), m.start() + 160, fixed_start=True)
+        found += [(int(y), line) for y in m.groups() if y and year < int(y) <= year + YEARS_AHEAD]
+    best = max(found, key=lambda x: x[0], default=(None, None))
+    return best[0], False, best[1]
+
+
+def booking(page: Page, markup: str, url: str) -> dict:
+    """How the page takes bookings, surest first: a widget, a link to a booking tool, a link that says so, a path that does.
+
+    The last two are only to be followed, so ``booking`` is null; links back to the page itself count for nothing.
+    """
+    out = dict.fromkeys(("booking", "booking_label", "booking_method", "booking_evidence", "booking_target"))
+    if widget := signatures.hits(markup, signatures.BOOKING):
+        return out | {"booking": True, "booking_label": widget[0][1], "booking_method": "widget", "booking_evidence": widget[0][2]}
+    links = [(href.strip(), tag) for href, _, tag, is_link in page.clicks if is_link and href]
+    for href, tag in links:
+        where = signatures.target(url, href)
+        if where and (tool := signatures.booking_host(where)):
+            return out | {"booking": True, "booking_label": tool, "booking_method": "booking_host", "booking_evidence": tag[: signatures.QUOTE], "booking_target": where}
+    back = None
+    said = [(href, " ".join(words.split()), tag) for href, words, tag, _ in page.clicks]
+    steps = [("cta", f"link text: {w}", h, t) for h, w, t in said if signatures.BOOKING_WORDS.search(w.lower())]
+    steps += [("path", f"link href: {h}", h, t) for h, t in links if signatures.is_booking_path(h)]
+    for method, label, href, tag in steps:
+        where = signatures.target(url, href) if href else None
+        if where and signatures.same_page(where, url):
+            back = back or f"{label} leads back to this page"
+            continue
+        return out | {"booking_label": label, "booking_method": method, "booking_evidence": tag[: signatures.QUOTE], "booking_target": where}
+    return out | {"booking": False, "booking_evidence": back}
 
 
-def checks_of(html: str) -> dict:
+def placeholder_text(page: Page, text: str) -> str | None:
+    """A phrase that templates print: some anywhere, others in short pieces of the footer or after a copyright mark."""
+    low = text.lower()
+    if found := next((p for p in signatures.PAGE_PHRASES if p in low), None):
+        return found
+    lines = [f.lower() for f in page.footers if len(f) <= 60] + [low[m.end() : m.end() + 80] for m in re.finditer(_MARK, low)]
+    return next((p for p in signatures.FOOTER_PHRASES if any(re.search(rf"(?<!\w){p}(?!\w)", line) for line in lines)), None)
+
+
+def zoom_blocked(viewport: str | None) -> str | None:
+    """The part of a viewport tag that keeps visitors from zooming."""
+    for part in re.split(r"[,;]", viewport or ""):
+        name, _, value = (x.strip().lower() for x in part.partition("="))
+        if name == "user-scalable" and value in ("no", "0") or name == "maximum-scale" and re.fullmatch(r"\d+(\.\d*)?", value) and float(value) < 1.5:
+            return part.strip()
+    return None
+
+
+def checks_of(html: str, url: str = "", year: int = 2026) -> dict:
     page = Page()
     try:
         page.feed(html)
@@ -153,30 +287,66 @@ def checks_of(html: str) -> dict:
     except (AssertionError, ValueError):  # markup that the parser gives up on: what was read so far counts
         pass
     text = " ".join(" ".join(page.text).split())
-    title = " ".join((page.title or "").split()) or None
+    markup = html.lower()
     viewport = page.meta.get("viewport")
     types, broken = [], False
     for block in page.blocks:
         own, bad = json_ld_types(block)
         types += own
         broken = broken or bad
-    mail = next((h[7:].split("?")[0] for h in page.hrefs if h.lower().startswith("mailto:")), None)
-    words = len(text.split())
-    return {
-        "title": title, "meta_description": " ".join(page.meta.get("description", "").split()) or None, "viewport_meta": viewport is not None,
-        "viewport_zoom_blocked": None if viewport is None else bool(re.search(r"user-scalable\s*=\s*(?:no|0)|maximum-scale\s*=\s*1(?:\.0*)?(?![\d.])", viewport, re.I)), "canonical": page.canonical, "h1_count": page.levels.count(1),
-        "heading_skips": sum(b > a + 1 for a, b in zip(page.levels, page.levels[1:], strict=False)), "section_headings": sum(x > 1 for x in page.levels), "word_count": words, "tel_link": any(h.lower().startswith("tel:") for h in page.hrefs), "mailto_address": mail,
-        "placeholder_email": None if mail is None else bool(re.search(r"@(?:example|domain|yourdomain|email|mysite)\.", mail, re.I)), "contact_form": bool(page.form and page.inputs), "booking": bool(_BOOKING.search(html)), "live_chat": bool(_CHAT.search(html)),
-        "social_links": list(dict.fromkeys(m.group(1).lower() for h in page.hrefs if (m := _SOCIAL.match(h)))), "tech": [k for k, p in _TECH.items() if re.search(p, html, re.I)], "structured_types": list(dict.fromkeys(types)), "local_business": any(t.endswith("Business") or t in ("Plumber", "Electrician", "Dentist", "Restaurant", "Store") for t in types), "broken_structured_data": broken,
-        "copyright_year": copyright_year(text), "placeholder_text": m.group(0).lower() if (m := _PLACEHOLDER.search(text)) else None, "images_without_alt": page.images, "unlabelled_inputs": sum(not ok and i not in page.labelled for i, ok in page.inputs), "scripts": page.scripts, "links": len(page.hrefs),
-        "js_shell": len(text) < SHELL_TEXT and page.scripts >= SHELL_SCRIPTS, "lang": page.lang, "html_bytes": len(html.encode()),
-    }
-
-
-def audit(pages: DataFrame) -> DataFrame:
-    """Adds ``checks`` to (page_id, url, html); null for a page without html."""
+    mails = [m.strip() for h in page.hrefs if h.lower().startswith("mailto:") for m in h[7:].split("?")[0].split(",") if "@" in m]
+    mail = next((m for m in mails if signatures.placeholder_email(m)), mails[0] if mails else None)
+    numbers = dict.fromkeys(h[4:].split("?")[0].strip() for h in page.hrefs if h.lower().startswith("tel:"))
+    chat, builder = signatures.hits(markup, signatures.CHAT), signatures.hits(markup, signatures.BUILDERS)
+    noted, open_range, line = copyright_year(text, year)
+    return booking(page, markup, url) | {
+        "title": " ".join((page.title or "").split()) or None,
+        "meta_description": " ".join(page.meta.get("description", "").split()) or None,
+        "viewport_meta": viewport is not None,
+        "viewport_zoom_blocked": zoom_blocked(viewport),
+        "canonical": signatures.target(url, page.canonical) if page.canonical else None,
+        "h1_count": page.levels.count(1),
+        "heading_skips": sum(b > a + 1 for a, b in zip(page.levels, page.levels[1:], strict=False)),
+        "section_headings": sum(x > 1 for x in page.levels),
+        "word_count": len(text.split()),
+        "tel_link": bool(numbers),
+        "tel_numbers": list(numbers)[:3],
+        "mailto_address": mail,
+        "placeholder_email": None if mail is None else signatures.placeholder_email(mail),
+        "contact_form": bool(page.form and page.inputs),
+        "live_chat": bool(chat),
+        "chat_evidence": chat[0][2] if chat else None,
+        "social_links": list(dict.fromkeys(p for h in page.hrefs if (p := signatures.social_platform(signatures.target(url, h) or h)))),
+        "tech": [key for key, _, _ in signatures.hits(markup, signatures.TECH)],
+        "builder": builder[0][1] if builder else None,
+        "builder_evidence": builder[0][2] if builder else None,
+        "structured_types": list(dict.fromkeys(types)),
+        "local_business": any(t.endswith("Business") or t in ("Plumber", "Electrician", "Dentist", "Restaurant", "Store") for t in types),
+        "broken_structured_data": broken,
+        "copyright_year": noted,
+        "copyright_open": open_range,
+        "copyright_evidence": line,
+        "placeholder_text": placeholder_text(page, text),
+        "images_without_alt": page.images,
+        "unlabelled_inputs": sum(not ok and i not in page.labelled for i, ok in page.inputs),
+        "scripts": page.scripts,
+        "links": len(page.hrefs),
+        "js_shell": len(text) < SHELL_TEXT and page.scripts >= SHELL_SCRIPTS,
+        "lang": page.lang,
+        "html_bytes": len(html.encode()),
+    }
+
+
+def audit(pages: DataFrame, year: int = 2026) -> DataFrame:
+    """Adds ``checks`` to (page_id, url, html); null for a page without html.
+
+    Pages are read where they lie. Only a table of fewer files than there are cores is dealt anew, as parsing
+    a page costs far more than moving it.
+    """
     schema = f"page_id long, url string, checks struct<{CHECKS.replace(' ', ':').replace(',:', ',')}>"
-    kind = pages.sparkSession.createDataFrame([], CHECKS).schema
+    spark = pages.sparkSession
+    ship(spark)
+    kind = spark.createDataFrame([], CHECKS).schema
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow = to_arrow_type(kind)
@@ -185,39 +355,138 @@ def audit(pages: DataFrame) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 200):
                 part = batch.slice(lo, 200)
-                made = [None if h is None else checks_of(h) for h in part.column("html").to_pylist()]
+                rows = zip(part.column("html").to_pylist(), part.column("url").to_pylist(), strict=True)
+                made = [None if h is None else checks_of(h, u or "", year) for h, u in rows]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(made, arrow)], names=["page_id", "url", "checks"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    # parsing costs far more than moving a page, so pages are dealt evenly however few files they come in
-    spread = max(pages.sparkSession.sparkContext.defaultParallelism, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return rows.repartition(spread).mapInArrow(run, schema)
+    spread = spark.sparkContext.defaultParallelism
+    return (rows.repartition(spread) if len(pages.inputFiles()) < spread else rows).mapInArrow(run, schema)
+
+
+def fetch_checks(outcome: DataFrame) -> DataFrame:
+    """Adds ``fetch`` to (url, final_url, status_code, redirect_chain, content_type, tls_valid, error, error_kind): what is known without parsing.
+
+    Over http there is no certificate to judge, so ``tls_valid`` is null; a redirect to https can be told only
+    of a page that was asked for over http and answered.
+    """
+    final = F.coalesce("final_url", "url")
+    scheme = lambda c: F.lower(F.regexp_extract(c, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
+    reachable, secure = F.col("status_code").isNotNull(), scheme(final) == "https"
+    chain = F.coalesce("redirect_chain", F.array().cast("array<string>"))
+    html = F.lower(F.coalesce("content_type", F.lit("text/html"))).rlike("^(text/html|application/xhtml)")
+    told = F.when(reachable, F.concat(F.lit("HTTP "), F.col("status_code"), F.lit(" from "), final))
+    return outcome.withColumn(
+        "fetch",
+        F.struct(
+            reachable.alias("reachable"), F.col("status_code").alias("http_status"), final.alias("final_url"), chain.alias("redirect_chain"),
+            F.when(F.size(chain) > 0, F.array_join(F.concat(chain, F.array(final)), " -> ")).alias("redirects"),
+            F.when(secure, F.coalesce("tls_valid", F.lit(False))).alias("tls_valid"),
+            F.when(reachable | (F.col("error_kind") == "tls"), secure).alias("https"),
+            F.when((scheme(F.col("url")) == "http") & reachable, secure).alias("http_redirects_to_https"),
+            (reachable & html).alias("parsed"), F.coalesce(told, F.concat(F.lit("No answer from "), final, F.lit(": "), F.coalesce("error", F.lit("unknown")))).alias("evidence"),
+        ),
+    )
 
 
 def _rules(c: Column, url: Column, year: int) -> list[tuple[str, Column, Column]]:
     """(code, condition, evidence) in the order in which findings are told."""
     text = lambda x: x.cast("string")
+    none = F.lit(None)
     segments = F.filter(F.transform(F.split(F.lower(c["title"]), r"\s*[|\-–—:•·»/]\s*"), lambda s: F.trim(s)), lambda s: s != "")
     template = (F.size(segments) > 0) & F.forall(segments, lambda s: s.isin(*TEMPLATE_TITLES))
     contact = c["tel_link"] | c["mailto_address"].isNotNull() | c["contact_form"]
+    built = web.builder_host(url)
+    typed = F.size(c["structured_types"]) > 0
     return [
-        ("no_https", url.startswith("http://"), url), ("no_mobile_viewport", ~c["viewport_meta"], F.lit(None)), ("viewport_blocks_zoom", c["viewport_zoom_blocked"], F.lit(None)), ("missing_title", c["title"].isNull(), F.lit(None)), ("default_title", template, c["title"]),
-        ("short_title", ~template & (F.length(c["title"]) < SHORT_TITLE), c["title"]), ("long_title", F.length(c["title"]) > LONG_TITLE, c["title"]), ("missing_meta_description", c["meta_description"].isNull(), F.lit(None)), ("no_h1", c["h1_count"] == 0, F.lit(None)), ("multiple_h1", c["h1_count"] > 1, text(c["h1_count"])),
-        ("invalid_structured_data", c["broken_structured_data"], F.lit(None)), ("no_structured_data", (F.size(c["structured_types"]) == 0) & ~c["broken_structured_data"], F.lit(None)), ("no_local_business_schema", (F.size(c["structured_types"]) > 0) & ~c["local_business"], F.array_join(c["structured_types"], ", ")),
-        ("no_contact_on_homepage", ~contact, F.lit(None)), ("no_click_to_call", contact & ~c["tel_link"], F.lit(None)), ("placeholder_email", c["placeholder_email"], c["mailto_address"]), ("placeholder_text", c["placeholder_text"].isNotNull(), c["placeholder_text"]), ("no_online_booking", ~c["booking"], F.lit(None)), ("no_live_chat", ~c["live_chat"], F.lit(None)),
-        ("images_without_alt", c["images_without_alt"] > 0, text(c["images_without_alt"])), ("unlabelled_form_fields", c["unlabelled_inputs"] > 0, text(c["unlabelled_inputs"])), ("thin_content", (c["word_count"] < THIN_WORDS) & ~c["js_shell"], text(c["word_count"])), ("no_section_headings", (c["section_headings"] == 0) & (c["word_count"] >= THIN_WORDS), F.lit(None)),
-        ("heading_level_skipped", c["heading_skips"] > 0, text(c["heading_skips"])), ("future_copyright", c["copyright_year"] > year, text(c["copyright_year"])), ("stale_copyright", c["copyright_year"] <= year - STALE_YEARS, text(c["copyright_year"])), ("js_shell_suspected", c["js_shell"], F.lit(None)),
-    ]
+        ("no_https", url.startswith("http://"), url),
+        ("builder_subdomain", built.isNotNull(), built),
+        ("no_mobile_viewport", ~c["viewport_meta"], none),
+        ("viewport_blocks_zoom", c["viewport_zoom_blocked"].isNotNull(), c["viewport_zoom_blocked"]),
+        ("missing_title", c["title"].isNull(), none),
+        ("default_title", template, c["title"]),
+        ("short_title", ~template & (F.length(c["title"]) < SHORT_TITLE), c["title"]),
+        ("long_title", F.length(c["title"]) > LONG_TITLE, c["title"]),
+        ("missing_meta_description", c["meta_description"].isNull(), none),
+        ("no_h1", c["h1_count"] == 0, none),
+        ("multiple_h1", c["h1_count"] > 1, text(c["h1_count"])),
+        ("invalid_structured_data", c["broken_structured_data"], none),
+        ("no_structured_data", ~typed & ~c["broken_structured_data"], none),
+        ("no_local_business_schema", typed & ~c["local_business"], F.array_join(c["structured_types"], ", ")),
+        ("no_contact_on_homepage", ~contact, none),
+        ("no_click_to_call", contact & ~c["tel_link"], none),
+        ("placeholder_email", c["placeholder_email"], c["mailto_address"]),
+        ("placeholder_text", c["placeholder_text"].isNotNull(), c["placeholder_text"]),
+        ("no_online_booking", ~c["booking"], c["booking_evidence"]),
+        ("no_live_chat", ~c["live_chat"], none),
+        ("images_without_alt", c["images_without_alt"] > 0, text(c["images_without_alt"])),
+        ("unlabelled_form_fields", c["unlabelled_inputs"] > 0, text(c["unlabelled_inputs"])),
+        ("thin_content", (c["word_count"] < THIN_WORDS) & ~c["js_shell"], text(c["word_count"])),
+        ("no_section_headings", (c["section_headings"] == 0) & (c["word_count"] >= THIN_WORDS), none),
+        ("heading_level_skipped", c["heading_skips"] > 0, text(c["heading_skips"])),
+        ("future_copyright", c["copyright_year"] > year, c["copyright_evidence"]),
+        ("stale_copyright", c["copyright_year"] <= year - STALE_YEARS, c["copyright_evidence"]),
+        ("site_builder", c["builder"].isNotNull() & built.isNull(), c["builder"]),
+        ("js_shell_suspected", c["js_shell"], none),
+    ]
+
+
+def _told(rules: list[tuple[str, Column, Column]], url: Column, severity: dict[str, Column] | None = None) -> Column:
+    """The findings whose condition holds, in order, as structs (place, code, severity, service, message, evidence_text, evidence_url)."""
+    spec = {code: rest for code, *rest in CATALOGUE}
+
+    def one(i: int, code: str, when: Column, proof: Column) -> Column:
+        grade, service, wording = spec[code]
+        proof = proof.cast("string")
+        before, _, after = wording.partition("{}")
+        message = F.concat(F.lit(before), F.coalesce(F.substring(proof, 1, 300), F.lit("unknown")), F.lit(after)) if "{}" in wording else F.lit(wording)
+        graded = (severity or {}).get(code, F.lit(grade))
+        columns = {"place": F.lit(i), "code": F.lit(code), "severity": graded, "service": F.lit(service).cast("string"), "message": message}
+        columns |= {"evidence_text": F.substring(proof, 1, 300), "evidence_url": url}
+        return F.when(when, F.struct(*[v.alias(k) for k, v in columns.items()]))
+
+    return F.array_compact(F.array(*[one(i, *rule) for i, rule in enumerate(rules)]))
 
 
 def findings(audited: DataFrame, year: int = 2026) -> DataFrame:
-    """(page_id, place, code, severity, service, message, evidence_text, evidence_url): a row for each finding."""
-    spec = {code: (severity, service) for code, severity, service in CATALOGUE}
-    told = [
-        F.when(when, F.struct(F.lit(i).alias("place"), F.lit(code).alias("code"), F.lit(spec[code][0]).alias("severity"), F.lit(spec[code][1]).cast("string").alias("service"), F.concat(F.lit(code.replace("_", " ").capitalize()), F.coalesce(F.concat(F.lit(": "), proof.cast("string")), F.lit("")), F.lit(".")).alias("message"), F.substring(proof.cast("string"), 1, 300).alias("evidence_text"), F.col("url").alias("evidence_url")))
-        for i, (code, when, proof) in enumerate(_rules(F.col("checks"), F.col("url"), year))
+    """(page_id, place, code, severity, service, message, evidence_text, evidence_url): a row for each finding of a page."""
+    rules = _rules(F.col("checks"), F.col("url"), year)
+    return audited.where("checks is not null").select("page_id", F.inline(_told(rules, F.col("url"))))
+
+
+def other_findings(businesses: DataFrame) -> DataFrame:
+    """(business_id, place, code, ...): findings that no page tells.
+
+    ``businesses``: (business_id, website_kind, website, status, robots_reason, tls_valid, error, user_rating_count,
+    listing_url, performance, accessibility, best_practices). A site that did not answer is told as a bad
+    certificate if that was why; unknown counts and scores tell nothing.
+    """
+    c = F.col
+    missing, down = c("website_kind") == "none", c("status") == "unreachable"
+    low = lambda name: c(name) < QUALITY_SCORE
+    graded = lambda name: F.when(c(name) < QUALITY_MEDIUM, "medium").otherwise("low")
+    rules = [
+        ("no_website", missing, F.lit(None)),
+        ("social_profile_only", c("website_kind") == "social_profile", c("website")),
+        ("robots_blocked", c("status") == "robots_blocked", c("robots_reason")),
+        ("tls_invalid", down & (c("tls_valid") == F.lit(False)), F.coalesce("error", "website")),
+        ("unreachable", down & ~F.coalesce(c("tls_valid") == F.lit(False), F.lit(False)), F.coalesce("error", "website")),
+        ("slow_mobile", c("performance") < SLOW_SCORE, c("performance")),
+        ("low_accessibility_score", low("accessibility"), c("accessibility")),
+        ("low_best_practices_score", low("best_practices"), c("best_practices")),
+        ("few_reviews", c("user_rating_count") < FEW_REVIEWS, c("user_rating_count")),
     ]
-    return audited.where("checks is not null").select("page_id", F.inline(F.array_compact(F.array(*told))))
+    severity = {"low_accessibility_score": graded("accessibility"), "low_best_practices_score": graded("best_practices")}
+    from_listing = F.inline(F.transform(_told(rules, c("website"), severity), lambda f: f.withField("evidence_url", F.when(f["code"] == "few_reviews", c("listing_url")).when(f["code"] != "no_website", f["evidence_url"]))))
+    return businesses.select("business_id", from_listing)
+
+
+def allowed_findings(rows: DataFrame) -> DataFrame:
+    """Rows (code, audit_status, ...) that an audit of this status may contribute."""
+    kept = F.lit(True)
+    for state, codes in ALLOWED.items():
+        kept = kept & ((F.col("audit_status") != state) | F.col("code").isin(*codes))
+    return rows.where(F.coalesce(kept, F.lit(True)))
 
 
 def status(outcome: DataFrame) -> DataFrame:

@@ -52,6 +52,13 @@ def keyset_page(df: DataFrame, keys: list[str], limit: int, after: tuple | None
     return df.orderBy(*[F.col(k).desc() for k in keys]).limit(limit + 1)
 
 
+def keyset_page_at(df: DataFrame, keys: list[str], limit: int, cursor: DataFrame) -> DataFrame:
+    """The page after the one row of ``cursor`` (the same keys), which is joined and not fetched; an empty cursor gives an empty page."""
+    at = cursor.select(F.struct(*keys).alias("__at")).limit(1)
+    past = df.join(F.broadcast(at), F.struct(*keys) < F.col("__at"))  # one row
+    return past.select(*df.columns).orderBy(*[F.col(k).desc() for k in keys]).limit(limit + 1)
+
+
 def keyset_page_nulls_last(df: DataFrame, key: str, ident: str, limit: int, after: tuple | None = None, descending: bool = True) -> DataFrame:
     """A page by (key, ident) with null keys at the end, whichever the direction."""
     if after is not None:
@@ -66,18 +73,35 @@ def keyset_page_nulls_last(df: DataFrame, key: str, ident: str, limit: int, afte
     return df.orderBy(by, F.col(ident).desc() if descending else F.col(ident).asc()).limit(limit + 1)
 
 
+def not_in(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """``left.key NOT IN right.key`` with SQL's rule for nulls: a null on the right, or on the left if there is any right row, is unknown.
+
+    One equi anti join and a count of one row, not the nested loop that Spark plans for NOT IN of several keys.
+    """
+    told = right.agg(F.count("*").alias("__rows"), F.count_if(F.col(key).isNull()).alias("__nulls"))
+    out = left.join(right.where(F.col(key).isNotNull()).select(key).distinct(), key, "left_anti").select(*left.columns)
+    out = out.join(F.broadcast(told))  # one row
+    return out.where((F.col("__rows") == 0) | (F.col("__nulls") == 0) & F.col(key).isNotNull()).select(*left.columns)
+
+
 def zero_filled(df: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
     """Rows of each of ``values``, also where there are none."""
     names = df.sparkSession.createDataFrame([(v,) for v in values], f"{key} string")
     return names.join(df.groupBy(key).count(), key, "left").select(key, F.coalesce("count", F.lit(0)).alias("n"))
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Full outer merge: what ``new`` gives (non-null) wins, the rest stays."""
-    new = new.dropDuplicates(keys)
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """Full outer merge: what ``new`` gives (non-null) wins, the rest stays.
+
+    Of several new rows of a key each column takes its value from the last row, by ``order``, that has one
+    (without ``order``, by all columns of the row, so that reruns agree).
+    """
     rest = [c for c in old.columns if c not in keys]
-    joined = old.alias("o").join(new.alias("n"), keys, "full_outer")
-    pick = lambda c: F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")) if c in new.columns else F.col(f"o.{c}")
+    given = [c for c in rest if c in new.columns]
+    by = F.struct(*(order or [c for c in new.columns if c not in keys]))
+    last = new.groupBy(*keys).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), by)).alias(c) for c in given])
+    joined = old.alias("o").join(last.alias("n"), keys, "full_outer")
+    pick = lambda c: F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")) if c in given else F.col(f"o.{c}")
     return joined.select(*keys, *[pick(c).alias(c) for c in rest])
 
 

@@ -8,6 +8,7 @@ each in one group, and all others run beside them.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -69,17 +70,22 @@ def decided(pairs: DataFrame) -> DataFrame:
     return best.select("record_id", F.when(F.col("sure"), "auto_merge").when(F.size("shown") > 0, "review").otherwise("new").alias("decision"), F.when(F.col("sure"), F.col("business_id")).alias("business_id"), F.slice("shown", 1, 3).alias("shown"))
 
 
+def half_up(x: float, places: int) -> float:
+    """Rounds as Spark's ``round`` does."""
+    return float(Decimal(repr(x)).quantize(Decimal(1).scaleb(-places), ROUND_HALF_UP))
+
+
 def _pair(r: dict, b: dict) -> tuple[float, bool, bool] | None:
     """Score, strong key and reviewability of a record and a business in the replay; None for conflicting keys."""
     differ = lambda c: bool(r[c]) and bool(b[c]) and r[c] != b[c]
     same = lambda c: float(bool(r[c]) and r[c] == b[c])
     if differ("domain") and differ("phone"):
         return None
-    name = round(text.token_set(r["name"], b["name"]) / 100, 4)
+    name = half_up(text.token_set(r["name"], b["name"]) / 100, 4)
     address = (1.0 if same("street") else 0.5) if same("postal") else 0.0
     near = _near(r, b)
     w = scores.PAIR_WEIGHTS
-    total = round(w["domain"] * same("domain") + w["phone"] * same("phone") + w["name"] * name + w["address"] * address + w["geo"] * near, 3)
+    total = half_up(w["domain"] * same("domain") + w["phone"] * same("phone") + w["name"] * name + w["address"] * address + w["geo"] * near, 3)
     keyed = same("domain") == 1 or same("phone") == 1
     return total, keyed or address == 1 and name >= scores.STRONG_NAME, total >= scores.REVIEW or keyed or address >= 0.5 and name >= scores.REVIEW_NAME
 
@@ -91,7 +97,7 @@ def _near(r: dict, b: dict) -> float:
         return 0.0
     dy, dx = radians(b["lat"] - r["lat"]), radians(b["lng"] - r["lng"])
     m = 2 * geo.EARTH_M * asin(min(1.0, sqrt(sin(dy / 2) ** 2 + cos(radians(r["lat"])) * cos(radians(b["lat"])) * sin(dx / 2) ** 2)))
-    return 1.0 if m <= geo.NEAR_M else 0.0 if m >= geo.FAR_M else round((geo.FAR_M - m) / (geo.FAR_M - geo.NEAR_M), 4)
+    return 1.0 if m <= geo.NEAR_M else 0.0 if m >= geo.FAR_M else half_up((geo.FAR_M - m) / (geo.FAR_M - geo.NEAR_M), 4)
 
 
 _FIELDS = ("domain", "phone", "name", "name_key", "postal", "street", "lat", "lng")
@@ -136,10 +142,12 @@ def _keys(r: dict, own: bool = False) -> Iterator[tuple[int, tuple]]:
     if r["postal"] and r["name_key"]:
         yield 2, ("name", r["postal"], r["name_key"])
     if r["lat"] is not None and r["lng"] is not None:
-        y, x = int((r["lat"] + 90) // geo.cell_size()[0]), int((r["lng"] + 180) // geo.cell_size()[1])
-        for dy in (0,) if own else (0, -1, 1):
-            for dx in (0,) if own else (0, -1, 1):
-                yield 3, ("cell", y + dy, x + dx)
+        high, wide = geo.cell_size()
+        rows, columns = round(180 / high), round(360 / wide)
+        y, x = min(int((r["lat"] + 90) // high), rows - 1), min(int((r["lng"] + 180) // wide), columns - 1)
+        around = (0,) if own else (0, -1, 1)
+        # latitude ends at the poles, longitude goes round
+        yield from dict.fromkeys((3, ("cell", min(max(y + dy, 0), rows - 1), (x + dx) % columns)) for dy in around for dx in around)
 
 
 def resolve(spark: SparkSession, records: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tamarack.functions import signatures
 from tamarack.operators import leads, pages, relational, reports, resolution
 from tamarack.sources import csv_sink, feeds
 from tamarack.streaming import limits
@@ -95,7 +96,75 @@ def test_page_checks():
     assert got["social_links"] == ["facebook"] and "hidden" not in html[:0] and got["contact_form"]
     assert pages.checks_of("")["title"] is None and pages.checks_of("<b <<>")["h1_count"] == 0
     assert pages.json_ld_types("{broken") == ([], True) and pages.json_ld_types('<!-- {"@type": "A"} -->') == (["A"], False)
-    assert pages.copyright_year("© 2015 - present") is None
+    assert pages.copyright_year("© 2015 - present")[:2] == (None, True)
+
+
+@pytest.mark.parametrize(
+    ("text", "year", "open_range"),
+    [
+        ("© 20015 Us", None, False), ("© 2006 - | all rights", None, True), ("Copyright notice text here and 2035 goals", None, False), ("© 2035 Us", 2035, False), ("Copyright © 2018-2035", 2035, False),
+        ("© 2018–2024 Us", 2024, False), ("© Us, 2100 Lamar Blvd", None, False), ("(c) 1980", None, False), ("no notice 2020", None, False), ("© 2016 Us © 2019 Them", 2019, False), ("© 2099", None, False),
+    ],
+)
+def test_copyright_year(text, year, open_range):
+    assert pages.copyright_year(text, 2026)[:2] == (year, open_range)
+
+
+@pytest.mark.parametrize(
+    ("html", "value", "method", "label"),
+    [
+        ('<script src="https://assets.calendly.com/w.js"></script><a href="/book">x</a>', True, "widget", "Calendly"),
+        ('<a href="https://www.fresha.com/a/b">x</a>', True, "booking_host", "Fresha"),
+        ('<a href="/visit">Book  now</a>', None, "cta", "link text: Book now"),
+        ('<button aria-label="Schedule a visit"></button>', None, "cta", "link text: Schedule a visit"),
+        ('<a href="/appointments/">Hier</a>', None, "path", "link href: /appointments/"),
+        ('<a href="/contact/">Book now</a>', False, None, None), ('<a href="/bookkeeping">Our books</a>', False, None, None), ('<a href="https://maps.google.com/book">x</a>', None, "path", "link href: https://maps.google.com/book"),
+    ],
+)
+def test_booking(html, value, method, label):
+    got = pages.checks_of(html, "https://www.a.com/contact")
+    assert (got["booking"], got["booking_method"], got["booking_label"]) == (value, method, label)
+
+
+def test_signatures_and_quotes():
+    markup = 'some words before <script src="https://embed.tawk.to/x" async></script> and data-reactroot here after that'
+    assert signatures.hits(markup, signatures.CHAT) == [("tawk", "Tawk.to", '<script src="https://embed.tawk.to/x" async>')]
+    (key, label, words), = signatures.hits(markup, signatures.TECH)
+    assert (key, label) == ("react", "React") and "data-reactroot" in words and not words.startswith("cript")
+    assert signatures.whole_words("one two three", 2, 9) == "two" and signatures.whole_words("one two three", 4, 9, fixed_start=True) == "two"
+    assert [signatures.placeholder_email(m) for m in ("a@mysite.net", "info@email.com", "jane.doe@email.com", "x@real.com", "no")] == [True, True, False, False, False]
+    assert signatures.social_platform("https://m.facebook.com/a") == "facebook" and signatures.social_platform("https://google.com/search") is None
+    page = pages.checks_of("<footer><p>© 2020 Your Company Name</p></footer>")
+    assert page["placeholder_text"] == "your company name" and pages.checks_of("<p>Company name</p>")["placeholder_text"] is None
+
+
+def test_fetch_checks(spark):
+    rows = [
+        (1, "http://a.com", "https://a.com/", 200, ["http://a.com"], "text/html", True, None, None),
+        (2, "https://b.com", None, None, [], None, False, "bad certificate", "tls"),
+        (3, "http://c.com", "http://c.com/", 404, None, "application/pdf", None, None, None),
+        (4, "http://d.com", None, None, None, None, None, "timeout", "network"),
+    ]
+    df = spark.createDataFrame(rows, "id int, url string, final_url string, status_code int, redirect_chain array<string>, content_type string, tls_valid boolean, error string, error_kind string")
+    got = {r.id: r.fetch for r in pages.fetch_checks(df).collect()}
+    assert [(f.reachable, f.tls_valid, f.https, f.http_redirects_to_https, f.parsed) for f in (got[i] for i in (1, 2, 3, 4))] == [(True, True, True, True, True), (False, False, True, None, False), (True, None, False, False, False), (False, None, None, None, False)]
+    assert got[1].redirects == "http://a.com -> https://a.com/" and got[2].evidence == "No answer from https://b.com: bad certificate"
+
+
+def test_other_findings(spark):
+    rows = [
+        (1, "none", None, None, None, None, None, 5, "m/1", None, None, None), (2, "social_profile", "https://facebook.com/x", None, None, None, None, 20, None, None, None, None),
+        (3, "own_site", "https://a.com", "unreachable", None, False, "expired", None, None, None, None, None), (4, "own_site", "https://b.com", "unreachable", None, None, "timeout", None, None, None, None, None),
+        (5, "own_site", "https://c.com", "robots_blocked", "disallow", None, None, None, None, None, None, None), (6, "own_site", "https://d.com", "done", None, True, None, None, None, 49, 89, 60),
+    ]
+    df = spark.createDataFrame(rows, "business_id int, website_kind string, website string, status string, robots_reason string, tls_valid boolean, error string, user_rating_count int, listing_url string, performance int, accessibility int, best_practices int")
+    got = [(r.business_id, r.code, r.severity, r.evidence_url) for r in pages.other_findings(df).orderBy("business_id", "place").collect()]
+    assert got == [
+        (1, "no_website", "high", None), (1, "few_reviews", "low", "m/1"), (2, "social_profile_only", "high", "https://facebook.com/x"), (3, "tls_invalid", "high", "https://a.com"), (4, "unreachable", "high", "https://b.com"),
+        (5, "robots_blocked", "info", "https://c.com"), (6, "slow_mobile", "medium", "https://d.com"), (6, "low_accessibility_score", "low", "https://d.com"), (6, "low_best_practices_score", "medium", "https://d.com"),
+    ]
+    kept = spark.createDataFrame([("unreachable", "unreachable"), ("no_h1", "unreachable"), ("no_h1", "done"), ("domain_expired", "bot_challenge"), ("no_h1", None)], "code string, audit_status string")
+    assert sorted(r.code for r in pages.allowed_findings(kept).collect()) == ["domain_expired", "no_h1", "no_h1", "unreachable"]
 
 
 def test_findings(spark):
@@ -159,7 +228,7 @@ def test_reports(spark):
     audits = spark.createDataFrame([(1, 1, NOW - dt.timedelta(days=2), "unreachable", 8), (2, 2, NOW - dt.timedelta(days=2), "unreachable", 8), (3, 2, NOW - dt.timedelta(days=9), "unreachable", 8), (4, 3, NOW, "done", 8), (5, 4, NOW, "done", 7), (6, 5, NOW - dt.timedelta(days=31), "done", 8)], "id long, business_id long, created_at timestamp, status string, version int")
     due = reports.needs_audit(spark.range(1, 7).withColumnRenamed("id", "business_id"), audits, F.lit(NOW), 8)
     assert sorted(r.business_id for r in due.collect()) == [1, 4, 5, 6]
-    health = spark.createDataFrame([(0.5, 0.1, 0.9, None, 10)], "success_rate double, error_rate double, budget_ratio double, backup_age_hours double, queue_length int")
+    health = spark.createDataFrame([(0.5, 0.1, 0.9, None, 10, 0.1)], "success_rate double, error_rate double, budget_ratio double, backup_age_hours double, queue_length int, calls_ratio double")
     assert [r.rule for r in reports.firing(health).collect()] == ["job_success", "ai_budget", "backup_age"]
 
 
