@@ -35,8 +35,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch. Texts are long, so Spark's default of 10,000 would make batches of tens of megabytes.
+ARROW_ROWS = 1000
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python, once per context, so that it need not be installed there."""
+    """Make a session ready for Python in tasks: send this package to the executors, once per context, so that it
+    need not be installed there, and keep Arrow batches small where Spark's default stands."""
+    if spark.conf.get(_ARROW_ROWS) == "10000":
+        spark.conf.set(_ARROW_ROWS, str(ARROW_ROWS))
     sc = spark.sparkContext
     if getattr(sc, "_tamarack_shipped", False):
         return
