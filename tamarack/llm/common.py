@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,10 +51,11 @@ def encoded(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
 
 
 def sliced(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches with at most ``limit`` bytes of text each, and the texts."""
+    """Slices of the batches with at most ``limit`` bytes of text each, and the texts; only a slice's texts are copied."""
     from tamarack.llm.hashing import slices
 
     for batch in batches:
-        texts = encoded(batch.column(column))
-        for lo, hi in slices([len(t) for t in texts], limit):
-            yield batch.slice(lo, hi - lo), texts[lo:hi]
+        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+        for lo, hi in slices(sizes, limit):
+            part = batch.slice(lo, hi - lo)
+            yield part, encoded(part.column(column))
