@@ -2,29 +2,36 @@
 
 The text view sees which hashed words a text has, and measures of its form (repetition, symbols, capitals
 and so on). The metadata view sees source, language and length alone. Each is a logistic regression
-trained by stochastic gradient descent on labelled rows. In each round both score a pool of unlabelled
-rows, and each adds the rows it is most sure of, with its label, to what the other learns from. At the end
+trained by stochastic gradient descent on labelled rows. In each round both score all unlabelled rows, in
+Spark, and each adds the texts it is most sure of, with its label, to what the other learns from. At the end
 each view is calibrated, and a logistic regression over both scores combines them, on labelled rows that
 neither has seen. A good document has quality 1 and is not toxic.
+
+Features are extracted once and written; rounds and the final scores read that table, never the texts.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarack.llm import common, hashing
 from tamarack.llm.decontaminate import SEPARATORS, folded
+from tamarack.scratch import Scratch
+from tamarack.session import ship
 
 BUCKETS, META_BUCKETS = 1 << 17, 1 << 12
-#: Labelled rows of each class, and unlabelled rows, that training may use.
-ROWS_EACH, POOL = 2000, 1500
+#: Labelled rows of each class that training may use, of texts with at most so many buckets.
+ROWS_EACH, MOST_WORDS = 2000, 20_000
+#: Rounds, and texts that a view may add to the other's training rows in each, of each class, if it is so sure.
 ROUNDS, TAKEN, SURE = 3, 100, 0.95
 #: Share of good held-out rows that the fitted least score may lose.
 LOST = 0.005
@@ -156,86 +163,174 @@ class Model:
     both: np.ndarray
     least: float = 0.5
 
-    def chances(self, texts: list[bytes], source: list, lang: list, size: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        a = self.text.raw(*text_features(texts))
-        meta = meta_features(source, lang, size)
-        b = self.meta.raw(meta.ravel(), np.full(len(meta), 4), None)
-        a, b = (np.clip(v.scale[0] * x + v.scale[1], -20, 20) for v, x in ((self.text, a), (self.meta, b)))
+    def chances(self, ids: np.ndarray, per: np.ndarray, form: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Chance of a good document by the text, by the metadata and by both."""
+        a, b = scaled(self.text, self.text.raw(ids, per, form)), scaled(self.meta, self.meta.raw(meta.ravel(), np.full(len(meta), 4), None))
         return sigmoid(a), sigmoid(b), sigmoid(np.column_stack((a, b, np.ones(len(a)))) @ self.both)
 
 
-def cotrain(texts: list[bytes], source: list, lang: list, size: list, truth: np.ndarray, held: np.ndarray, rounds: int = ROUNDS, taken: int = TAKEN, sure: float = SURE) -> Model:
-    """``truth``: 1, 0, or -1 for rows without a label; labelled rows in ``held`` only calibrate and combine."""
-    parts = [text_features(texts[lo:hi]) for lo, hi in hashing.slices([len(t) for t in texts], hashing.PIECE)]
-    ids, per, form = (np.concatenate([p[i] for p in parts]) for i in range(3))
-    ids = ids.astype(np.int32)
-    often = np.bincount(ids, minlength=BUCKETS) >= min(LEAST_ROWS, len(texts) / 50)
-    ends = np.cumsum(per)
-    rows = [[((own := ids[e - n : e])[often[own]], f) for e, n, f in zip(ends, per, form, strict=True)], [(r, np.empty(0)) for r in meta_features(source, lang, size)]]
+def scaled(view: View, raw: np.ndarray) -> np.ndarray:
+    return np.clip(view.scale[0] * raw + view.scale[1], -20, 20)
+
+
+@dataclass
+class Rows:
+    """Training rows: buckets of the text, its form, buckets of the metadata, and a label (1 or 0)."""
+
+    ids: list[np.ndarray]
+    form: list[np.ndarray]
+    meta: list[np.ndarray]
+    good: list[int]
+
+    def of(self, view: int, often: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        if view == 0:
+            return [(i[often[i]], f) for i, f in zip(self.ids, self.form, strict=True)]
+        return [(m, np.empty(0)) for m in self.meta]
+
+    def plus(self, other: Rows) -> Rows:
+        return Rows(self.ids + other.ids, self.form + other.form, self.meta + other.meta, self.good + other.good)
+
+
+def cotrain(known: Rows, held: Rows, ask, rounds: int = ROUNDS) -> Model:
+    """Both views trained on ``known``; ``held`` only calibrates and combines.
+
+    ``ask(views)`` gives for a round two ``Rows``: what the first view teaches the second, and the reverse.
+    """
     views = [View(BUCKETS, FORM), View(META_BUCKETS, 0)]
-    label = np.tile(truth, (2, 1))
-    label[:, held] = -1
-    pool = set(np.flatnonzero(truth < 0).tolist())
-    own = np.flatnonzero(held & (truth >= 0))
+    learned = [known, known]
+    truth = np.array(held.good)
     for turn in range(rounds + 1):
-        raws = []
         for v, view in enumerate(views):
-            known = np.flatnonzero(label[v] >= 0)
-            view.train([rows[v][i] for i in known], label[v][known])
-            raws.append(np.array([view.weights[i].sum() + f @ view.form + view.bias for i, f in rows[v]]))
-            if len(own):
-                view.scale = tuple(logistic(raws[v][own][:, None], truth[own]))
-        if turn == rounds or not pool:
+            n = np.bincount(np.concatenate([*learned[v].ids, np.empty(0, np.int64)]).astype(np.int64), minlength=BUCKETS)
+            often = n >= min(LEAST_ROWS, len(learned[v].good) / 50)
+            view.train(learned[v].of(v, often), np.array(learned[v].good))
+            if len(truth):
+                raw = np.array([view.weights[i].sum() + f @ view.form + view.bias for i, f in held.of(v, often)])
+                view.scale = tuple(logistic(raw[:, None], truth))
+        if turn == rounds:
             break
-        for v, view in enumerate(views):
-            chance = view.chance(raws[v])
-            open_rows = np.array(sorted(pool), dtype=int)
-            for mark, best in ((1, open_rows[np.argsort(-chance[open_rows], kind="stable")]), (0, open_rows[np.argsort(chance[open_rows], kind="stable")])):
-                for i in best[:taken]:
-                    if i in pool and (chance[i] if mark else 1 - chance[i]) >= sure:
-                        label[1 - v][i] = mark
-                        pool.discard(i)
-    scaled = np.column_stack([np.clip(v.scale[0] * r + v.scale[1], -20, 20) for v, r in zip(views, raws, strict=True)])
-    both = logistic(scaled[own], truth[own]) if len(own) else np.array([1.0, 1.0, 0.0])
-    model = Model(views[0], views[1], both)
-    good = own[truth[own] == 1]
-    if len(good):
-        chance = sigmoid(np.column_stack((scaled[good], np.ones(len(good)))) @ both)
-        model.least = float(np.quantile(chance, LOST))
-    return model
-
-
-def fit(docs: DataFrame, labels: DataFrame, rows_each: int = ROWS_EACH, pool: int = POOL, **options) -> Model | None:
-    """Train on about ``rows_each`` labelled rows of each class and ``pool`` others, chosen by a hash of the id; None unless both classes have rows."""
-    good = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
-    marks = labels.where("doc_id is not null and (quality is not null or toxic = 1)").groupBy("doc_id").agg(F.min(F.when(good, 1).otherwise(0)).alias("good"))
-    known = docs.where("doc_id is not null").select("doc_id").join(marks, "doc_id", "left").groupBy(F.coalesce("good", F.lit(-1)).alias("good")).count()
-    counts = {r.good: r["count"] for r in known.collect()}
+        taught = ask(views)
+        learned = [learned[0].plus(taught[1]), learned[1].plus(taught[0])]
+    if not len(truth):
+        return Model(views[0], views[1], np.array([1.0, 1.0, 0.0]))
+    every = np.ones(BUCKETS, bool)
+    logits = np.column_stack([scaled(view, np.array([view.weights[i].sum() + f @ view.form + view.bias for i, f in held.of(v, every)])) for v, view in enumerate(views)])
+    both = logistic(logits, truth)
+    chance = sigmoid(np.column_stack((logits, np.ones(len(logits)))) @ both)
+    return Model(views[0], views[1], both, float(np.quantile(chance[truth == 1], LOST)))
+
+
+FEATURES = "doc_id long, key binary, ids array<int>, form array<double>, meta array<int>"
+_NAMES = ["doc_id", "key", "ids", "form", "meta"]
+
+
+def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, texts in common.sliced(batches, "text", hashing.PIECE):
+        ids, per, form = text_features(texts)
+        meta = meta_features(*(batch.column(c).to_pylist() for c in ("source", "lang", "n_chars")))
+        lists = [
+            pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(per))).astype(np.int32)), pa.array(ids.astype(np.int32))),
+            *(pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel())) for x in (form, meta.astype(np.int32))),
+        ]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *lists], names=_NAMES)
+
+
+def extracted(docs: DataFrame) -> DataFrame:
+    """The features of each row of ``docs``, as in ``FEATURES``."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_key(F.col("text")).alias("key"), "text", "source", "lang", F.col("n_chars").cast("long").alias("n_chars"))
+    return rows.mapInArrow(_extract, FEATURES)
+
+
+def _read(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets, how many each row has, forms and metadata of a batch of features."""
+    lists = batch.column("ids")
+    per = np.asarray(pa.compute.list_value_length(lists)).astype(np.int64)
+    flat = [batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("ids", "form", "meta")]
+    return flat[0].astype(np.int64), per, flat[1].reshape(-1, FORM), flat[2].astype(np.int64).reshape(-1, 4)
+
+
+def _surest(sent, taken: int, sure: float):
+    """Of a partition, the ``taken`` texts of which each view is surest, for each label: (view, good, chance, key, ...)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text, meta, used = sent.value
+        best: dict[tuple[int, int], dict[bytes, tuple]] = {(v, g): {} for v in (0, 1) for g in (0, 1)}
+        for batch in batches:
+            ids, per, form, buckets = _read(batch)
+            keys, ends = batch.column("key").to_pylist(), np.cumsum(per)
+            chances = text.chance(text.raw(ids, per, form)), meta.chance(meta.raw(buckets.ravel(), np.full(len(buckets), 4), None))
+            for (v, g), own in best.items():
+                chance = chances[v] if g else 1 - chances[v]
+                floor = max(sure, min((x[0] for x in own.values()), default=0.0) if len(own) >= taken else 0.0)
+                # ties are broken by the text's key, so that reruns agree
+                for i in np.flatnonzero(chance >= floor):
+                    if keys[i] not in used and keys[i] not in own:
+                        own[keys[i]] = (float(chance[i]), ids[ends[i] - per[i] : ends[i]].copy(), form[i].copy(), buckets[i].copy())
+                if len(own) > taken:
+                    best[v, g] = dict(sorted(own.items(), key=lambda x: (-x[1][0], x[0]))[:taken])
+        rows = [(v, g, chance, key, ids.tolist(), form.tolist(), meta.tolist()) for (v, g), own in best.items() for key, (chance, ids, form, meta) in own.items()]
+        if rows:
+            kinds = (pa.int32(), pa.int32(), pa.float64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["view", "good", "chance", *_NAMES[1:]])
+
+    return run
+
+
+def _rows(collected: list) -> Rows:
+    wide = lambda c, kind: [np.array(r[c], dtype=kind) for r in collected]
+    return Rows(wide("ids", np.int64), wide("form", np.float64), wide("meta", np.int64), [int(r["good"]) for r in collected])
+
+
+def fit(features: DataFrame, rows_each: int = ROWS_EACH, most_words: int = MOST_WORDS, rounds: int = ROUNDS, taken: int = TAKEN, sure: float = SURE) -> Model | None:
+    """Train on features with ``good`` (1, 0, or null without a label); None unless both classes have rows.
+
+    About ``rows_each`` labelled rows of each class, chosen by a hash of id and text, and what views take of the
+    others: in each round every unlabelled row is scored, and of the distinct texts each view gives the other
+    the ``taken`` surest of each class.
+    """
+    spark = features.sparkSession
+    tables = Scratch(spark, "cotrain")
+    marked = features.where(F.col("good").isNotNull() & (F.size("ids") <= most_words))
+    counts = {r.good: r["count"] for r in marked.select("doc_id", "key", "good").distinct().groupBy("good").count().collect()}
     if not counts.get(1) or not counts.get(0):
         return None
-    draw = F.pmod(F.xxhash64(F.lit("cotrain"), "doc_id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    picked = marks.where(draw < F.when(F.col("good") == 1, min(1.0, rows_each / counts[1])).otherwise(min(1.0, rows_each / counts[0])))
-    others = docs.where(F.col("doc_id").isNotNull() & (draw < min(1.0, pool / max(1, counts.get(-1, 1))))).select("doc_id").join(marks, "doc_id", "left_anti").select("doc_id", F.lit(-1).alias("good"))
-    chosen = F.broadcast(picked.unionByName(others).dropDuplicates(["doc_id"]))  # bounded by rows_each and pool
-    sample = docs.select("doc_id", "text", "source", "lang", "n_chars").join(chosen, "doc_id").dropDuplicates(["doc_id"]).collect()
-    sample.sort(key=lambda r: r.doc_id)
-    texts, metas = [(r.text or "").encode() for r in sample], [[r[c] for r in sample] for c in ("source", "lang", "n_chars")]
-    held = np.array([h % 4 == 0 for h in hashing.mix(np.array([r.doc_id for r in sample], dtype=np.int64).view(np.uint64)).tolist()], bool)
-    truth = np.array([r.good for r in sample])
+    draw = F.pmod(F.xxhash64(F.lit("cotrain"), "doc_id", "key"), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    share = F.when(F.col("good") == 1, min(1.0, rows_each / counts[1])).otherwise(min(1.0, rows_each / counts[0]))
+    sample = marked.where(draw < share).dropDuplicates(["doc_id", "key"]).collect()
+    sample.sort(key=lambda r: (r.doc_id, bytes(r.key)))
+    apart = np.array([h % 4 == 0 for h in hashing.mix(np.array([r.doc_id for r in sample], dtype=np.int64).view(np.uint64)).tolist()], bool)
+    classes = lambda side: {r.good for r, x in zip(sample, apart, strict=True) if x == side}
+    if len(classes(True)) < 2 or len(classes(False)) < 2:
+        apart = np.zeros(len(sample), bool)
+    used: set[bytes] = {bytes(r.key) for r in sample}
+
+    def ask(views: list[View]) -> list[Rows]:
+        sent = spark.sparkContext.broadcast((*views, frozenset(used)))
+        schema = f"view int, good int, chance double, {FEATURES.split(', ', 1)[1]}"
+        found = tables.keep(features.where(F.col("good").isNull() & (F.size("ids") <= most_words)).mapInArrow(_surest(sent, taken, sure), schema), f"surest-{uuid.uuid4().hex}")
+        out: list[list] = [[], []]
+        for v in (0, 1):
+            for good in (1, 0):
+                one = found.where((F.col("view") == v) & (F.col("good") == good)).dropDuplicates(["key"])
+                for r in one.orderBy(F.desc("chance"), "key").limit(taken).collect():
+                    if bytes(r.key) not in used:
+                        used.add(bytes(r.key))
+                        out[v].append(r)
+        return [_rows(x) for x in out]
+
+    known, held = (_rows([r for r, x in zip(sample, apart, strict=True) if x == side]) for side in (False, True))
     del sample
-    if len(set(truth[~held & (truth >= 0)].tolist())) < 2 or len(set(truth[held & (truth >= 0)].tolist())) < 2:
-        held = np.zeros(len(texts), bool)
-    return cotrain(texts, *metas, truth, held, **options)
+    return cotrain(known, held, ask, rounds)
 
 
 def _score(sent, least: float | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         under = least if least is not None else model.least if model else 0.5
-        for batch, texts in common.sliced(batches, "text", hashing.PIECE):
-            own = [batch.column(c).to_pylist() for c in ("source", "lang", "n_chars")]
-            views = model.chances(texts, *own) if model else [np.full(len(texts), 0.5)] * 3
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v) for v in views), pa.array(views[2] >= under)], names=["doc_id", "text_score", "meta_score", "score", "kept"])
+        for batch in batches:
+            views = model.chances(*_read(batch)) if model else [np.full(batch.num_rows, 0.5)] * 3
+            columns = [batch.column("doc_id"), *(pa.array(v) for v in views), pa.array(views[2] >= under)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_score", "meta_score", "score", "kept"])
 
     return run
 
@@ -245,14 +340,23 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, model: Mod
     by default the score that all but a few of the held-out good rows reach).
 
     Null texts count as empty, null metadata as a value of its own. A document with several labels is good if
-    all say so. If either class has no labelled rows, every score is 0.5. Repeated rows get equal answers;
-    other columns are not read.
+    all say so; rows that share a doc_id share its label. If either class has no labelled rows, every score is
+    0.5. Repeated rows get equal answers; other columns are not read. An empty table gives an empty result.
     """
-    model = model or fit(docs, labels, **options)
+    ship(spark)
+    features = extracted(docs)
+    if model is None:
+        good = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
+        marks = labels.where("doc_id is not null and (quality is not null or toxic = 1)").groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.min(F.when(good, 1).otherwise(0)).alias("good"))
+        # rows without an id match no label; a hash for them keeps them out of one task
+        at = F.coalesce("doc_id", F.xxhash64("key"))
+        joined = features.join(marks, at == F.col("__id"), "left").withColumn("good", F.when(F.col("doc_id").isNotNull(), F.col("good"))).drop("__id")
+        features = Scratch(spark, "quality").keep(joined, "features")
+        model = fit(features, **options)
     sent = spark.sparkContext.broadcast(model)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source", "lang", F.col("n_chars").cast("long").alias("n_chars"))
-    return rows.mapInArrow(_score(sent, least), "doc_id long, text_score double, meta_score double, score double, kept boolean")
+    return features.select(*_NAMES).mapInArrow(_score(sent, least), "doc_id long, text_score double, meta_score double, score double, kept boolean")
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document of ``documents``, learned from ``labels``; see ``classify``."""
     return classify(spark, common.load(spark, sf_dir, "documents"), common.load(spark, sf_dir, "labels"))
