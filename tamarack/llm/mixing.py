@@ -177,16 +177,16 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS
     return both.select("doc_id", "order_key", "source", "size", "source_size", "target", F.coalesce(taken, F.expr("filter(array(struct(0L as copy, 0L as block, 0 as shard, 0L as shuffle_key)), d -> false)")).alias("draws"))
 
 
-def mixed(spark: SparkSession, docs: DataFrame, seed: int = SEED, part_rows: int = 1 << 20, **options) -> DataFrame:
+def mixed(spark: SparkSession, docs: DataFrame, seed: int = SEED, shards: int = SHARDS, part_rows: int = 1 << 14, **options) -> DataFrame:
     """The rows of ``docs``, with all their columns, each as often as ``mix`` takes it, shard by shard in the shards' order.
 
     A shard lies in parts of about ``part_rows`` rows: equal ranges of its shuffle keys, each in one partition
     and sorted there. Null ids and texts, ties, repeated rows and empty tables are as in ``mix``.
     """
-    taken = mix(spark, docs, seed=seed, **options).groupBy("doc_id", F.col("order_key").alias("key")).agg(F.flatten(F.collect_list("draws")).alias("__tm_draws"))
+    taken = mix(spark, docs, seed=seed, shards=shards, **options).groupBy("doc_id", F.col("order_key").alias("key")).agg(F.flatten(F.collect_list("draws")).alias("__tm_draws"))
     rows = common.matched(docs, taken.where(F.size("__tm_draws") > 0), permutation(F.col("doc_id"), F.col("text"), seed))
     rows = rows.select(*docs.columns, F.explode("__tm_draws").alias("__tm"))
-    place = (F.shiftrightunsigned(F.col("__tm.shuffle_key"), 40) / F.lit(float(1 << 24)) * F.lit(max(1, docs.count() // part_rows))).cast("int")
+    place = (F.shiftrightunsigned(F.col("__tm.shuffle_key"), 40) / F.lit(float(1 << 24)) * F.lit(max(1, docs.count() // (shards * part_rows)))).cast("int")
     rows = rows.withColumn("__tm_shard", F.col("__tm.shard")).withColumn("__tm_part", place)
     rows = rows.repartition("__tm_shard", "__tm_part").sortWithinPartitions("__tm_shard", "__tm_part", F.expr("shiftrightunsigned(__tm.shuffle_key, 1)"))
     return rows.drop("__tm", "__tm_shard", "__tm_part")
