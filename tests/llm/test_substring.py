@@ -26,6 +26,29 @@ def test_against_brute_force(spark, docs, plain, window, seed):
     assert sorted(map(tuple, got.collect()), key=str) == brute([(i, t) for i, t, _, _ in plain], window)
 
 
+@pytest.mark.parametrize(("window", "seed"), [(35, 8), (12, 3)])
+def test_maximal_repeats(spark, docs, plain, window, seed):
+    """Spans are equal at their partner, cover what is removed, and are joined as far as they go on."""
+    rows = substring.maximal_repeats(spark, docs, window, seed).collect()
+    lists = [(i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t, _, _ in plain]
+    of = {}
+    for i, w in lists:
+        of.setdefault(i, []).append(w)
+    covered, spans = {}, {}
+    for r in rows:
+        size = r.stop - r.start
+        assert size >= window
+        assert any(w[r.start : r.stop] == x[r.other_start : r.other_start + size] and len(w[r.start : r.stop]) == size for w in of[r.doc_id] for x in of[r.other_id])
+        covered.setdefault(r.doc_id, set()).update(range(r.start, r.stop))
+        spans.setdefault((r.doc_id, bytes(r.key), r.other_id, r.other_start - r.start), []).append((r.start, r.stop))
+    for own in spans.values():
+        own.sort()
+        assert all(b[0] > a[1] - window + 1 for a, b in zip(own, own[1:], strict=False))
+    assert max(r.stop - r.start for r in rows) > 2 * window
+    gone = {i: n for i, _, n, _, _ in brute([(i, t) for i, t, _, _ in plain], window) if len(of[i]) == 1}
+    assert {i: len(covered.get(i, ())) for i in gone} == gone
+
+
 def test_empty(spark, empty):
     assert substring.dedup_substrings(spark, empty).count() == 0
 
