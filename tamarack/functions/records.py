@@ -70,6 +70,22 @@ def fresh(checked_at: Column, now: Column, seconds: int) -> Column:
     return F.coalesce(F.unix_timestamp(now) - F.unix_timestamp(checked_at) < seconds, F.lit(False))
 
 
+# What a log must not show, and what stands for it.
+_SECRETS = (
+    (r"(?i)\b(password|passwd|secret|token|api[_-]?key|authorization)(\"?\s*[:=]\s*\"?)(?:bearer\s+)?[^\s\",;]+", "$1$2***"),
+    (r"(?i)\bbearer\s+[A-Za-z0-9._~+/=-]+", "Bearer ***"),
+    (r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", "***"),
+    (r"(?i)\b([a-z][a-z0-9+.-]*://[^\s:/@]+):[^\s@]+@", "$1:***@"),
+)
+
+
+def scrub_log(text: Column) -> Column:
+    """Named keys, bearer and web tokens, and passwords in URLs, replaced."""
+    for pattern, mark in _SECRETS:
+        text = F.regexp_replace(text, pattern, mark)
+    return text
+
+
 def protect_cell(value: Column) -> Column:
     """Text of a spreadsheet cell: null is empty, a leading sign that starts a formula gets a quote before it."""
     text = F.coalesce(value.cast("string"), F.lit(""))

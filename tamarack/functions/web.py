@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 # Registered domains whose subdomains belong to different businesses.
 BUILDER_DOMAINS = (
@@ -25,6 +28,19 @@ def host_of(url: Column) -> Column:
     return F.when(F.contains(F.lower(rest), F.lit(".")), F.nullif(host, F.lit("")))
 
 
+def _ascii(host: str | None) -> str | None:
+    try:
+        return host.strip().rstrip(".").lower().encode("idna").decode() if host and host.strip() else None
+    except UnicodeError:
+        return None
+
+
+@pandas_udf(StringType())
+def ascii_host(s: pd.Series) -> pd.Series:
+    """A host in ASCII, by the standard library's codec (the 2003 rules); null for one that has no such form."""
+    return s.map(_ascii)
+
+
 def registered_domain(host: Column, suffixes: tuple[str, ...] = SUFFIXES, second: tuple[str, ...] = SECOND_LEVEL) -> Column:
     """The label before the longest known public suffix, with it; null for an unknown suffix."""
     ends = "|".join(s.replace(".", r"\.") for s in (*second, *suffixes))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.functions import places, text, web
+from tamarack.functions import pii, places, text, web
+from tamarack.operators import pages
 from tamarack.operators.resolution import source_rank
 
 # Order of website kinds, groups of fields that come from one record.
@@ -151,6 +152,24 @@ def parse_answers(raw: DataFrame, column: str = "raw") -> DataFrame:
     return parsed.withColumn("drift", drift).withColumn("answer", F.when(F.col("drift").isNull(), F.col("answer").dropFields("_bad")))
 
 
+def build_input(rows: DataFrame, limit: int = 6000) -> DataFrame:
+    """(business_id, input JSON) of what a model may see: scrubbed of personal data, cut, without findings that nothing is sold for.
+
+    ``rows``: (business_id, display_name, industry, city, state, website, address_line1, address_line2, postal_code,
+    page_url, findings array of {code, message, evidence_text, evidence_url}, psi_score, platforms, page_text).
+    """
+    unsold = [code for code, _, service, _ in pages.CATALOGUE if service is None]
+    known = F.array_compact(F.array("address_line1", "address_line2", "postal_code"))
+    clean = lambda c: F.nullif(pii.scrub(c, known), F.lit(""))
+    kept = F.filter("findings", lambda f: f["code"].isNotNull() & ~f["code"].isin(*unsold))
+    told = F.transform(kept, lambda f: F.struct(f["code"].alias("code"), f["message"].alias("message"), clean(f["evidence_text"]).alias("evidence_text"), f["evidence_url"].alias("evidence_url")))
+    body = F.struct(
+        clean(F.col("display_name")).alias("business_name"), "industry", "city", "state", F.col("website").alias("website_url"), "page_url", told.alias("findings"), "psi_score",
+        F.coalesce("platforms", F.array().cast("array<string>")).alias("tech_stack"), F.coalesce(clean(F.left(F.coalesce("page_text", F.lit("")), F.lit(limit))), F.lit("")).alias("page_text"), F.lit(limit).alias("page_text_limit"),
+    )
+    return rows.select("business_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("input"))
+
+
 def lead_records(businesses: DataFrame, approved: DataFrame, origin: DataFrame, suppressed: DataFrame, base_url: str) -> DataFrame:
     """The 25 columns of a lead: one row for each business with an approved opportunity.
 
@@ -189,6 +208,14 @@ def time_limit(businesses: Column, default: int = 3600, each: int = 210) -> Colu
     return F.greatest(F.lit(default), businesses * each)
 
 
+def cron_from_time(at: str) -> str:
+    """Cron entry of a time of day: ``07:30`` gives ``30 7 * * *``."""
+    hours, minutes = (int(x) for x in at.split(":"))
+    if not (0 <= hours < 24 and 0 <= minutes < 60):
+        raise ValueError(f"{at} is no time of day")
+    return f"{minutes} {hours} * * *"
+
+
 def logic_version(rules_version: Column) -> Column:
     """The number of ``audit-N``; null for other texts."""
     return F.when(rules_version.rlike(r"^audit-\d+$"), F.regexp_extract(rules_version, r"(\d+)$", 1).cast("int"))

@@ -130,6 +130,16 @@ def top_findings(findings: Column, sellable_only: bool = False) -> Column:
     return F.transform(F.slice(ranked, 1, TOP), lambda x: x["code"])
 
 
+def badges(website_kind: Column, business_status: Column) -> Column:
+    """What a listing shows at a glance."""
+    return F.array_compact(F.array(F.when(website_kind == "none", "no_website"), F.when(business_status == "closed_permanently", "closed_permanently")))
+
+
+def finding_count(status: Column, findings: Column) -> Column:
+    """Number of findings with a code; null if nothing was read."""
+    return F.when(status.isin("done", "skipped"), F.size(F.filter(findings, lambda f: f["code"].isNotNull())))
+
+
 def detail(business_id: object, businesses: DataFrame, opportunities: DataFrame, decisions: DataFrame, audits: DataFrame) -> DataFrame:
     """One row: the business, its opportunities best first with their decisions newest first, and its newest audit."""
     history = decisions.groupBy("opportunity_id").agg(F.sort_array(F.collect_list(F.struct("decided_at", F.col("id").alias("decision_id"), "decision")), asc=False).alias("history"))

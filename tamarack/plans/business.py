@@ -858,3 +858,44 @@ def sightings_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = even.groupBy("user_id").agg(F.min("last_seen").alias("first_seen"))
     old = relational.newest(even, "user_id", ["last_seen", "event_id"]).join(first, "user_id").select("user_id", "first_seen", "last_seen", "event_type")
     return relational.seen_again(old, e.where("last_seen >= '2024-01-15'").drop("event_id"), ["user_id"], "last_seen")
+
+
+@query("""
+SELECT c_custkey AS business_id, 'Customer#[phone removed]' AS name, c_name[1:8] || ' at [address removed], write [email removed]' AS page, CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END::INT AS n FROM customer
+""")
+def model_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a model may see of a business, scrubbed of known addresses and personal data."""
+    k = F.col("c_custkey")
+    finding = lambda code: F.struct(F.lit(code).alias("code"), F.lit("m").alias("message"), F.lit("call 512 555 0100").alias("evidence_text"), F.lit("u").alias("evidence_url"))
+    none = F.lit(None).cast("string")
+    rows = table(spark, sf_dir, "customer").select(
+        k.alias("business_id"), F.col("c_name").alias("display_name"), F.lower("c_mktsegment").alias("industry"), F.lit("Austin").alias("city"), F.lit("TX").alias("state"), none.alias("website"), F.lit("The Old (Mill)").alias("address_line1"), none.alias("address_line2"), none.alias("postal_code"),
+        none.alias("page_url"), F.array(finding("robots_blocked"), F.when(k % 2 == 0, finding("no_h1"))).alias("findings"), F.lit(50).alias("psi_score"), F.lit(None).cast("array<string>").alias("platforms"), F.concat(F.left("c_name", F.lit(8)), F.lit(" at the old (mill), write a@b.com")).alias("page_text"),
+    )
+    got = F.from_json("input", "business_name string, page_text string, findings array<struct<code: string>>")
+    return lifecycle.build_input(rows).select("business_id", got["business_name"].alias("name"), got["page_text"].alias("page"), F.size(got["findings"]).alias("n"))
+
+
+@query("SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'user ' || c_name || ' token=***' WHEN 1 THEN 'https://me:***@host/' || c_custkey ELSE 'Bearer ***' END AS line FROM customer")
+def scrubbed_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log lines without secrets."""
+    k = F.col("c_custkey")
+    line = F.when(k % 3 == 0, F.concat(F.lit("user "), "c_name", F.lit(" token="), F.md5("c_name"))).when(k % 3 == 1, F.concat(F.lit("https://me:pass"), k, F.lit("@host/"), k)).otherwise(F.concat(F.lit("bearer "), F.md5("c_name")))
+    return table(spark, sf_dir, "customer").select("c_custkey", records.scrub_log(line).alias("line"))
+
+
+@query(f"""
+WITH {_B}, {_A} SELECT business_id, trim(CASE WHEN website_kind = 'none' THEN 'no_website ' ELSE '' END || CASE WHEN business_status = 'closed_permanently' THEN 'closed_permanently' ELSE '' END) AS badges, CASE WHEN status IN ('done', 'skipped') THEN 2 END::INT AS n FROM b JOIN la USING (business_id)
+""")
+def listing_badges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Badges of a listing and the number of its findings."""
+    last = review.latest_audits(_audits(spark, sf_dir)).select("business_id", review.finding_count(F.col("status"), F.col("findings")).alias("n"))
+    rows = _businesses(spark, sf_dir).join(last, "business_id")
+    return rows.select("business_id", F.array_join(review.badges(F.col("website_kind"), F.col("business_status")), " ").alias("badges"), "n")
+
+
+@query("SELECT n_nationkey, 'nation' || n_nationkey || '.com' AS host FROM nation")
+def ascii_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts in ASCII (international ones are tested by cases)."""
+    ship(spark)
+    return table(spark, sf_dir, "nation").select("n_nationkey", web.ascii_host(F.concat(F.lit(" Nation"), "n_nationkey", F.lit(".COM. "))).alias("host"))

@@ -6,9 +6,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tamarack.functions import signatures
-from tamarack.operators import leads, pages, relational, reports, resolution
-from tamarack.sources import csv_sink, feeds
+from tamarack.functions import pii, signatures, web
+from tamarack.functions import records as records_of
+from tamarack.operators import leads, lifecycle, pages, relational, reports, resolution
+from tamarack.sources import csv_sink, destinations, feeds
 from tamarack.streaming import limits
 
 NOW = dt.datetime(2026, 1, 31, 12)
@@ -334,3 +335,71 @@ def test_queue(spark):
     assert [q.id for q in one.opportunities] == [71, 70] and [h.decision for h in one.opportunities[1].history] == ["undo", "approve"]
     cited = o.withColumn("cited", F.array(F.when(F.col("business_id") == 7, "thin_content").otherwise("gone")))
     assert {p.id: p.withdraw for p in review.orphans(cited, a).collect()}.keys() == {i for i in [10, 11, 20, 21, 30, 31, 40, 41, 50, 51, 61]}
+
+
+def test_not_in(spark):
+    left = spark.createDataFrame([(1,), (2,), (None,)], "k int")
+    right = lambda *xs: spark.createDataFrame([(x,) for x in xs], "k int")
+    rows = lambda r: [x.k for x in relational.not_in(left, r, "k").collect()]
+    assert rows(right(1)) == [2] and rows(right(1, None)) == [] and sorted(rows(right()), key=str) == [1, 2, None]
+
+
+def test_cursor_page_of_an_empty_table(spark):
+    df = spark.createDataFrame([(i, i % 3) for i in range(9)], "id int, v int")
+    assert [r.id for r in relational.keyset_page_at(df, ["v", "id"], 2, df.where("id = 7")).collect()] == [4, 1, 6]
+    assert relational.keyset_page_at(df, ["v", "id"], 2, df.where("false")).count() == 0
+    assert relational.keyset_page_at(df.where("false"), ["v", "id"], 2, df.where("false")).count() == 0
+
+
+def test_upsert_takes_the_last_of_repeated_keys(spark):
+    old = spark.createDataFrame([(1, "a", "x")], "k int, v string, w string")
+    new = spark.createDataFrame([(1, "b", None, 1), (1, None, "y", 3), (1, "c", None, 2), (2, "z", None, 1)], "k int, v string, w string, at int")
+    for rows in (new, new.orderBy(F.desc("at"))):
+        assert {tuple(r) for r in relational.upsert(old, rows, ["k"], ["at"]).collect()} == {(1, "c", "y"), (2, "z", None)}
+
+
+def test_percentiles(spark):
+    rows = spark.createDataFrame([("a", float(v)) for v in [1, 1, 1, 2, 10, 10]] + [("b", 5.0), ("b", None)], "k string, v double")
+    got = {r.k: (r.n, r.p50, r.p95) for r in reports.percentiles(rows, "k", "v", p50=0.5, p95=0.95).collect()}
+    assert got == {"a": (6, 1.5, 10.0), "b": (1, 5.0, 5.0)}
+
+
+def test_replay_cells_wrap():
+    at = lambda lat, lng: {"domain": None, "phone": None, "postal": None, "name_key": None, "lat": lat, "lng": lng}
+    own = {k for _, k in resolution._keys(at(10.0, 179.9999), own=True)}
+    assert own & {k for _, k in resolution._keys(at(10.0, -179.9999))}
+    assert len(list(resolution._keys(at(90.0, 0.0)))) == 6 and resolution.half_up(0.00005, 4) == 0.0001
+
+
+def test_known_addresses(spark):
+    df = spark.createDataFrame([("Come to 5 Old Mill (rear) or 5 old mill.", ["5 Old Mill", "5 Old Mill (rear)", " "]), ("nothing", None)], "t string, k array<string>")
+    assert [r[0] for r in df.select(pii.without_known(F.col("t"), F.col("k"))).collect()] == ["Come to [address removed] or [address removed].", "nothing"]
+
+
+def test_destination(spark, tmp_path):
+    leads_of = lambda *rows: spark.createDataFrame(rows, "business_key string, business_name string, notes string, do_not_contact boolean")
+    assert destinations.names() == ["table"]
+    table = destinations.get("table", spark, str(tmp_path / "crm"))
+    assert not table.check()
+    first = leads_of(("1", "a", "n1", False), ("2", "b", None, False))
+    table.upsert(first)
+    table.upsert(first)
+    table.mark_do_not_contact(first.where("business_key = '2'"))
+    table.withdraw(first.where("business_key = '1'"))
+    table.upsert(leads_of(("2", "B", "other", False), ("3", "c", None, False)))
+    got = {r.business_key: (r.business_name, r.notes, r.do_not_contact, r.withdrawn) for r in table.read().collect()}
+    assert got == {"1": ("a", "n1", False, True), "2": ("B", "other", True, False), "3": ("c", None, False, False)} and table.check()
+    assert table.find_by_keys(first).count() == 2
+    for _ in range(2):
+        destinations.append_log(first.select("business_key"), str(tmp_path / "log"), F.lit(NOW))
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 4
+
+
+def test_hosts_cron_and_logs(spark):
+    hosts = spark.createDataFrame([("München.DE.",), ("a.com",), (" ",), (None,), ("x" * 70 + ".com",)], "h string")
+    assert [r[0] for r in hosts.select(web.ascii_host("h")).collect()] == ["xn--mnchen-3ya.de", "a.com", None, None, None]
+    assert lifecycle.cron_from_time("07:05") == "5 7 * * *"
+    with pytest.raises(ValueError):
+        lifecycle.cron_from_time("25:00")
+    line = spark.createDataFrame([('{"api_key": "abc123"} eyJa.eyJb.c d',)], "t string").select(records_of.scrub_log(F.col("t"))).head()[0]
+    assert line == '{"api_key": "***"} *** d'
