@@ -399,19 +399,18 @@ SELECT item_id, count(DISTINCT doc_id) AS docs FROM (SELECT item_id, lower(trim(
 def verbatim_quote(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold each item verbatim.
 
-    Seeds first: an item's first six words are joined to the documents' six-word windows, and only pairs that
-    share them are compared in full. The item side is small and stays unsorted; no pair is made without a seed.
+    Probes first: the longest word of an item but its first and last (which a document may hold as parts of longer
+    words) is joined to the documents' distinct words, and only pairs that share it are compared in full. No pair is
+    made without a probe, but for items of fewer than three words, which are held against every text.
     """
-    key = lambda c: F.concat_ws(" ", c)
-    items = table(spark, sf_dir, "benchmark").select("item_id", text.verbatim(F.col("text")).alias("q"))
-    items = items.withColumn("words", F.split("q", " ")).withColumn("seed", F.when(F.size("words") >= 8, F.xxhash64(key(F.slice("words", 2, 6)))))
+    split = lambda c: F.split(c, " ")
+    longest = F.array_max(F.transform(F.slice(split(F.col("q")), F.lit(2), F.greatest(F.size(split(F.col("q"))) - 2, F.lit(0))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
+    items = table(spark, sf_dir, "benchmark").select("item_id", text.verbatim(F.col("text")).alias("q")).withColumn("word", longest["w"])
     docs = table(spark, sf_dir, "documents").select("doc_id", text.verbatim(F.col("text")).alias("t"))
-    windows = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 5, F.lit(1))), lambda i: F.xxhash64(key(F.slice(w, i, 6)))))
-    # bound to a lambda's variable, the words are split once and not once a window
-    seeds = docs.select("doc_id", F.explode(F.get(F.transform(F.array(F.split("t", " ")), windows), F.lit(0))).alias("seed"))
-    pairs = seeds.join(items.where("seed is not null").select("item_id", "seed"), "seed").select("doc_id", "item_id").distinct()
+    words = docs.select("doc_id", F.explode(F.array_distinct(split(F.col("t")))).alias("word"))
+    pairs = words.join(items.where("word is not null").select("item_id", "word"), "word").select("doc_id", "item_id").distinct()
     met = pairs.join(docs, "doc_id").join(items.select("item_id", "q"), "item_id").where(F.contains("t", "q")).select("item_id", "doc_id")
-    short = items.where("seed is null").select("item_id", "q")
+    short = items.where("word is null").select("item_id", "q")
     met = met.unionByName(docs.join(short, F.contains("t", "q")).select("item_id", "doc_id"))
     return met.groupBy("item_id").agg(F.countDistinct("doc_id").alias("docs"))
 
