@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tamarack.llm import common, hashing
 from tamarack.scratch import Scratch
+from tamarack.session import ship
 
 LEAST, THRESHOLD = 5, 0.5
 #: Benchmarks up to this many bytes of text are sent to every executor; larger ones are joined.
@@ -193,6 +194,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, lea
     have fewer than ``least`` tokens match nothing; equal items are reported each; repeated rows get equal
     answers. Other columns are not read. An empty benchmark leaves all documents clean.
     """
+    ship(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_key(F.col("text")).alias("key"), "text")
     items, sent = _sent(spark, benchmark, sent_bytes)
     if sent is not None:
@@ -211,7 +213,12 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, lea
 
 
 def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, least: int = LEAST, threshold: float = THRESHOLD, sent_bytes: int = SENT_BYTES) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that ``contaminated`` does not flag."""
+    """The rows of ``docs``, with all their columns, that ``contaminated`` does not flag.
+
+    Null and empty texts stay, repeated rows stay or go together, long texts are judged whole, and an empty
+    benchmark leaves all rows. Columns of any name and type come through.
+    """
+    ship(spark)
     sent = _sent(spark, benchmark, sent_bytes)[1]
     if sent is not None:
 
@@ -227,4 +234,5 @@ def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, least: int
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on each whole text of ``documents`` against ``benchmark``; see ``contaminated``."""
     return contaminated(spark, common.load(spark, sf_dir, "documents"), common.load(spark, sf_dir, "benchmark")).drop("key")

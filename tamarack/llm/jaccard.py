@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from tamarack.llm import common, hashing
 from tamarack.llm.components import components
 from tamarack.scratch import Scratch
+from tamarack.session import ship
 
 SHINGLE, THRESHOLD, BANDS, ROWS, TOLERANCE = 5, 0.8, 40, 6, 1e-7
 #: Classes, and bytes of text, that a part of a block holds on average.
@@ -254,6 +255,7 @@ def similar(spark: SparkSession, docs: DataFrame, k: int = SHINGLE, threshold: f
     all of them. Null and empty texts, and texts without words, link to nothing and keep their own doc_id.
     Repeated rows are copies of each other. Other columns are not read.
     """
+    ship(spark)
     tables = Scratch(spark, "jaccard")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_key(F.col("text")).alias("key"), "text")
     signed = tables.keep(texts.where("text is not null").mapInArrow(_sign(k, bands, rows), "doc_id long, key binary, c1 long, c2 long, size long, bands array<long>"), "signed")
@@ -284,7 +286,8 @@ def similar(spark: SparkSession, docs: DataFrame, k: int = SHINGLE, threshold: f
 def distinct(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, with all their columns, less all but one of each group of ``similar``: that of the least doc_id.
 
-    Of repeated rows one stays; rows without words all stay, as they are in no group.
+    Of repeated rows one stays; rows without words (null and empty texts among them) all stay, as they are in no
+    group. Ties in doc_id are broken by the text's hash. Columns of any name and type come through.
     """
     groups = similar(spark, docs, **options)
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
@@ -293,6 +296,7 @@ def distinct(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of each row of ``documents``; see ``similar``."""
     return similar(spark, common.load(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_text_links")
 
 

@@ -56,4 +56,5 @@ def shard(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, whole: flo
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of each row of ``documents``; see ``shard``."""
     return shard(spark, common.load(spark, sf_dir, "documents"))
