@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from urllib.robotparser import RobotFileParser
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BooleanType, StringType
 
 # Registered domains whose subdomains belong to different businesses.
 BUILDER_DOMAINS = (
@@ -41,6 +43,18 @@ def ascii_host(s: pd.Series) -> pd.Series:
     return s.map(_ascii)
 
 
+def _allowed(body: str | None, url: str | None, agent: str = "*") -> bool:
+    rules = RobotFileParser()
+    rules.parse((body or "").splitlines())
+    return rules.can_fetch(agent, url or "/")
+
+
+@pandas_udf(BooleanType())
+def robots_allows(body: pd.Series, url: pd.Series) -> pd.Series:
+    """Whether the rules of a robots.txt let anyone read a URL; no rules allow all."""
+    return pd.Series([_allowed(b, u) for b, u in zip(body, url, strict=True)], dtype=bool)
+
+
 def registered_domain(host: Column, suffixes: tuple[str, ...] = SUFFIXES, second: tuple[str, ...] = SECOND_LEVEL) -> Column:
     """The label before the longest known public suffix, with it; null for an unknown suffix."""
     ends = "|".join(s.replace(".", r"\.") for s in (*second, *suffixes))

@@ -8,6 +8,7 @@ as in tests on one machine, gets a temporary one that is removed at exit.
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -15,13 +16,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
+_ROOTS: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="tamarack-"))
@@ -35,6 +37,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, operator: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{operator}-{uuid.uuid4().hex}"
+        _ROOTS.append(self.root)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return the table read back."""
@@ -44,8 +47,16 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         """Delete tables that nothing unread depends on any more."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(conf).delete(path, True)
+            _delete(self.spark, f"{self.root}/{name}")
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that operators wrote in this process; call it when their results are written elsewhere."""
+    while _ROOTS:
+        _delete(spark, _ROOTS.pop())

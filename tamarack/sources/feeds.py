@@ -112,5 +112,17 @@ def page_folder(spark: SparkSession, path: str) -> DataFrame:
     return read.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("host"), F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.decode("content", "UTF-8").alias("html"))
 
 
+def recorded_sites(spark: SparkSession, path: str) -> DataFrame:
+    """(host, robots, meta, status) of recorded sites below ``path``/<host>/: robots.txt, meta.json and the status it gives (200 without).
+
+    Spark does not list files whose name begins with an underscore, hence the name.
+    """
+    read = spark.read.format("binaryFile").option("pathGlobFilter", "*.{txt,json,html}").option("recursiveFileLookup", "true").load(path)
+    rows = read.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("host"), F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.decode("content", "UTF-8").alias("body"))
+    one = lambda name: F.max(F.when(F.col("file") == name, F.col("body")))
+    sites = rows.groupBy("host").agg(one("robots.txt").alias("robots"), one("meta.json").alias("meta"))
+    return sites.withColumn("status", F.coalesce(F.get_json_object("meta", "$.status").cast("int"), F.lit(200)))
+
+
 def page_speed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("psi", records.page_speed(F.col("raw")))

@@ -403,3 +403,29 @@ def test_hosts_cron_and_logs(spark):
         lifecycle.cron_from_time("25:00")
     line = spark.createDataFrame([('{"api_key": "abc123"} eyJa.eyJb.c d',)], "t string").select(records_of.scrub_log(F.col("t"))).head()[0]
     assert line == '{"api_key": "***"} *** d'
+
+
+def test_recorded_sites(spark, tmp_path):
+    for host, files in {"a.com": {"index.html": "<p>a</p>", "robots.txt": "User-agent: *\nDisallow: /private\n"}, "b.com": {"index.html": "b", "meta.json": '{"status": 503}'}}.items():
+        (tmp_path / host).mkdir()
+        for name, body in files.items():
+            (tmp_path / host / name).write_text(body)
+    got = feeds.recorded_sites(spark, str(tmp_path)).orderBy("host")
+    assert [(r.host, r.status, r.robots is None) for r in got.collect()] == [("a.com", 200, False), ("b.com", 503, True)]
+    rows = got.select(F.explode(F.array(F.lit("https://a.com/private/x"), F.lit("https://a.com/"))).alias("u"), "robots")
+    assert [r[0] for r in rows.select(web.robots_allows("robots", "u")).collect()] == [False, True, True, True]
+
+
+def test_scratch_is_cleared(spark):
+    import os
+
+    from tamarack import scratch
+
+    tables = scratch.Scratch(spark, "clear-test")
+    tables.keep(spark.range(3), "t")
+    folder = tables.root.removeprefix("file:")
+    assert os.path.isdir(folder)
+    own, scratch._ROOTS[:] = scratch._ROOTS[:], [tables.root]
+    scratch.clear(spark)
+    scratch._ROOTS.extend(r for r in own if r != tables.root)
+    assert not os.path.exists(folder)
