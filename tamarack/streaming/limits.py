@@ -34,6 +34,28 @@ def token_bucket(events: DataFrame, key: str, time: str, ident: str, per_second:
     return events.groupBy(key).applyInPandasWithState(step, out, "tokens double, last double", "append", GroupStateTimeout.NoTimeout)
 
 
+def alert_states(conditions: DataFrame, key: str, time: str, fires: str) -> DataFrame:
+    """(key, at, action): what a stream of condition reports does to alerts: raise, refresh or clear.
+
+    State is one flag a key: whether its alert stands. Reports of a key in one batch count in time order; a
+    condition that does not fire and has no open alert does nothing.
+    """
+
+    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        stands = bool(state.get[0]) if state.exists else False
+        rows = pd.concat(list(frames)).sort_values(time, kind="stable")
+        out = []
+        for at, now in zip(rows[time], rows[fires], strict=True):
+            if now or stands:
+                out.append((k[0], at, "clear" if not now else "refresh" if stands else "raise"))
+            stands = bool(now)
+        state.update((stands,))
+        yield pd.DataFrame(out, columns=[key, "at", "action"])
+
+    kinds = dict(conditions.dtypes)
+    return conditions.groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, at {kinds[time]}, action string", "stands boolean", "append", GroupStateTimeout.NoTimeout)
+
+
 def daily_counts(events: DataFrame, key: str, time: str, cap: int, late: str = "1 hour") -> DataFrame:
     """(key, day, n, over) in tumbling days with a watermark: a closed day takes no more events."""
     days = events.withWatermark(time, late).groupBy(key, F.window(time, "1 day")).count()

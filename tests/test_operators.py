@@ -429,3 +429,17 @@ def test_scratch_is_cleared(spark):
     scratch.clear(spark)
     scratch._ROOTS.extend(r for r in own if r != tables.root)
     assert not os.path.exists(folder)
+
+
+def test_alerts_of_a_stream(spark, tmp_path):
+    at = lambda m: NOW + dt.timedelta(minutes=m)
+    batches = [[("a", at(0), True), ("b", at(0), False), ("a", at(1), True)], [("a", at(3), True), ("a", at(2), False), ("b", at(2), True)], [("b", at(4), False), ("a", at(4), False)]]
+    kind = "rule string, ts timestamp, fires boolean"
+    rows = []
+    for i, batch in enumerate(batches):
+        spark.createDataFrame(batch, kind).coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
+        stream = spark.readStream.schema(kind).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        out = limits.alert_states(stream, "rule", "ts", "fires").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        out.awaitTermination()
+    rows = [(r.rule, r.action) for r in spark.read.parquet(str(tmp_path / "out")).orderBy("rule", "at").collect()]
+    assert rows == [("a", "raise"), ("a", "refresh"), ("a", "clear"), ("a", "raise"), ("a", "clear"), ("b", "raise"), ("b", "clear")]
