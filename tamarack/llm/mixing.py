@@ -177,7 +177,7 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS
     return both.select("doc_id", "order_key", "source", "size", "source_size", "target", F.coalesce(taken, F.expr("filter(array(struct(0L as copy, 0L as block, 0 as shard, 0L as shuffle_key)), d -> false)")).alias("draws"))
 
 
-def mixed(spark: SparkSession, docs: DataFrame, seed: int = SEED, shards: int = SHARDS, part_rows: int = 1 << 14, **options) -> DataFrame:
+def mixed(spark: SparkSession, docs: DataFrame, seed: int = SEED, shards: int = SHARDS, part_rows: int = 1 << 12, **options) -> DataFrame:
     """The rows of ``docs``, with all their columns, each as often as ``mix`` takes it, shard by shard in the shards' order.
 
     A shard lies in parts of about ``part_rows`` rows: equal ranges of its shuffle keys, each in one partition
