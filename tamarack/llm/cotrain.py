@@ -220,8 +220,8 @@ def cotrain(known: Rows, held: Rows, ask, rounds: int = ROUNDS) -> Model:
     return Model(views[0], views[1], both, float(np.quantile(chance[truth == 1], LOST)))
 
 
-FEATURES = "doc_id long, key binary, ids array<int>, form array<double>, meta array<int>"
-_NAMES = ["doc_id", "key", "ids", "form", "meta"]
+FEATURES = "doc_id long, key binary, n int, ids array<int>, form array<double>, meta array<int>"
+_NAMES = ["doc_id", "key", "n", "ids", "form", "meta"]
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +232,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(per))).astype(np.int32)), pa.array(ids.astype(np.int32))),
             *(pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel())) for x in (form, meta.astype(np.int32))),
         ]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *lists], names=_NAMES)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(per.astype(np.int32)), *lists], names=_NAMES)
 
 
 def extracted(docs: DataFrame) -> DataFrame:
@@ -250,14 +250,14 @@ def _read(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 
 
 def _surest(sent, taken: int, sure: float):
-    """Of a partition, the ``taken`` texts of which each view is surest, for each label: (view, good, chance, key, ...)."""
+    """Of a partition, the ``taken`` texts of which each view is surest, for each label: (view, good, chance, doc_id, key, ...)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text, meta, used = sent.value
         best: dict[tuple[int, int], dict[bytes, tuple]] = {(v, g): {} for v in (0, 1) for g in (0, 1)}
         for batch in batches:
             ids, per, form, buckets = _read(batch)
-            keys, ends = batch.column("key").to_pylist(), np.cumsum(per)
+            keys, owners, ends = batch.column("key").to_pylist(), batch.column("doc_id").to_pylist(), np.cumsum(per)
             chances = text.chance(text.raw(ids, per, form)), meta.chance(meta.raw(buckets.ravel(), np.full(len(buckets), 4), None))
             for (v, g), own in best.items():
                 chance = chances[v] if g else 1 - chances[v]
@@ -265,13 +265,13 @@ def _surest(sent, taken: int, sure: float):
                 # ties are broken by the text's key, so that reruns agree
                 for i in np.flatnonzero(chance >= floor):
                     if keys[i] not in used and keys[i] not in own:
-                        own[keys[i]] = (float(chance[i]), ids[ends[i] - per[i] : ends[i]].copy(), form[i].copy(), buckets[i].copy())
+                        own[keys[i]] = (float(chance[i]), owners[i], ids[ends[i] - per[i] : ends[i]].copy(), form[i].copy(), buckets[i].copy())
                 if len(own) > taken:
                     best[v, g] = dict(sorted(own.items(), key=lambda x: (-x[1][0], x[0]))[:taken])
-        rows = [(v, g, chance, key, ids.tolist(), form.tolist(), meta.tolist()) for (v, g), own in best.items() for key, (chance, ids, form, meta) in own.items()]
+        rows = [(v, g, x[0], x[1], key, len(x[2]), *(y.tolist() for y in x[2:])) for (v, g), own in best.items() for key, x in own.items()]
         if rows:
-            kinds = (pa.int32(), pa.int32(), pa.float64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["view", "good", "chance", *_NAMES[1:]])
+            kinds = (pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["view", "good", "chance", *_NAMES])
 
     return run
 
@@ -281,22 +281,26 @@ def _rows(collected: list) -> Rows:
     return Rows(wide("ids", np.int64), wide("form", np.float64), wide("meta", np.int64), [int(r["good"]) for r in collected])
 
 
-def fit(features: DataFrame, rows_each: int = ROWS_EACH, most_words: int = MOST_WORDS, rounds: int = ROUNDS, taken: int = TAKEN, sure: float = SURE) -> Model | None:
-    """Train on features with ``good`` (1, 0, or null without a label); None unless both classes have rows.
+def fit(
+    features: DataFrame, marks: DataFrame, rows_each: int = ROWS_EACH, most_words: int = MOST_WORDS, rounds: int = ROUNDS, taken: int = TAKEN, sure: float = SURE
+) -> Model | None:
+    """Train on features and labels (doc_id, good: 1 or 0); None unless both classes have rows.
 
     About ``rows_each`` labelled rows of each class, chosen by a hash of id and text, and what views take of the
-    others: in each round every unlabelled row is scored, and of the distinct texts each view gives the other
-    the ``taken`` surest of each class.
+    others: in each round every row is scored, and of the distinct texts that are not learned from yet each view
+    gives the other the ``taken`` surest of each class. A text so found that has a label of its own is taught with
+    that. Features are never moved but for these rows.
     """
     spark = features.sparkSession
     tables = Scratch(spark, "cotrain")
-    marked = features.where(F.col("good").isNotNull() & (F.size("ids") <= most_words))
-    counts = {r.good: r["count"] for r in marked.select("doc_id", "key", "good").distinct().groupBy("good").count().collect()}
+    marked = features.where(F.col("doc_id").isNotNull() & (F.col("n") <= most_words)).select("doc_id", "key").join(marks, "doc_id").distinct()
+    counts = {r.good: r["count"] for r in marked.groupBy("good").count().collect()}
     if not counts.get(1) or not counts.get(0):
         return None
     draw = F.pmod(F.xxhash64(F.lit("cotrain"), "doc_id", "key"), F.lit(1_000_003)) / F.lit(1_000_003.0)
     share = F.when(F.col("good") == 1, min(1.0, rows_each / counts[1])).otherwise(min(1.0, rows_each / counts[0]))
-    sample = marked.where(draw < share).dropDuplicates(["doc_id", "key"]).collect()
+    chosen = F.broadcast(marked.where(draw < share))  # bounded by rows_each
+    sample = features.join(chosen, ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).collect()
     sample.sort(key=lambda r: (r.doc_id, bytes(r.key)))
     apart = np.array([h % 4 == 0 for h in hashing.mix(np.array([r.doc_id for r in sample], dtype=np.int64).view(np.uint64)).tolist()], bool)
     classes = lambda side: {r.good for r, x in zip(sample, apart, strict=True) if x == side}
@@ -306,13 +310,15 @@ def fit(features: DataFrame, rows_each: int = ROWS_EACH, most_words: int = MOST_
 
     def ask(views: list[View]) -> list[Rows]:
         sent = spark.sparkContext.broadcast((*views, frozenset(used)))
-        schema = f"view int, good int, chance double, {FEATURES.split(', ', 1)[1]}"
-        found = tables.keep(features.where(F.col("good").isNull() & (F.size("ids") <= most_words)).mapInArrow(_surest(sent, taken, sure), schema), f"surest-{uuid.uuid4().hex}")
+        schema = f"view int, good int, chance double, {FEATURES}"
+        found = tables.keep(features.where(F.col("n") <= most_words).mapInArrow(_surest(sent, taken, sure), schema), f"surest-{uuid.uuid4().hex}")
         out: list[list] = [[], []]
         for v in (0, 1):
             for good in (1, 0):
-                one = found.where((F.col("view") == v) & (F.col("good") == good)).dropDuplicates(["key"])
-                for r in one.orderBy(F.desc("chance"), "key").limit(taken).collect():
+                # of copies the least doc_id stands for the text
+                one = found.where((F.col("view") == v) & (F.col("good") == good)).groupBy("key").agg(F.min_by(F.struct("doc_id", "chance", "ids", "form", "meta"), F.coalesce("doc_id", F.lit(2**63 - 1))).alias("r"))
+                one = one.select("key", "r.*").orderBy(F.desc("chance"), "key").limit(taken)
+                for r in one.join(marks, "doc_id", "left").withColumn("good", F.coalesce("good", F.lit(good))).orderBy(F.desc("chance"), "key").collect():
                     if bytes(r.key) not in used:
                         used.add(bytes(r.key))
                         out[v].append(r)
@@ -347,12 +353,9 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, model: Mod
     features = extracted(docs)
     if model is None:
         good = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
-        marks = labels.where("doc_id is not null and (quality is not null or toxic = 1)").groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.min(F.when(good, 1).otherwise(0)).alias("good"))
-        # rows without an id match no label; a hash for them keeps them out of one task
-        at = F.coalesce("doc_id", F.xxhash64("key"))
-        joined = features.join(marks, at == F.col("__id"), "left").withColumn("good", F.when(F.col("doc_id").isNotNull(), F.col("good"))).drop("__id")
-        features = Scratch(spark, "quality").keep(joined, "features")
-        model = fit(features, **options)
+        marks = labels.where("doc_id is not null and (quality is not null or toxic = 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.when(good, 1).otherwise(0)).alias("good"))
+        features = Scratch(spark, "quality").keep(features, "features")
+        model = fit(features, marks, **options)
     sent = spark.sparkContext.broadcast(model)
     return features.select(*_NAMES).mapInArrow(_score(sent, least), "doc_id long, text_score double, meta_score double, score double, kept boolean")
 

@@ -67,7 +67,7 @@ def test_the_surest_of_all_rows_are_found(spark):
     views = [cotrain.View(cotrain.BUCKETS, cotrain.FORM), cotrain.View(cotrain.META_BUCKETS, 0)]
     for v in views:
         v.weights, v.form = rng.standard_normal(v.buckets), rng.standard_normal(v.dense)
-    got = features.mapInArrow(cotrain._surest(spark.sparkContext.broadcast((*views, frozenset())), 7, 0.5), "view int, good int, chance double, key binary, ids array<int>, form array<double>, meta array<int>").collect()
+    got = features.mapInArrow(cotrain._surest(spark.sparkContext.broadcast((*views, frozenset())), 7, 0.5), f"view int, good int, chance double, {cotrain.FEATURES}").collect()
     best = {bytes(r.key): r.chance for r in sorted((r for r in got if (r.view, r.good) == (0, 1)), key=lambda r: r.chance)}
     chance = {}
     for r in features.collect():
