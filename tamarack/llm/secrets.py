@@ -67,9 +67,9 @@ def words_of(text: Column) -> Column:
 
 
 def dictionary(docs: DataFrame, shared: int = SHARED) -> DataFrame:
-    """(word): words that ``shared`` documents have, not all of them of one text, so that copies of a key add nothing."""
-    each = docs.where(F.col("text").isNotNull()).select(F.xxhash64("text").alias("of"), F.explode(F.array_distinct(words_of(F.col("text")))).alias("word"))
-    counted = each.groupBy("word").agg(F.count("*").alias("n"), F.min("of").alias("low"), F.max("of").alias("high"))
+    """(word): runs of 4 to 20 letters that ``shared`` documents have, not all of them of one text, so that copies of a key add nothing."""
+    each = docs.where(F.col("text").isNotNull()).select(F.xxhash64("text").alias("of"), F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("word"))
+    counted = each.where(F.length("word").between(4, 20)).groupBy("word").agg(F.count("*").alias("n"), F.min("of").alias("low"), F.max("of").alias("high"))
     return counted.where((F.col("n") >= shared) & (F.col("low") < F.col("high"))).select("word")
 
 

@@ -40,8 +40,7 @@ def test_dictionary_against_brute_force(spark, docs, plain):
     got = {r.word for r in secrets.dictionary(docs).collect()}
     of = {}
     for _, text, _, _ in plain:
-        low = re.sub("([a-z])([A-Z])", r"\1 \2", text or "").lower()
-        for w in set(re.findall("[a-z]{4,20}", low)):
+        for w in {w for w in re.findall("[a-z]+", (text or "").lower()) if 4 <= len(w) <= 20}:
             of.setdefault(w, []).append(text)
     assert got == {w for w, texts in of.items() if len(texts) >= 3 and len(set(texts)) > 1} and got
     rows = spark.createDataFrame([(1, f"{sorted(got)[0]}-{sorted(got)[1].title()}9"), (2, "Zq9")], "id long, value string")
