@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tamarack.llm import chat, cotrain, decontaminate, jaccard, language, mixing, quality_rules, secrets, sharding, substring
+from tamarack.llm import bpe, chat, cotrain, decontaminate, jaccard, language, mixing, quality_rules, secrets, sharding, substring, whitening
 
 QUERIES = {
     "op1_language_id": language.op1_language_id,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
     "op9_quality_classifier": cotrain.op9_quality_classifier,
     "op10_secret_scan": secrets.op10_secret_scan,
+    "op11_byte_bpe": bpe.op11_byte_bpe,
+    "op12_embedding_whitening": whitening.op12_embedding_whitening,
 }
 SQL = {
     "op2_chat_format": chat.OP2_SQL,
