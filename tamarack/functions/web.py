@@ -73,6 +73,12 @@ def clean_url(url: Column) -> Column:
     return F.nullif(F.regexp_replace(F.trim(url), "[?#][\\s\\S]*$", ""), F.lit(""))
 
 
+def page_key(url: Column) -> Column:
+    """Host and path that two URLs of one page share: without scheme, ``www.``, final slashes, query and fragment; null without a host."""
+    path = F.regexp_extract(clean_url(url), r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//[^/]*(/.*)?$", 1)
+    return F.concat(host_of(url), F.regexp_replace(F.lower(path), "/+$", ""))
+
+
 def parse_website(url: Column) -> Column:
     """{website, domain, kind}: kind is none, own_site, builder_subdomain or social_profile."""
     host = host_of(url)

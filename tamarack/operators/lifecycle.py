@@ -111,6 +111,20 @@ def compare_website(listed: Column, final: Column, canonical: Column) -> Column:
     return F.struct(F.when(unknown, "not_compared").when(F.size(differs) > 0, "mismatch").otherwise("match").alias("status"), F.when(~unknown, differs).alias("differs_in"))
 
 
+def against_listing(audited: DataFrame, listings: DataFrame) -> DataFrame:
+    """(page_id, phone, address, website) of ``listings`` (page_id, phone_e164, street, postal_code, website) against their page: match, mismatch or not_compared.
+
+    The address is that of the page's local business, and is not compared where a page describes several.
+    """
+    c = F.col("checks")
+    own = F.when(c["businesses"] == 1, c["business"])
+    street = F.coalesce(own["street"], own["address_text"])
+    told = F.coalesce(own["postal_code"], F.get(F.split(own["address_text"], ",", 2), F.lit(1)))
+    address = compare_address(address_numbers(F.col("street"), F.col("postal_code")), address_numbers(street, told))
+    website = compare_website(F.col("website"), F.col("url"), c["canonical"])
+    return listings.join(audited, "page_id").select("page_id", compare_phone(F.col("phone_e164"), c["tel_numbers"]).alias("phone"), address.alias("address"), website.alias("website"))
+
+
 def names_business(df: DataFrame, said: str, name: str, generic: tuple[str, ...] = (), least: int = 3) -> DataFrame:
     """Adds ``names_business``: whether a text has a word of a business name (equal, five letters of its start, or run together); null if no word of the name counts."""
     ready = df.withColumn("__said", text.normalize_name(F.col(said))).withColumn("__name", text.normalize_name(F.col(name)))
@@ -139,7 +153,7 @@ def data_providers(records: DataFrame) -> DataFrame:
 
 
 ANSWER = "business_summary string, industry string, industry_matches_listing boolean, opportunities array<struct<service: string, confidence: double, rationale: string, evidence: array<struct<finding_code: string, quote: string, source_url: string>>>>, buying_intent string, unknowns array<string>, needs_human_review boolean"
-_ANSWER_KEYS = tuple(part.split(" ")[0] for part in ("business_summary", "industry", "industry_matches_listing", "opportunities", "buying_intent", "unknowns", "needs_human_review"))
+_ANSWER_KEYS = ("business_summary", "industry", "industry_matches_listing", "opportunities", "buying_intent", "unknowns", "needs_human_review")
 
 
 def parse_answers(raw: DataFrame, column: str = "raw") -> DataFrame:

@@ -6,16 +6,18 @@ is a list of conditions over columns, so rules stay in Spark. False says looked
 
 from __future__ import annotations
 
-import json
 import re
+import textwrap
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tamarack.functions import signatures, web
+from tamarack.functions import signatures, structured, web
 from tamarack.session import ship
 
 # Limits of the findings.
@@ -26,61 +28,58 @@ TEMPLATE_TITLES = (
     "home", "homepage", "home page", "welcome", "untitled", "untitled document", "untitled page", "site", "my site", "my website", "website", "my wordpress site", "wordpress", "just another wordpress site",
     "new page", "new site", "index", "business", "my business", "company", "page", "default", "blank", "document", "main", "coming soon", "under construction", "react app",
 )
-# Finding code, severity, service (-: none is sold for it); then our wording, {} for what was found.
-CATALOGUE = tuple(
-    tuple(None if part.strip() == "-" else part.strip() for part in line.split("|"))
-    for line in """
-no_website | high | website_design | The listing gives no website.
-social_profile_only | high | website_design | The listing gives a social profile where a website would be.
-unreachable | high | website_design | The homepage did not load: {}.
-no_https | high | website_design | The homepage is served without https.
-tls_invalid | high | website_design | The certificate of the homepage could not be verified: {}.
-builder_subdomain | medium | website_design | The homepage is on a subdomain of a website builder, {}.
-site_builder | low | website_design | The homepage is made with a website builder: {}.
-no_mobile_viewport | high | website_design | The homepage has no viewport tag for phones.
-viewport_blocks_zoom | medium | website_design | The viewport tag keeps visitors on phones from zooming: {}.
-missing_title | medium | seo_gbp | The homepage has no title.
-default_title | medium | seo_gbp | The title is one that templates ship with: {}.
-short_title | low | seo_gbp | The title is short: {}.
-long_title | low | seo_gbp | The title is long: {}.
-missing_meta_description | medium | seo_gbp | The homepage has no description for search engines.
-no_h1 | low | seo_gbp | The homepage has no main heading.
-multiple_h1 | low | seo_gbp | The homepage has several main headings: {}.
-no_structured_data | low | seo_gbp | The homepage has no structured data.
-no_local_business_schema | low | seo_gbp | The structured data names no local business: {}.
-invalid_structured_data | medium | seo_gbp | A block of structured data cannot be read.
-nap_phone_mismatch | low | seo_gbp | The phone number of the page is not the listing's: {}.
-listing_website_http | low | seo_gbp | The listing links to http where the site answers on https: {}.
-listing_website_host_mismatch | low | seo_gbp | The listing's link and the site differ in www: {}.
-no_online_booking | medium | booking_setup | The homepage offers no online booking.
-no_live_chat | medium | ai_chat_setup | The homepage has no live chat.
-no_contact_on_homepage | high | website_design | The homepage has neither a phone link nor a mail link nor a form.
-no_click_to_call | medium | website_design | The homepage has no phone link.
-placeholder_email | high | website_design | The homepage links to a template's mail address: {}.
-placeholder_text | medium | website_design | The homepage shows a template's text: {}.
-images_without_alt | low | website_design | Images without a text alternative: {}.
-unlabelled_form_fields | low | website_design | Form fields without a label: {}.
-thin_content | low | seo_gbp | The homepage has little text, in words: {}.
-no_section_headings | low | seo_gbp | The homepage has no headings below the main one.
-heading_level_skipped | low | website_design | Heading levels are skipped: {}.
-stale_copyright | low | website_design | The copyright notice is old: {}.
-future_copyright | medium | website_design | The copyright notice is of a year to come: {}.
-slow_mobile | medium | website_design | The page is slow on phones, with a score of {}.
-low_accessibility_score | low | website_design | The accessibility score is low: {}.
-low_best_practices_score | low | website_design | The score for good practice is low: {}.
-js_shell_suspected | info | - | The homepage seems to be built by scripts, so its text was not seen.
-few_reviews | low | seo_gbp | The listing has few reviews: {}.
-robots_blocked | info | - | The site asks not to be read: {}.
-domain_expired | high | website_design | The domain has expired.
-domain_no_a_record | high | website_design | The domain has no address record.
-domain_expiring_soon | medium | website_design | The domain expires soon.
-multiple_spf_records | medium | - | The domain has several SPF records.
-spf_allows_all | medium | - | The SPF record lets anyone send mail.
-no_spf | low | - | The domain has no SPF record.
-no_dmarc | low | - | The domain has no DMARC record.
-dmarc_policy_none | low | - | The DMARC policy asks for nothing.
-no_domain_mx | low | - | The domain has no mail server.
-""".strip().splitlines()
+# Finding code, severity, service (None: none is sold for it); then our wording, {} for what was found.
+CATALOGUE = (
+    ("no_website", "high", "website_design", "The listing gives no website."),
+    ("social_profile_only", "high", "website_design", "The listing gives a social profile where a website would be."),
+    ("unreachable", "high", "website_design", "The homepage did not load: {}."),
+    ("no_https", "high", "website_design", "The homepage is served without https."),
+    ("tls_invalid", "high", "website_design", "The certificate of the homepage could not be verified: {}."),
+    ("builder_subdomain", "medium", "website_design", "The homepage is on a subdomain of a website builder, {}."),
+    ("site_builder", "low", "website_design", "The homepage is made with a website builder: {}."),
+    ("no_mobile_viewport", "high", "website_design", "The homepage has no viewport tag for phones."),
+    ("viewport_blocks_zoom", "medium", "website_design", "The viewport tag keeps visitors on phones from zooming: {}."),
+    ("missing_title", "medium", "seo_gbp", "The homepage has no title."),
+    ("default_title", "medium", "seo_gbp", "The title is one that templates ship with: {}."),
+    ("short_title", "low", "seo_gbp", "The title is short: {}."),
+    ("long_title", "low", "seo_gbp", "The title is long: {}."),
+    ("missing_meta_description", "medium", "seo_gbp", "The homepage has no description for search engines."),
+    ("no_h1", "low", "seo_gbp", "The homepage has no main heading."),
+    ("multiple_h1", "low", "seo_gbp", "The homepage has several main headings: {}."),
+    ("no_structured_data", "low", "seo_gbp", "The homepage has no structured data."),
+    ("no_local_business_schema", "low", "seo_gbp", "The structured data names no local business: {}."),
+    ("invalid_structured_data", "medium", "seo_gbp", "A block of structured data cannot be read."),
+    ("nap_phone_mismatch", "low", "seo_gbp", "The phone number of the page is not the listing's: {}."),
+    ("listing_website_http", "low", "seo_gbp", "The listing links to http where the site answers on https: {}."),
+    ("listing_website_host_mismatch", "low", "seo_gbp", "The listing's link and the site differ in www: {}."),
+    ("no_online_booking", "medium", "booking_setup", "The homepage offers no online booking."),
+    ("no_live_chat", "medium", "ai_chat_setup", "The homepage has no live chat."),
+    ("no_contact_on_homepage", "high", "website_design", "The homepage has neither a phone link nor a mail link nor a form."),
+    ("no_click_to_call", "medium", "website_design", "The homepage has no phone link."),
+    ("placeholder_email", "high", "website_design", "The homepage links to a template's mail address: {}."),
+    ("placeholder_text", "medium", "website_design", "The homepage shows a template's text: {}."),
+    ("images_without_alt", "low", "website_design", "Images without a text alternative: {}."),
+    ("unlabelled_form_fields", "low", "website_design", "Form fields without a label: {}."),
+    ("thin_content", "low", "seo_gbp", "The homepage has little text, in words: {}."),
+    ("no_section_headings", "low", "seo_gbp", "The homepage has no headings below the main one."),
+    ("heading_level_skipped", "low", "website_design", "Heading levels are skipped: {}."),
+    ("stale_copyright", "low", "website_design", "The copyright notice is old: {}."),
+    ("future_copyright", "medium", "website_design", "The copyright notice is of a year to come: {}."),
+    ("slow_mobile", "medium", "website_design", "The page is slow on phones, with a score of {}."),
+    ("low_accessibility_score", "low", "website_design", "The accessibility score is low: {}."),
+    ("low_best_practices_score", "low", "website_design", "The score for good practice is low: {}."),
+    ("js_shell_suspected", "info", None, "The homepage seems to be built by scripts, so its text was not seen."),
+    ("few_reviews", "low", "seo_gbp", "The listing has few reviews: {}."),
+    ("robots_blocked", "info", None, "The site asks not to be read: {}."),
+    ("domain_expired", "high", "website_design", "The domain has expired."),
+    ("domain_no_a_record", "high", "website_design", "The domain has no address record."),
+    ("domain_expiring_soon", "medium", "website_design", "The domain expires soon."),
+    ("multiple_spf_records", "medium", None, "The domain has several SPF records."),
+    ("spf_allows_all", "medium", None, "The SPF record lets anyone send mail."),
+    ("no_spf", "low", None, "The domain has no SPF record."),
+    ("no_dmarc", "low", None, "The domain has no DMARC record."),
+    ("dmarc_policy_none", "low", None, "The DMARC policy asks for nothing."),
+    ("no_domain_mx", "low", None, "The domain has no mail server."),
 )
 # Findings that an audit of this status may contribute; other statuses keep all.
 DOMAIN_FINDINGS = ("domain_expired", "domain_no_a_record", "domain_expiring_soon")
@@ -91,20 +90,37 @@ ALLOWED = {
 }
 _SILENT = {"script", "style", "noscript", "template", "svg"}
 _MARK = r"(?:©|&copy;|\(c\)|copyright)"
-_NOTICE = re.compile(rf"{_MARK}[^0-9]{{0,40}}(\d{{4}})(?!\d)", re.I)
-_RANGE = re.compile(rf"{_MARK}[^0-9]{{0,40}}\d{{4}}\s*[-–—]\s*(\d{{4}})(?!\d)", re.I)
-_BESIDE = re.compile(rf"{_MARK}(?:\s*{_MARK})*\s*(\d{{4}})(?:\s*[-–—]\s*(\d{{4}}))?(?!\d)", re.I)
-_OPEN = re.compile(r"\s*[-–—](?!\s*\d)")
+_NOTICE = re.compile(rf"{_MARK}(?:\s*{_MARK})*(?P<gap>[^0-9]{{0,40}})(?P<year>\d{{4}})(?!\d)(?:\s*[-–—](?:\s*(?P<last>\d{{4}})(?!\d)|(?P<open>(?!\s*\d))))?", re.I)
+_BESIDE = re.compile(rf"{_MARK}\s*$", re.I)
+#: Characters of a copyright notice that are shown.
+NOTICE = 160
 
 CHECKS = (
     "title string, meta_description string, viewport_meta boolean, viewport_zoom_blocked string, canonical string, h1_count int, heading_skips int, section_headings int, "
     "word_count int, tel_link boolean, tel_numbers array<string>, mailto_address string, placeholder_email boolean, contact_form boolean, booking boolean, booking_label string, "
     "booking_method string, booking_evidence string, booking_target string, live_chat boolean, chat_evidence string, social_links array<string>, tech array<string>, "
     "builder string, builder_evidence string, structured_types array<string>, local_business boolean, broken_structured_data boolean, copyright_year int, copyright_open boolean, "
+    "business struct<syntax: string, type: string, name: string, phone: string, street: string, locality: string, region: string, postal_code: string, country: string, address_text: string, hours: array<string>, same_as: array<string>>, "
+    "businesses int, booking_flow string, booking_onward string, "
     "copyright_evidence string, placeholder_text string, images_without_alt int, unlabelled_inputs int, scripts int, links int, js_shell boolean, lang string, html_bytes int"
 )
 
 
+@dataclass
+class Click:
+    """What a visitor clicks: its start tag, where it leads, and what it says (its words, else its label)."""
+
+    tag: str
+    href: str | None
+    is_link: bool
+    label: str
+    words: list[str] = field(default_factory=list)
+
+    @property
+    def says(self) -> str:
+        return " ".join(" ".join(self.words).split()) or self.label
+
+
 class Page(HTMLParser):
     """Collects in one pass what the checks ask for."""
 
@@ -116,21 +132,32 @@ class Page(HTMLParser):
         self.meta: dict[str, str] = {}
         self.levels: list[int] = []
         self.hrefs: list[str] = []
-        #: What a visitor clicks: [href or None, its own words, its markup, whether it is a link].
-        self.clicks: list[list] = []
-        self.inside: list[list] = []
+        #: Start tags as written, and with the address that they embed or link to.
+        self.tags: list[str] = []
+        self.leads: list[tuple[str, str]] = []
+        self.clicks: list[Click] = []
+        self.inside: list[tuple[str, Click | None]] = []
         self.footer, self.footers = 0, []
         self.blocks: list[str] = []
+        self.scopes = structured.Scopes()
         self.labelled: set[str] = set()
         self.inputs: list[tuple[str, bool]] = []
+        #: Fields that ask for something: kind, words of its attributes, start tag; and choices, with their options.
+        self.fields: list[tuple[str, str, str]] = []
+        self.choices: list[list] = []
         self.form = self.canonical = self.lang = None
         self.images = self.scripts = 0
         self.block: list[str] | None = None
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         a = {k: v or "" for k, v in attrs}
+        written, kind = self.get_starttag_text() or "", a.get("type", "").lower()
+        self.tags.append(written)
+        self.scopes.start(tag, a)
         if tag in _SILENT or tag in ("title", "label"):
             self.open.append(tag)
+        if address := a.get("src" if tag in ("iframe", "script") else "href" if tag in ("a", "link") else ""):
+            self.leads.append((address.strip(), written))
         if tag == "html":
             self.lang = a.get("lang")
         elif tag == "meta" and (name := (a.get("name") or a.get("property", "")).lower()):
@@ -147,25 +174,34 @@ class Page(HTMLParser):
             self.form = True
         elif tag == "img" and "alt" not in a:
             self.images += 1
+        elif tag == "option" and self.choices:
+            self.choices[-1][2] += 1
         elif tag == "script":
             self.scripts += 1
-            if a.get("type", "").lower() == "application/ld+json":
+            if kind.split(";")[0].strip() == "application/ld+json":
                 self.block = []
         elif tag == "label" and "for" in a:
             self.labelled.add(a["for"])
         elif tag in ("input", "select", "textarea") and a.get("type", "text").lower() not in ("hidden", "submit", "button", "image", "reset"):
             self.inputs.append((a.get("id", ""), "label" in self.open or bool(a.get("aria-label") or a.get("aria-labelledby") or a.get("title"))))
-        if tag in ("a", "button") or tag == "input" and a.get("type", "").lower() in ("submit", "button"):
-            words = " ".join(x for x in (a.get("aria-label"), a.get("title"), a.get("value") if tag == "input" else None) if x)
-            self.clicks.append([a.get("href"), words, self.get_starttag_text() or "", tag == "a" and "href" in a])
-            if tag != "input":
-                self.inside.append([tag, self.clicks[-1]])
-        if "typeof" in a:
-            self.blocks.append(json.dumps({"@type": [t.rpartition("/")[2].rpartition(":")[2] for t in a["typeof"].split()]}))
-        if "itemtype" in a:
-            self.blocks.append(json.dumps({"@type": a["itemtype"].rstrip("/").rpartition("/")[2]}))
+        if tag in ("input", "select") and kind != "hidden":
+            self.fields.append((kind, " ".join(a.get(k, "") for k in ("name", "id", "placeholder", "aria-label", "class")).lower(), written))
+        if tag == "select":
+            self.choices.append([" ".join(a.get(k, "") for k in ("name", "id", "aria-label")), written, 0])
+        self._click(tag, a, written, kind)
+
+    def _click(self, tag: str, a: dict[str, str], written: str, kind: str) -> None:
+        click = None
+        if tag in ("a", "button") or tag == "input" and kind in ("submit", "button") or a.get("role", "").lower() == "button":
+            own = a.get("href") if tag == "a" else None
+            around = next((c.href for _, c in reversed(self.inside) if c and c.is_link), None)
+            click = Click(written, own or around, bool(own), next((v.strip() for k in ("aria-label", "title", "value") if (v := a.get(k))), ""))
+            self.clicks.append(click)
+        if tag not in structured.VOID and (click or self.inside):
+            self.inside.append((tag, click))
 
     def handle_endtag(self, tag: str) -> None:
+        self.scopes.end(tag)
         self.footer -= tag == "footer" and self.footer > 0
         if any(t == tag for t, _ in self.inside):
             while self.inside and self.inside.pop()[0] != tag:
@@ -184,35 +220,18 @@ class Page(HTMLParser):
             self.title = (self.title or "") + data
         elif not any(t in _SILENT for t in self.open):
             self.text.append(data)
+            self.scopes.data(data)
             for _, click in self.inside:
-                click[1] = f"{click[1]} {data}"
+                if click:
+                    click.words.append(data)
             if self.footer:
                 self.footers.append(" ".join(data.split()))
 
 
 def json_ld_types(text: str) -> tuple[list[str], bool]:
     """Types in a JSON-LD block, depth first through lists and @graph, and whether it is broken."""
-    text = re.sub(r"^﻿?\s*(?:<!--|<!\[CDATA\[|//\s*<!\[CDATA\[)?|(?:-->|\]\]>|//\s*\]\]>)\s*$", "", text.strip()).strip()
-    decoder, at, types, first = json.JSONDecoder(strict=False), 0, [], True
-    while at < len(text):
-        try:
-            value, at = decoder.raw_decode(text, at)
-        except ValueError:
-            return types, first
-        first = False
-        stack = [value]
-        while stack:
-            node = stack.pop(0)
-            if isinstance(node, list):
-                stack = node + stack
-            elif isinstance(node, dict):
-                kind = node.get("@type")
-                types += [k for k in (kind if isinstance(kind, list) else [kind]) if isinstance(k, str)]
-                if isinstance(node.get("@graph"), (list, dict)):
-                    stack.insert(0, node["@graph"])
-        while at < len(text) and text[at] in " \t\r\n,;":
-            at += 1
-    return types, False
+    nodes, broken = structured.json_ld_nodes(text)
+    return [t for node in nodes for t in structured.node_types(node)], broken
 
 
 def copyright_year(text: str, year: int = 2026) -> tuple[int | None, bool, str | None]:
@@ -220,19 +239,17 @@ def copyright_year(text: str, year: int = 2026) -> tuple[int | None, bool, str |
 
     A year is four digits. One to come counts only right after the mark, as others are house numbers and such.
     """
-    found = []
-    for m in _NOTICE.finditer(text):
-        line = signatures.whole_words(text, m.start(), m.start() + 160, fixed_start=True)
-        if _OPEN.match(text, m.end()):
+    best: tuple[int | None, bool, str | None] = (None, False, None)
+    for notice in _NOTICE.finditer(text):
+        line = textwrap.shorten(text[notice.start() : notice.start() + NOTICE + 1], NOTICE, placeholder="")
+        if notice["open"] is not None:
             return None, True, line
-        found.append((int(m[1]), line))
-    found += [(int(m[1]), signatures.whole_words(text, m.start(), m.start() + 160, fixed_start=True)) for m in _RANGE.finditer(text)]
-    found = [(y, line) for y, line in found if FIRST_YEAR <= y <= year]
-    for m in _BESIDE.finditer(text):
-        line = signatures.whole_words(text, m.start(), m.start() + 160, fixed_start=True)
-        found += [(int(y), line) for y in m.groups() if y and year < int(y) <= year + YEARS_AHEAD]
-    best = max(found, key=lambda x: x[0], default=(None, None))
-    return best[0], False, best[1]
+        beside = not notice["gap"].strip() or _BESIDE.search(notice["gap"])
+        latest = year + YEARS_AHEAD if beside else year
+        said = [int(y) for y in (notice["year"], notice["last"]) if y and FIRST_YEAR <= int(y) <= latest]
+        if said and max(said) > (best[0] or 0):
+            best = max(said), False, line
+    return best
 
 
 def booking(page: Page, markup: str, url: str) -> dict:
@@ -241,26 +258,54 @@ def booking(page: Page, markup: str, url: str) -> dict:
     The last two are only to be followed, so ``booking`` is null; links back to the page itself count for nothing.
     """
     out = dict.fromkeys(("booking", "booking_label", "booking_method", "booking_evidence", "booking_target"))
-    if widget := signatures.hits(markup, signatures.BOOKING):
+    if widget := signatures.hits(markup, page.tags, signatures.BOOKING):
         return out | {"booking": True, "booking_label": widget[0][1], "booking_method": "widget", "booking_evidence": widget[0][2]}
-    links = [(href.strip(), tag) for href, _, tag, is_link in page.clicks if is_link and href]
-    for href, tag in links:
-        where = signatures.target(url, href)
+    links = [c for c in page.clicks if c.is_link]
+    for link in links:
+        where = signatures.target(url, link.href)
         if where and (tool := signatures.booking_host(where)):
-            return out | {"booking": True, "booking_label": tool, "booking_method": "booking_host", "booking_evidence": tag[: signatures.QUOTE], "booking_target": where}
+            return out | {"booking": True, "booking_label": tool, "booking_method": "booking_host", "booking_evidence": link.tag[: signatures.QUOTE], "booking_target": where}
     back = None
-    said = [(href, " ".join(words.split()), tag) for href, words, tag, _ in page.clicks]
-    steps = [("cta", f"link text: {w}", h, t) for h, w, t in said if signatures.BOOKING_WORDS.search(w.lower())]
-    steps += [("path", f"link href: {h}", h, t) for h, t in links if signatures.is_booking_path(h)]
-    for method, label, href, tag in steps:
-        where = signatures.target(url, href) if href else None
+    steps = [("cta", f"link text: {c.says}", c) for c in page.clicks if any(p.search(c.says.lower()) for p in signatures.BOOKING_WORDS)]
+    steps += [("path", f"link href: {c.href.strip()}", c) for c in links if signatures.is_booking_path(c.href)]
+    for method, label, click in steps:
+        where = signatures.target(url, click.href) if click.href else None
         if where and signatures.same_page(where, url):
             back = back or f"{label} leads back to this page"
             continue
-        return out | {"booking_label": label, "booking_method": method, "booking_evidence": tag[: signatures.QUOTE], "booking_target": where}
+        return out | {"booking_label": label, "booking_method": method, "booking_evidence": click.tag[: signatures.QUOTE], "booking_target": where}
     return out | {"booking": False, "booking_evidence": back}
 
 
+def booking_flow(page: Page, markup: str, url: str) -> str | None:
+    """What shows that visitors can book on this page: a booking tool that serves it or stands in it, or a field for a day or an hour."""
+    if tool := signatures.booking_host(url):
+        return f"served by {tool}"
+    for address, tag in page.leads:
+        if (where := signatures.target(url, address)) and (tool := signatures.booking_host(where)):
+            return f"leads to {tool}: {tag[: signatures.QUOTE]}"
+    if widget := signatures.hits(markup, page.tags, signatures.BOOKING):
+        return f"widget of {widget[0][1]}"
+    return next((f"field for a day or an hour: {tag[: signatures.QUOTE]}" for kind, words, tag in page.fields if kind in signatures.DATE_TYPES or signatures.DATE_WORD.search(words)), None)
+
+
+def booking_onward(page: Page, url: str) -> str | None:
+    """Where a page without a booking flow leads on to one: a link that speaks of booking, or a choice of branches."""
+    said = lambda text, words: not set(re.findall("[a-z]+", text.lower())).isdisjoint(words)
+    branches = {}
+    for click in page.clicks:
+        where = signatures.target(url, click.href) if click.is_link else None
+        if not where or signatures.same_page(where, url) or signatures.never_booking(where) or signatures.social_platform(where):
+            continue
+        if said(f"{click.says} {where}", signatures.ONWARD_WORDS):
+            return f"leads on to {where}"
+        if said(f"{click.says} {where}", signatures.BRANCH_WORDS):
+            branches[where] = click
+    if len(branches) > 1:
+        return f"choice of branches: {next(iter(branches))}"
+    return next((f"choice of branches: {tag[: signatures.QUOTE]}" for words, tag, options in page.choices if options > 1 and said(words, signatures.BRANCH_WORDS)), None)
+
+
 def placeholder_text(page: Page, text: str) -> str | None:
     """A phrase that templates print: some anywhere, others in short pieces of the footer or after a copyright mark."""
     low = text.lower()
@@ -289,15 +334,11 @@ def checks_of(html: str, url: str = "", year: int = 2026) -> dict:
     text = " ".join(" ".join(page.text).split())
     markup = html.lower()
     viewport = page.meta.get("viewport")
-    types, broken = [], False
-    for block in page.blocks:
-        own, bad = json_ld_types(block)
-        types += own
-        broken = broken or bad
+    types, local, broken = structured.read(page.blocks, page.scopes.finish())
     mails = [m.strip() for h in page.hrefs if h.lower().startswith("mailto:") for m in h[7:].split("?")[0].split(",") if "@" in m]
     mail = next((m for m in mails if signatures.placeholder_email(m)), mails[0] if mails else None)
     numbers = dict.fromkeys(h[4:].split("?")[0].strip() for h in page.hrefs if h.lower().startswith("tel:"))
-    chat, builder = signatures.hits(markup, signatures.CHAT), signatures.hits(markup, signatures.BUILDERS)
+    chat, builder = (signatures.hits(markup, page.tags, marks) for marks in (signatures.CHAT, signatures.BUILDERS))
     noted, open_range, line = copyright_year(text, year)
     return booking(page, markup, url) | {
         "title": " ".join((page.title or "").split()) or None,
@@ -317,11 +358,15 @@ def checks_of(html: str, url: str = "", year: int = 2026) -> dict:
         "live_chat": bool(chat),
         "chat_evidence": chat[0][2] if chat else None,
         "social_links": list(dict.fromkeys(p for h in page.hrefs if (p := signatures.social_platform(signatures.target(url, h) or h)))),
-        "tech": [key for key, _, _ in signatures.hits(markup, signatures.TECH)],
+        "tech": [key for key, _, _ in signatures.hits(markup, page.tags, signatures.TECH)],
         "builder": builder[0][1] if builder else None,
         "builder_evidence": builder[0][2] if builder else None,
-        "structured_types": list(dict.fromkeys(types)),
-        "local_business": any(t.endswith("Business") or t in ("Plumber", "Electrician", "Dentist", "Restaurant", "Store") for t in types),
+        "structured_types": types,
+        "local_business": bool(local),
+        "business": local[0] if local else None,
+        "businesses": len(local),
+        "booking_flow": booking_flow(page, markup, url),
+        "booking_onward": booking_onward(page, url),
         "broken_structured_data": broken,
         "copyright_year": noted,
         "copyright_open": open_range,
@@ -343,10 +388,10 @@ def audit(pages: DataFrame, year: int = 2026) -> DataFrame:
     Pages are read where they lie. Only a table of fewer files than there are cores is dealt anew, as parsing
     a page costs far more than moving it.
     """
-    schema = f"page_id long, url string, checks struct<{CHECKS.replace(' ', ':').replace(',:', ',')}>"
     spark = pages.sparkSession
     ship(spark)
     kind = spark.createDataFrame([], CHECKS).schema
+    schema = StructType([StructField("page_id", LongType()), StructField("url", StringType()), StructField("checks", kind)])
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow = to_arrow_type(kind)
@@ -364,6 +409,29 @@ def audit(pages: DataFrame, year: int = 2026) -> DataFrame:
     return (rows.repartition(spread) if len(pages.inputFiles()) < spread else rows).mapInArrow(run, schema)
 
 
+def follow_bookings(audited: DataFrame) -> DataFrame:
+    """(page_id, url, checks) with ``booking`` judged where a link only says so, by the page that the link leads to.
+
+    The pages that such links lead to are looked up in ``audited`` by host and path; of several pages under one the
+    least page_id speaks. A flow on it makes ``booking`` true. One that only leads on, or is built by scripts, or is
+    not in the table, leaves it null (``multi_hop``, ``unverified``); any other makes it false. Links that
+    lead nowhere stay unverified. Pages without checks pass through.
+    """
+    c = F.col("checks")
+    to_follow = c["booking"].isNull() & c["booking_method"].isin("cta", "path")
+    asked = audited.withColumn("__target", F.when(to_follow, web.page_key(c["booking_target"])))
+    wanted = asked.select(F.col("__target").alias("__key")).where("__key is not null").distinct()
+    seen = F.struct(c["booking_flow"].alias("flow"), c["booking_onward"].alias("onward"), c["js_shell"].alias("shell"))
+    pages = audited.where(c.isNotNull()).select(web.page_key(F.col("url")).alias("__key"), "page_id", seen.alias("seen"))
+    reached = pages.join(wanted, "__key", "left_semi").groupBy("__key").agg(F.min_by("seen", F.struct(F.col("page_id").isNull(), "page_id")).alias("__seen"))
+    page = F.col("__seen")
+    verdict = F.when(page["flow"].isNotNull(), True).when(page.isNotNull() & page["onward"].isNull() & ~page["shell"], False)
+    method = F.when(verdict, "verified_target").when(~verdict, c["booking_method"]).when(page["onward"].isNotNull(), "multi_hop").otherwise("unverified")
+    proof = F.concat_ws("; ", c["booking_evidence"], F.coalesce(page["flow"], page["onward"], F.when(page["shell"], "built by scripts"), F.when(page.isNull(), "not read").otherwise("no booking flow")))
+    judged = F.when(to_follow, c.withField("booking", verdict).withField("booking_method", method).withField("booking_evidence", proof)).otherwise(c)
+    return asked.join(reached, asked["__target"] == reached["__key"], "left").withColumn("checks", judged).select(*audited.columns)
+
+
 def fetch_checks(outcome: DataFrame) -> DataFrame:
     """Adds ``fetch`` to (url, final_url, status_code, redirect_chain, content_type, tls_valid, error, error_kind): what is known without parsing.
 

@@ -624,6 +624,50 @@ def findings_by_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where(F.col("code").isin(*told)).groupBy("code", "severity", "service").agg(F.countDistinct("page_id").alias("n"))
 
 
+# Pages of the table as they would offer bookings: one in two links to the page after it, of which one in four has a field for a day and one in four leads on.
+_OFFERS = r"""
+WITH b AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^https?://(www\.)?([^?#]*)', 2)), '/+$', '') AS key, (page_id // 2) % 4 AS f FROM pages),
+p AS (SELECT b.page_id, b.key, b.f, CASE WHEN n.page_id IS NULL THEN NULL WHEN b.page_id % 8 = 3 THEN 'gone.example.com/x' ELSE n.key END AS target FROM b LEFT JOIN b n ON n.page_id = b.page_id + 1 AND b.page_id % 2 = 1),
+said AS (SELECT key, page_id, page_id % 2 = 0 AND f = 1 AS flow, CASE WHEN page_id % 2 = 1 THEN target IS NOT NULL AND target <> key ELSE f = 2 END AS onward FROM p),
+seen AS (SELECT key, min_by(flow, page_id) AS flow, min_by(onward, page_id) AS onward FROM said GROUP BY key)
+SELECT p.page_id, CASE WHEN p.target IS NULL OR p.target = p.key THEN false WHEN seen.flow THEN true WHEN seen.key IS NOT NULL AND NOT seen.onward THEN false END AS booking FROM p LEFT JOIN seen ON seen.key = p.target
+"""
+
+
+def _offering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "pages")
+    k, after = F.col("page_id"), rows.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("next"))
+    to = F.when(k % 8 == 3, "https://gone.example.com/x").otherwise(F.col("next"))
+    link = F.when((k % 2 == 1) & F.col("next").isNotNull(), F.concat(F.lit('<a href="'), to, F.lit('">Book now</a>')))
+    own = F.when((k % 2 == 0) & (F.floor(k / 2) % 4 == 1), '<form><input type="date"></form>').when((k % 2 == 0) & (F.floor(k / 2) % 4 == 2), '<a href="https://else.example.com/reserve">Reserve</a>')
+    return rows.join(after, "page_id", "left").select("page_id", "url", F.concat(F.coalesce(link, own, F.lit("")), F.col("html")).alias("html"))
+
+
+@query(_OFFERS)
+def booking_followed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H7: whether visitors can book, judged by the page that a link leads to."""
+    judged = pages.follow_bookings(pages.audit(_offering(spark, sf_dir)))
+    return judged.select("page_id", "checks.booking")
+
+
+@query(r"""
+WITH h AS (SELECT page_id, '<div itemscope itemtype="https://schema.org/' || CASE WHEN page_id % 3 = 0 THEN 'Organization' ELSE 'Plumber' END || '"><div itemprop="address" itemscope itemtype="https://schema.org/PostalAddress"><b itemprop="name">no</b><i itemprop="streetAddress">' || page_id % 90
+  || ' Main St</i></div><h2 itemprop="name">' || regexp_extract(url, '//([^/?#]*)', 1) || '</h2><a itemprop="telephone" href="tel:+1512555' || lpad((page_id % 10000)::VARCHAR, 4, '0') || '">call</a></div>' || html AS html FROM pages)
+SELECT page_id, CASE WHEN html LIKE '%schema.org/Plumber"%' THEN regexp_extract(html, '<h2 itemprop="name">([^<]*)<', 1) END AS name, CASE WHEN html LIKE '%schema.org/Plumber"%' THEN regexp_extract(html, 'itemprop="telephone" href="([^"]*)"', 1) END AS phone,
+  CASE WHEN html LIKE '%schema.org/Plumber"%' THEN regexp_extract(html, 'itemprop="streetAddress">([^<]*)<', 1) END AS street FROM h
+""")
+def page_businesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Name, phone and street of the local business that nested items on a page describe."""
+    k = F.col("page_id")
+    item = F.concat(
+        F.lit('<div itemscope itemtype="https://schema.org/'), F.when(k % 3 == 0, "Organization").otherwise("Plumber"),
+        F.lit('"><div itemprop="address" itemscope itemtype="https://schema.org/PostalAddress"><b itemprop="name">no</b><i itemprop="streetAddress">'), (k % 90).cast("string"), F.lit(' Main St</i></div><h2 itemprop="name">'),
+        F.regexp_extract("url", "//([^/?#]*)", 1), F.lit('</h2><a itemprop="telephone" href="tel:+1512555'), F.lpad((k % 10000).cast("string"), 4, "0"), F.lit('">call</a></div>'), F.col("html"),
+    )
+    audited = pages.audit(table(spark, sf_dir, "pages").withColumn("html", item))
+    return audited.select("page_id", *[f"checks.business.{c}" for c in ("name", "phone", "street")])
+
+
 @query("""
 WITH b AS (SELECT c_custkey, c_custkey % 3 AS k, c_custkey % 5 AS st, c_custkey % 97 AS reviews, c_custkey % 13 AS r FROM customer),
 f AS (SELECT c_custkey, 'no_website' AS code, 'high' AS severity FROM b WHERE k = 0 UNION ALL SELECT c_custkey, 'social_profile_only', 'high' FROM b WHERE k = 2 UNION ALL SELECT c_custkey, 'robots_blocked', 'info' FROM b WHERE st = 1
@@ -657,12 +701,12 @@ def rule_opportunities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT page_id AS business_id, 'ads_social' AS service, 0.3::DOUBLE AS confidence FROM pages WHERE page_id % 4 = 0 AND NOT regexp_matches(html, 'href="https?://(www\\.|m\\.)?(facebook|instagram|twitter|x|linkedin|youtube|tiktok|yelp|nextdoor)\\.com')
+SELECT page_id AS business_id, 'ads_social' AS service, 0.3::DOUBLE AS confidence FROM pages WHERE html IS NOT NULL AND NOT regexp_matches(html, 'href="https?://(www\\.|m\\.)?(facebook|instagram|twitter|x|linkedin|youtube|tiktok|yelp|nextdoor)\\.com')
 """.replace("\\\\", "\\"))
 def social_opportunities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages that were read and link to no social profile."""
     checked = pages.audit(table(spark, sf_dir, "pages"))
-    rows = checked.select(F.col("page_id").alias("business_id"), F.when(F.col("page_id") % 4 == 0, "done").otherwise("failed").alias("status"), F.lit(True).alias("parsed"), "checks.social_links", "url")
+    rows = checked.select(F.col("page_id").alias("business_id"), F.when(F.col("checks").isNotNull(), "done").otherwise("failed").alias("status"), F.lit(True).alias("parsed"), "checks.social_links", "url")
     return leads.ads_social(rows).select("business_id", "service", "confidence")
 
 

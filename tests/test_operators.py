@@ -104,7 +104,7 @@ def test_page_checks():
     ("text", "year", "open_range"),
     [
         ("© 20015 Us", None, False), ("© 2006 - | all rights", None, True), ("Copyright notice text here and 2035 goals", None, False), ("© 2035 Us", 2035, False), ("Copyright © 2018-2035", 2035, False),
-        ("© 2018–2024 Us", 2024, False), ("© Us, 2100 Lamar Blvd", None, False), ("(c) 1980", None, False), ("no notice 2020", None, False), ("© 2016 Us © 2019 Them", 2019, False), ("© 2099", None, False),
+        ("© 2018–2024 Us", 2024, False), ("© Us, 2100 Lamar Blvd", None, False), ("(c) 1980", None, False), ("no notice 2020", None, False), ("© 2016 Us © 2019 Them", 2019, False), ("© 2099", None, False), ("Copyright notices © 2030 Us", 2030, False), ("© 2018-20351", 2018, False),
     ],
 )
 def test_copyright_year(text, year, open_range):
@@ -127,12 +127,67 @@ def test_booking(html, value, method, label):
     assert (got["booking"], got["booking_method"], got["booking_label"]) == (value, method, label)
 
 
+def test_nested_items_own_their_properties():
+    html = """<div itemscope itemtype="https://schema.org/Plumber"><h1 itemprop="name">Joe &amp; Son</h1>
+    <div itemprop="address" itemscope itemtype="https://schema.org/PostalAddress"><span itemprop="streetAddress">12 Main <b>St</b></span><meta itemprop="postalCode" content="78701"><span itemprop="name">not the name</span></div>
+    <a itemprop="telephone" href="tel:+15125550100">call</a><time itemprop="openingHours" datetime="Mo-Fr 08:00-17:00">weekdays</time><img itemprop="image" src="x.png"><p itemprop="telephone">second</p></div>
+    <div vocab="https://schema.org/" typeof="schema:Organization"><span property="name">Other</span><div property="location" typeof="Restaurant"><span property="name">Inner</span></div></div>"""
+    got = pages.checks_of(html)
+    assert got["structured_types"] == ["Plumber", "PostalAddress", "Organization", "Restaurant"] and got["businesses"] == 2
+    assert {k: got["business"][k] for k in ("syntax", "type", "name", "phone", "street", "postal_code", "hours")} == {"syntax": "microdata", "type": "Plumber", "name": "Joe & Son", "phone": "tel:+15125550100", "street": "12 Main St", "postal_code": "78701", "hours": ["Mo-Fr 08:00-17:00"]}
+    rdfa = pages.checks_of("<div typeof='Restaurant'><p property='name'>A<p property='description'>B</div><p property='name'>outside</p>")["business"]
+    assert rdfa["name"] == "A B" and rdfa["syntax"] == "rdfa"
+
+
+def test_json_ld_business():
+    html = """<script type="application/ld+json; charset=utf-8"><!-- {"@graph": [{"@type": ["Thing", "https://schema.org/Dentist"], "name": {"@value": " Dr  A "}, "telephone": ["", "+1"], "address": [{"streetAddress": "1 A St", "addressCountry": {"name": "US"}}],
+    "openingHoursSpecification": [{"dayOfWeek": ["https://schema.org/Monday", "Tuesday"], "opens": "08:00", "closes": "17:00"}, {"opens": "10:00"}], "sameAs": "https://x.com/a"}]} --></script><script type="application/ld+json">{"@type": "Store", "address": "9 B Rd, 78702"}</script>"""
+    got = pages.checks_of(html)
+    own = got["business"]
+    assert got["businesses"] == 2 and not got["broken_structured_data"] and (own["type"], own["name"], own["phone"], own["street"], own["country"]) == ("Dentist", "Dr A", "+1", "1 A St", "US")
+    assert own["hours"] == ["Monday, Tuesday 08:00-17:00", "10:00-?"] and own["same_as"] == ["https://x.com/a"]
+    assert pages.checks_of(html.split("</script>")[1] + "</script>")["business"]["address_text"] == "9 B Rd, 78702" and pages.checks_of("<p>x")["business"] is None
+
+
+@pytest.mark.parametrize(
+    ("html", "flow", "onward"),
+    [
+        ('<iframe src="https://a.phorest.com/x"></iframe>', True, False), ('<input type="date">', True, False), ('<select id="visit-time"></select>', True, False), ('<input type="hidden" name="date">', False, False), ('<input name="update">', False, False),
+        ('<a href="/reserve-now">x</a>', False, True), ('<a href="/s/1">Our salons</a>', False, False), ('<a href="/s/1">Salon A</a><a href="/s/2">Salon B</a>', False, True), ('<select name="city"><option>a<option>b</select>', False, True),
+        ('<a href="https://www.facebook.com/book">x</a>', False, False), ('<a href="/contact">Book now</a>', False, False), ('<a href="https://studio.example">Website crafted</a>', False, False),
+    ],
+)
+def test_what_a_target_shows(html, flow, onward):
+    got = pages.checks_of(html, "https://www.a.com/contact/")
+    assert (got["booking_flow"] is not None, got["booking_onward"] is not None) == (flow, onward)
+
+
+def test_second_hop(spark):
+    link = lambda to: f'<a href="{to}">Book now</a>'
+    rows = [
+        (1, "https://a.com/", link("/visit?x=1")), (2, "http://www.a.com/visit/", '<input type="time">'), (3, "https://a.com/visit", "<p>later copy"), (4, "https://b.com/", link("/plain")), (5, "https://b.com/plain", "<p>call us"), (6, "https://c.com/", link("/on")),
+        (7, "https://c.com/on", '<a href="https://d.com/booking">x</a>'), (8, "https://e.com/", link("https://gone.com/x")), (9, "https://f.com/", "<button>Book now</button>"), (10, "https://g.com/", "<p>none"), (11, "https://h.com", None), (12, "https://i.com", link("/shell")), (13, "https://i.com/shell", "<script></script>" * 6),
+    ]
+    got = {r.page_id: r.checks and (r.checks.booking, r.checks.booking_method) for r in pages.follow_bookings(pages.audit(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()}
+    assert {k: got[k] for k in (1, 4, 6, 8, 9, 10, 11, 12)} == {1: (True, "verified_target"), 4: (False, "cta"), 6: (None, "multi_hop"), 8: (None, "unverified"), 9: (None, "unverified"), 10: (False, None), 11: None, 12: (None, "unverified")} and len(got) == 13
+
+
+def test_listing_against_page(spark):
+    item = '<div itemscope itemtype="Plumber"><p itemprop="address">{}</p></div><a href="tel:512-555-2368">c</a>'
+    rows = [(1, "https://a.com/", item.format("12 Main St #4, Austin 78701")), (2, "https://www.b.com/", item.format("14 Main St")), (3, "https://c.com/", item.format("1 A St") * 2)]
+    listings = spark.createDataFrame([(1, "+15125552368", "12 Main St Suite 4", "78701", "http://a.com"), (2, "+15125552369", "12 Main St", None, "https://b.com"), (3, None, "1 A St", None, None)], "page_id long, phone_e164 string, street string, postal_code string, website string")
+    got = {r.page_id: (r.phone, r.address.status, r.website.differs_in) for r in lifecycle.against_listing(pages.audit(spark.createDataFrame(rows, "page_id long, url string, html string")), listings).collect()}
+    assert got == {1: ("match", "match", ["http"]), 2: ("mismatch", "mismatch", ["www"]), 3: ("not_compared", "not_compared", None)}
+
+
 def test_signatures_and_quotes():
     markup = 'some words before <script src="https://embed.tawk.to/x" async></script> and data-reactroot here after that'
-    assert signatures.hits(markup, signatures.CHAT) == [("tawk", "Tawk.to", '<script src="https://embed.tawk.to/x" async>')]
-    (key, label, words), = signatures.hits(markup, signatures.TECH)
-    assert (key, label) == ("react", "React") and "data-reactroot" in words and not words.startswith("cript")
-    assert signatures.whole_words("one two three", 2, 9) == "two" and signatures.whole_words("one two three", 4, 9, fixed_start=True) == "two"
+    tags = ['<script src="https://embed.tawk.to/x" async>']
+    assert signatures.hits(markup, tags, signatures.CHAT) == [("tawk", "Tawk.to", tags[0])]
+    (key, label, words), = signatures.hits(markup, tags, signatures.TECH)
+    assert (key, label) == ("react", "React") and "data-reactroot here after" in words
+    assert signatures.around("a mark", "mark") == "a mark" and signatures.around("w " * 500 + "premark! " + "v " * 500, "mark") == "w w w w w premark! v v v v v"
+    assert signatures.booking_host("https://squareup.com/appointments/x") and not signatures.booking_host("https://squareup.com/shop") and not signatures.booking_host("https://notcalendly.com")
     assert [signatures.placeholder_email(m) for m in ("a@mysite.net", "info@email.com", "jane.doe@email.com", "x@real.com", "no")] == [True, True, False, False, False]
     assert signatures.social_platform("https://m.facebook.com/a") == "facebook" and signatures.social_platform("https://google.com/search") is None
     page = pages.checks_of("<footer><p>© 2020 Your Company Name</p></footer>")
