@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tamarack.llm import bpe, chat, cotrain, decontaminate, jaccard, language, mixing, quality_rules, secrets, sharding, substring, whitening
+from tamarack.llm import bpe, chat, cotrain, decontaminate, jaccard, language, mixing, periods, quality_rules, secrets, sharding, substring, whitening
 
 QUERIES = {
     "op1_language_id": language.op1_language_id,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_secret_scan": secrets.op10_secret_scan,
     "op11_byte_bpe": bpe.op11_byte_bpe,
     "op12_embedding_whitening": whitening.op12_embedding_whitening,
+    "op13_periodic_runs": periods.op13_periodic_runs,
 }
 SQL = {
     "op2_chat_format": chat.OP2_SQL,
