@@ -31,7 +31,7 @@ MOST_BYTES = 64 << 20
 #: Characters of a text that are split at once, and the pre-tokens remembered in a task.
 STRETCH = 1 << 20
 SHORT = 64
-REMEMBERED = 1 << 17
+REMEMBERED = 1 << 20
 
 _CUT = regex.compile(r"(?<=\S)\s")
 
@@ -50,6 +50,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class RankQueue:
     """Places by rank: a bucket for each rank, and a bitmap of three levels over the buckets that are not empty."""
 
+    __slots__ = ("low", "middle", "top", "buckets")
+
     def __init__(self, ranks: int):
         self.low = [0] * ((ranks >> 6) + 1)
         self.middle = [0] * ((ranks >> 12) + 1)
@@ -58,7 +60,7 @@ class RankQueue:
 
     def push(self, rank: int, place: int) -> None:
         bucket = self.buckets.get(rank)
-        if bucket:
+        if bucket is not None:
             heappush(bucket, place)
             return
         self.buckets[rank] = [place]
@@ -66,6 +68,24 @@ class RankQueue:
         self.middle[rank >> 12] |= 1 << (rank >> 6 & 63)
         self.top |= 1 << (rank >> 12)
 
+    def fill(self, ranks: list[int | None]) -> int:
+        """Push each place with its rank, where it has one, in order; returns how many have one."""
+        buckets, low, middle, top, n = self.buckets, self.low, self.middle, self.top, 0
+        for place, rank in enumerate(ranks):
+            if rank is None:
+                continue
+            n += 1
+            if rank in buckets:
+                heappush(buckets[rank], place)
+            else:
+                buckets[rank] = [place]
+                word = rank >> 6
+                low[word] |= 1 << (rank & 63)
+                middle[word >> 6] |= 1 << (word & 63)
+                top |= 1 << (word >> 6)
+        self.top = top
+        return n
+
     def pop(self) -> tuple[int, int]:
         """The least rank and its leftmost place; only while ``top`` is not 0."""
         a = (self.top & -self.top).bit_length() - 1
@@ -74,57 +94,80 @@ class RankQueue:
         bits = self.low[b]
         rank = b << 6 | (bits & -bits).bit_length() - 1
         bucket = self.buckets[rank]
-        place = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[b] = bits & (bits - 1)
-            if not self.low[b]:
-                self.middle[a] &= self.middle[a] - 1
-                if not self.middle[a]:
-                    self.top &= self.top - 1
-        return rank, place
+        if len(bucket) > 1:
+            return rank, heappop(bucket)
+        del self.buckets[rank]
+        bits &= bits - 1
+        self.low[b] = bits
+        if not bits:
+            bits = self.middle[a]
+            bits &= bits - 1
+            self.middle[a] = bits
+            if not bits:
+                self.top &= self.top - 1
+        return rank, bucket[0]
+
+    def clear(self) -> None:
+        for rank in self.buckets:
+            self.low[rank >> 6] = self.middle[rank >> 12] = 0
+        self.buckets.clear()
+        self.top = 0
 
 
 class Encoder:
     """Ids of pre-tokens and of texts under one set of ranks."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks = ranks
+        self.ranks, self.pattern = ranks, pattern
         self.split = regex.compile(pattern).findall
         self.queue = RankQueue(max(ranks.values()) + 1)
         self.packed = _Packed(self)
+        #: symbol of each byte, and of each pair of bytes that is one
+        self.single = [ranks[bytes([b])] for b in range(256)]
+        self.double = [[ranks.get(bytes([a, b])) for b in range(256)] for a in range(256)]
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token; a pre-token that is a symbol is that symbol."""
-        rank_of, queue, n = self.ranks.get, self.queue, len(piece)
+        rank_of = self.ranks.get
         if (whole := rank_of(piece)) is not None:
             return [whole]
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pair: list[int | None] = [None] * n
-        for i in range(n - 1):
-            if (rank := rank_of(piece[i : i + 2])) is not None:
-                pair[i] = rank
-                queue.push(rank, i)
-        while queue.top:
-            rank, i = queue.pop()
+        n, push, pop = len(piece), self.queue.push, self.queue.pop
+        after, before = list(range(1, n + 1)), list(range(-1, n))
+        #: the symbol at each place, and the one that it makes with the next, of which ``live`` are left
+        symbol, double = [self.single[b] for b in piece], self.double
+        pair = [double[a][b] for a, b in zip(piece, piece[1:])]
+        pair.append(None)
+        live = self.queue.fill(pair)
+        while live:
+            rank, i = pop()
             if pair[i] != rank:
                 continue
             j = after[i]
             end = after[j]
-            after[i], pair[i], pair[j] = end, None, None
-            if end < n:
-                before[end] = i
-                if (rank := rank_of(piece[i : after[end]])) is not None:
-                    pair[i] = rank
-                    queue.push(rank, i)
-            h = before[i]
-            if h >= 0:
-                pair[h] = rank_of(piece[h:end])
+            after[i] = end
+            before[end] = i
+            symbol[i] = rank
+            live -= 1
+            if pair[j] is not None:
+                pair[j] = None
+                live -= 1
+            if end < n and (rank := rank_of(piece[i : after[end]])) is not None:
+                pair[i] = rank
+                live += 1
+                push(rank, i)
+            else:
+                pair[i] = None
+            if (h := before[i]) >= 0:
                 if pair[h] is not None:
-                    queue.push(pair[h], h)
+                    live -= 1
+                if (rank := rank_of(piece[h:end])) is not None:
+                    live += 1
+                    push(rank, h)
+                pair[h] = rank
+        self.queue.clear()
         out, i = [], 0
         while i < n:
-            out.append(self.ranks[piece[i : after[i]]])
+            out.append(symbol[i])
             i = after[i]
         return out
 
@@ -135,7 +178,7 @@ class Encoder:
 
 
 class _Packed(dict):
-    """Packed ids of the short pre-tokens met so far, of a bounded number of them."""
+    """Packed ids of the short pre-tokens met since it was last full, of a bounded number of them."""
 
     def __init__(self, encoder: Encoder):
         super().__init__()
@@ -151,6 +194,16 @@ class _Packed(dict):
         return packed
 
 
+#: The encoder that a Python worker used last, so that its next task finds the pre-tokens it knows.
+_LAST: list[Encoder] = []
+
+
+def _encoder(ranks: dict[bytes, int], pattern: str) -> Encoder:
+    if not (_LAST and _LAST[0].ranks is ranks and _LAST[0].pattern == pattern):
+        _LAST[:] = [Encoder(ranks, pattern)]
+    return _LAST[0]
+
+
 def _stretches(text: str) -> Iterator[str]:
     """Parts of a long text, cut only before white space that follows something else, where a pre-token begins in any case."""
     at = 0
@@ -162,7 +215,7 @@ def _stretches(text: str) -> Iterator[str]:
 
 def _encode(ranks, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(ranks.value, pattern)
+        encoder = _encoder(ranks.value, pattern)
         for batch, texts in common.sliced(batches, "text", STRETCH):
             ids = [encoder.encode(t.decode("utf-8", "replace")) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
