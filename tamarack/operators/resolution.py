@@ -1,12 +1,14 @@
 """Entity resolution: blocking, pair scores, decisions, ordered replay, survivorship.
 
-A record's outcome depends on the businesses that records before it made. Records without a common block
-key, directly or through others, cannot meet, so components of the blocking graph are replayed in order,
-each in one group, and all others run beside them.
+A record's outcome depends on the businesses that records before it made and on what these show by then. Records
+without a common block key, directly or through others, cannot meet, so components of the blocking graph are
+replayed in order, all of them beside each other: small ones each in a group, large ones window by window of their
+records, each window in groups of what can meet within it.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from decimal import ROUND_HALF_UP, Decimal
 
@@ -19,6 +21,10 @@ from tamarack.scratch import Scratch
 
 CANDIDATES, BLOCK_NAME = 25, 80.0
 RECORD = "record_id long, seq long, domain string, phone string, name string, name_key string, postal string, street string, lat double, lng double"
+#: Columns a record may have besides: the place of its source among the sources (0 without), and seconds of its observation.
+BESIDES = {"source_rank": "int", "observed_at": "double"}
+#: Most records of a component that is replayed in one group, and records of a window of larger ones.
+WHOLE, WINDOW = 20_000, 200_000
 
 
 def block_keys() -> Column:
@@ -101,38 +107,96 @@ def _near(r: dict, b: dict) -> float:
 
 
 _FIELDS = ("domain", "phone", "name", "name_key", "postal", "street", "lat", "lng")
+#: What is shown together comes from one record.
+_UNITS = {"domain": ("domain",), "phone": ("phone",), "name": ("name",), "name_key": ("name_key",), "address": ("postal", "street", "lat", "lng")}
+_STATE = ", ".join(f"{c} {'double' if c in ('lat', 'lng') else 'string'}" for c in _FIELDS)
+_REPLAYED = f"kind string, record_id long, business_id long, decision string, created string, orders string, value string, seq long, {_STATE}"
+
+
+def _plain(row: dict) -> dict:
+    return {k: None if isinstance(v, float) and pd.isna(v) else v for k, v in row.items()}
+
+
+class _Businesses:
+    """Businesses in the order of their creation, found by the keys that they show."""
+
+    def __init__(self, states: pd.DataFrame):
+        self.made: list[dict] = []
+        self.index: dict[tuple, dict[int, None]] = {}
+        self.changed: set[int] = set()
+        self.mixed: list[tuple[str, int, int]] = []
+        rows = [_plain(r) for r in states.to_dict("records")]
+        for b in sorted(rows, key=lambda b: json.loads(b["created"])):
+            orders = {u: tuple(o) for u, o in json.loads(b["orders"]).items()}
+            self._add({c: b[c] for c in _FIELDS} | {"business_id": b["business_id"], "created": json.loads(b["created"]), "orders": orders})
+
+    def _add(self, business: dict) -> int:
+        self.made.append(business)
+        self._show(len(self.made) - 1)
+        return len(self.made) - 1
+
+    def _show(self, at: int) -> None:
+        for _, key in _keys(self.made[at], own=True):
+            self.index.setdefault(key, {})[at] = None
+
+    def create(self, r: dict) -> int:
+        at = self._add(dict.fromkeys(_FIELDS) | {"business_id": r["record_id"], "created": [r["seq"], r["record_id"]], "orders": {}})
+        self.attach(at, r)
+        return at
+
+    def attach(self, at: int, r: dict) -> None:
+        """Show of each unit what the record says, if it is the best by source, then the newest, then the last one attached."""
+        b = self.made[at]
+        for _, key in _keys(b, own=True):
+            self.index[key].pop(at, None)
+        for unit, fields in _UNITS.items():
+            if all(r[c] is None for c in fields):
+                continue
+            order = (int(unit == "address" and not r["street"]), r["source_rank"], -r["observed_at"], -r["seq"], -r["record_id"])
+            if unit not in b["orders"] or order < b["orders"][unit]:
+                b["orders"][unit] = order
+                b.update({c: r[c] for c in fields})
+        self._show(at)
+        self.changed.add(at)
+        if b["postal"] and b["name_key"] and b["orders"]["address"][3:] != b["orders"]["name_key"][3:]:
+            self.mixed.append((f"{b['postal']}|{b['name_key']}", r["seq"], r["record_id"]))
+
+    def near(self, r: dict) -> list[int]:
+        """Those that share a key with a record, by strength of the key and creation, at most ``CANDIDATES``."""
+        seen: dict[int, int] = {}
+        for rank, key in _keys(r):
+            for at in self.index.get(key, ()):
+                if at not in seen and (rank < 3 or text.token_set(r["name"], self.made[at]["name"]) >= BLOCK_NAME):
+                    seen[at] = rank
+        return sorted(seen, key=lambda at: (seen[at], self.made[at]["created"]))[:CANDIDATES]
+
+    def states(self) -> list[dict]:
+        return [{c: b[c] for c in _FIELDS} | {"kind": "state", "business_id": b["business_id"], "created": json.dumps(b["created"]), "orders": json.dumps(b["orders"])} for b in (self.made[at] for at in sorted(self.changed))]
 
 
-def _replay(group: pd.DataFrame) -> pd.DataFrame:
-    """Records of one component in order: each joins a business, waits for review, or makes a business."""
-    index: dict[tuple, list[int]] = {}
-    made: list[dict] = []
+def _replay(group: pd.DataFrame, states: pd.DataFrame | None = None) -> pd.DataFrame:
+    """Records in order, among businesses made before: each joins a business, waits for review, or makes a business.
+
+    Rows of three kinds: what was decided of each record; the state of each business that was made or changed; and
+    the pairs of postal code and phonetic name that a business showed of two records (``mixed``).
+    """
+    known = _Businesses(pd.DataFrame() if states is None else states)
     out = []
     for r in group.sort_values(["seq", "record_id"]).to_dict("records"):
-        r = {k: None if isinstance(v, float) and pd.isna(v) else v for k, v in r.items()}
-        seen: dict[int, int] = {}
-        for rank, key in _keys(r):
-            for at in index.get(key, ()):
-                if at not in seen and (rank < 3 or text.token_set(r["name"], made[at]["name"]) >= BLOCK_NAME):
-                    seen[at] = rank
-        near = sorted(seen, key=lambda at: (seen[at], at))[:CANDIDATES]
-        ranked = sorted(((p, at) for at in near if (p := _pair(r, made[at]))), key=lambda x: -x[0][0])
+        r = _plain(r)
+        ranked = sorted(((p, at) for at in known.near(r) if (p := _pair(r, known.made[at]))), key=lambda x: -x[0][0])
         if ranked and ranked[0][0][0] >= scores.AUTO_MERGE and ranked[0][0][1]:
             at, decision = ranked[0][1], "auto_merge"
-            for c in _FIELDS:
-                if made[at][c] is None:
-                    made[at][c] = r[c]
+            known.attach(at, r)
         elif any(p[2] for p, _ in ranked):
-            out.append((r["record_id"], None, "review"))
+            out.append({"kind": "decision", "record_id": r["record_id"], "decision": "review"})
             continue
         else:
-            at, decision = len(made), "new"
-            made.append({c: r[c] for c in _FIELDS} | {"business_id": r["record_id"]})
-        for _, key in _keys(made[at], own=True):
-            if at not in index.setdefault(key, []):
-                index[key].append(at)
-        out.append((r["record_id"], made[at]["business_id"], decision))
-    return pd.DataFrame(out, columns=["record_id", "business_id", "decision"])
+            at, decision = known.create(r), "new"
+        out.append({"kind": "decision", "record_id": r["record_id"], "business_id": known.made[at]["business_id"], "decision": decision})
+    out += known.states() + [{"kind": "mixed", "value": value, "seq": seq, "record_id": at} for value, seq, at in known.mixed]
+    names = [c.split(" ")[0] for c in _REPLAYED.split(", ")]
+    return pd.DataFrame([[row.get(c) for c in names] for row in out], columns=names, dtype=object)
 
 
 def _keys(r: dict, own: bool = False) -> Iterator[tuple[int, tuple]]:
@@ -150,33 +214,121 @@ def _keys(r: dict, own: bool = False) -> Iterator[tuple[int, tuple]]:
         yield from dict.fromkeys((3, ("cell", min(max(y + dy, 0), rows - 1), (x + dx) % columns)) for dy in around for dx in around)
 
 
-def resolve(spark: SparkSession, records: DataFrame) -> DataFrame:
-    """(record_id, business_id, decision) for records as in ``RECORD``; a business takes its first record's id.
+def _components(tables: Scratch, nodes: DataFrame, keyed: DataFrame, extra: DataFrame | None, name: str) -> DataFrame:
+    """(node, label): the least node of each component of ``keyed`` (node, kind, value), whose nodes meet in equal keys.
 
-    Components come from stars around the least record of each key, by least labels on written tables: in a
-    round a record takes its neighbours' least label, its former label takes that too, and both jump to the
+    Components come from stars around the least node of each key, by least labels on written tables: in a
+    round a node takes its neighbours' least label, its former label takes that too, and both jump to the
     label of their label, until nothing changes.
     """
-    tables = Scratch(spark, "resolve")
-    keyed = tables.keep(records.select("record_id", F.inline(block_keys())).select("record_id", "kind", "value"), "keys")
-    heads = keyed.groupBy("kind", "value").agg(F.min("record_id").alias("head"))
-    stars = tables.keep(keyed.join(heads, ["kind", "value"]).select(F.col("record_id").alias("a"), F.col("head").alias("b")).where("a <> b").distinct(), "edges")
+    heads = keyed.groupBy("kind", "value").agg(F.min("node").alias("head"))
+    stars = keyed.join(heads, ["kind", "value"]).select(F.col("node").alias("a"), F.col("head").alias("b")).where("a <> b")
+    stars = tables.keep((stars if extra is None else stars.union(extra.select("a", "b"))).distinct(), f"{name}-edges")
     edges = stars.union(stars.select("b", "a"))
-    labels = records.select(F.col("record_id").alias("node"), F.col("record_id").alias("label")).distinct()
+    labels = nodes.select("node", F.col("node").alias("label")).distinct()
     i = 0
     while True:  # labels only fall, so they settle
         near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        low = tables.keep(labels.join(near, "node", "left").select("node", F.col("label").alias("was"), F.least("label", F.coalesce("near", "label")).alias("label")), f"low-{i}")
+        low = tables.keep(labels.join(near, "node", "left").select("node", F.col("label").alias("was"), F.least("label", F.coalesce("near", "label")).alias("label")), f"{name}-low-{i}")
         hooks = low.groupBy(F.col("was").alias("node")).agg(F.min("label").alias("hook"))
         hooked = low.join(hooks, "node", "left").select("node", "was", F.least("label", F.coalesce("hook", "label")).alias("label"))
-        now = tables.keep(hooked.join(hooked.select(F.col("node").alias("label"), F.col("label").alias("further")), "label").select("node", "was", F.least("label", "further").alias("label")), f"labels-{i}")
+        now = tables.keep(hooked.join(hooked.select(F.col("node").alias("label"), F.col("label").alias("further")), "label").select("node", "was", F.least("label", "further").alias("label")), f"{name}-labels-{i}")
         labels = now.select("node", "label")
-        tables.drop(f"low-{i}", *([f"labels-{i - 1}"] if i else []))
+        tables.drop(f"{name}-low-{i}", *([f"{name}-labels-{i - 1}"] if i else []))
         if now.where("label <> was").isEmpty():
-            break
+            tables.drop(f"{name}-edges")
+            return labels
         i += 1
-    grouped = records.join(labels.withColumnRenamed("node", "record_id"), "record_id")
-    return grouped.groupBy("label").applyInPandas(lambda g: _replay(g.drop(columns="label")), "record_id long, business_id long, decision string")
+
+
+def _meeting_keys(own: bool) -> Column:
+    """Keys in which a record and a business may meet, however the business's shown values change within a window.
+
+    Postal code and phonetic name may come from two records, so the name alone counts.
+    """
+    if own:
+        cells = F.filter(F.array(F.struct(F.lit("cell").alias("kind"), F.lit(3).alias("rank"), geo.geohash(F.col("lat"), F.col("lng")).alias("value"))), lambda k: k["value"].isNotNull())
+    else:
+        cells = F.filter(block_keys(), lambda k: k["kind"] == "cell")
+    named = F.filter(F.array(F.struct(F.lit("name").alias("kind"), F.lit(2).alias("rank"), F.nullif(F.col("name_key"), F.lit("")).alias("value"))), lambda k: k["value"].isNotNull())
+    return F.concat(F.filter(block_keys(), lambda k: k["kind"].isin("domain", "phone")), named, cells)
+
+
+def _windows(tables: Scratch, rows: DataFrame, window: int) -> DataFrame:
+    """What ``_replay`` gives for the records of large components, window after window of them in their order.
+
+    A window's records meet the businesses made before that share a key with one of them, and are replayed in groups of
+    what can meet. The states of all businesses are written anew after each window.
+    """
+    k = max(1, -(-rows.count() // window))
+    cuts = sorted(set(rows.select(F.percentile_approx("seq", F.array(*[F.lit(i / k) for i in range(1, k)]), 100_000).alias("q")).head().q)) if k > 1 else []
+    at = sum((F.col("seq") > c).cast("int") for c in cuts) if cuts else F.lit(0)
+    rows = tables.keep(rows.withColumn("window", at).repartition("window"), "windows")
+    told, states = None, None
+    for i in range(len(cuts) + 1):
+        part = rows.where(F.col("window") == i).drop("window")
+        keyed = part.select(F.col("record_id").alias("node"), F.inline(_meeting_keys(False))).select("node", "kind", "value")
+        nodes, near = part.select(F.col("record_id").alias("node")), None
+        if states is not None:
+            shown = states.select("business_id", F.inline(_meeting_keys(True))).select(F.col("business_id").alias("node"), "kind", "value")
+            shown = tables.keep(shown.join(keyed.select("kind", "value").distinct(), ["kind", "value"], "left_semi").select("node", "kind", "value"), f"shown-{i}")
+            near = states.join(shown.select(F.col("node").alias("business_id")).distinct(), "business_id", "left_semi")
+            keyed, nodes = keyed.union(shown), nodes.union(shown.select("node"))
+        labels = _components(tables, nodes, keyed, None, f"window-{i}")
+        grouped = part.join(labels.withColumnRenamed("node", "record_id"), "record_id")
+        if near is None:
+            done = grouped.groupBy("label").applyInPandas(lambda g: _replay(g), _REPLAYED)
+        else:
+            beside = near.join(labels.withColumnsRenamed({"node": "business_id", "label": "beside"}), "business_id")
+            done = grouped.groupBy("label").cogroup(beside.groupBy("beside")).applyInPandas(lambda g, b: _replay(g, b), _REPLAYED)
+        done = tables.keep(done, f"told-{i}")
+        fresh = done.where("kind = 'state'").select("business_id", "created", "orders", *_FIELDS)
+        states = fresh if states is None else tables.keep(states.join(fresh, "business_id", "left_anti").unionByName(fresh), f"states-{i}")
+        tables.drop(f"shown-{i}", f"states-{i - 1}")
+        told = done if told is None else told.unionByName(done)
+    return told
+
+
+def replayed(spark: SparkSession, records: DataFrame, whole: int = WHOLE, window: int = WINDOW) -> DataFrame:
+    """Decisions and final businesses of records as in ``RECORD``, with ``BESIDES`` where they are known; see ``resolve``.
+
+    A row of kind ``decision`` for each record, and of kind ``state`` for each business: what it shows, of each unit what
+    the best record says of it.
+    """
+    tables = Scratch(spark, "resolve")
+    more = [(F.col(c) if c in records.columns else F.lit(0)).cast(kind).alias(c) for c, kind in BESIDES.items()]
+    rows = records.select(*[c.split(" ")[0] for c in RECORD.split(", ")], *more).fillna(0, list(BESIDES))
+    rows = tables.keep(rows, "records")
+    keyed = tables.keep(rows.select(F.col("record_id").alias("node"), F.inline(block_keys())).select("node", "kind", "value"), "keys")
+    extra, i = None, 0
+    while True:
+        labels = tables.keep(_components(tables, rows.select(F.col("record_id").alias("node")), keyed, extra, f"all-{i}"), f"labels-{i}")
+        large = tables.keep(labels.groupBy("label").count().where(F.col("count") > whole).select("label"), f"large-{i}")
+        grouped = rows.join(labels.withColumnRenamed("node", "record_id"), "record_id")
+        done = tables.keep(grouped.join(large, "label", "left_anti").groupBy("label").applyInPandas(lambda g: _replay(g), _REPLAYED), f"small-{i}")
+        if not large.isEmpty():
+            done = done.unionByName(_windows(tables, grouped.join(large, "label", "left_semi").drop("label"), window))
+        # a pair of postal code and name that a business had of two records may meet records of other components
+        mixed = done.where("kind = 'mixed'").select("value", "seq").distinct()
+        met = keyed.where("kind = 'name'").join(mixed, "value").join(rows.select(F.col("record_id").alias("node"), F.col("seq").alias("own")), "node").where("own >= seq")
+        holds = done.where("kind = 'mixed'").select("value", F.col("record_id").alias("b")).distinct()
+        found = met.select("node", "value").distinct().join(holds, "value").select(F.col("node").alias("a"), "b").join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
+        found = tables.keep(found.where("la <> lb").select("a", "b"), f"extra-{i}")
+        if found.isEmpty():
+            return done.where("kind <> 'mixed'")
+        extra = found if extra is None else extra.union(found)
+        i += 1
+
+
+def resolve(spark: SparkSession, records: DataFrame, whole: int = WHOLE, window: int = WINDOW) -> DataFrame:
+    """(record_id, business_id, decision) for records as in ``RECORD``; a business takes its first record's id.
+
+    Each record is decided as if all were taken one by one in the order of seq, then record_id, and every business showed
+    after each what the best of its records says (by source, then the newest). Components of up to ``whole`` records are
+    groups of their own; the records of larger ones are taken in windows of about ``window`` (of equal seq in one).
+    Within a window a group holds what can meet there, so it is bounded by the window and the businesses in its blocks.
+    """
+    return replayed(spark, records, whole, window).where("kind = 'decision'").select("record_id", "business_id", "decision")
 
 
 def field_values(records: DataFrame, fields: list[str]) -> DataFrame:

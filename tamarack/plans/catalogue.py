@@ -293,7 +293,7 @@ def blocking_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def resolve_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ER1 to ER10: customers as listings; fuzzy and in order, so tested against cases instead of SQL."""
+    """ER1 to ER10, ER15, ER16: customers as listings; fuzzy and in order, so tested against the sequential replay instead of SQL."""
     ship(spark)
     c = table(spark, sf_dir, "customer")
     name = F.concat(F.lit("shop "), F.lower("c_mktsegment"), F.lit(" "), (F.col("c_custkey") % 700).cast("string"))

@@ -36,12 +36,70 @@ def test_resolution_replays_in_order(spark):
     assert got[5] == (5, "new") and got[6] == (6, "new")
 
 
+def one_by_one(df):
+    """The sequential replay of all records in one group."""
+    frame = df.withColumns({c: F.col(c) if c in df.columns else F.lit(0).cast(k) for c, k in resolution.BESIDES.items()}).toPandas()
+    done = resolution._replay(frame)
+    decided = done[done["kind"] == "decision"]
+    states = done[done["kind"] == "state"]
+    whole = lambda x: None if x is None or x != x or str(x) == "<NA>" else int(x)
+    shown = {whole(r.business_id): tuple(None if v != v or v is None else v for v in (getattr(r, c) for c in resolution._FIELDS)) for r in states.itertuples()}
+    return {(whole(r.record_id), whole(r.business_id), r.decision) for r in decided.itertuples()}, shown
+
+
+def in_spark(spark, df, **how):
+    rows = resolution.replayed(spark, df, **how).collect()
+    return {(r.record_id, r.business_id, r.decision) for r in rows if r.kind == "decision"}, {r.business_id: tuple(getattr(r, c) for c in resolution._FIELDS) for r in rows if r.kind == "state"}
+
+
 def test_resolution_of_a_long_chain(spark):
     rows = [{"record_id": i, "domain": f"d{i // 2}.com", "phone": f"+1512555{(i + 1) // 2:04}", "name": f"shop {i // 2}"} for i in range(300)]
     df = records(spark, rows)
-    want = resolution._replay(df.toPandas())
-    got = resolution.resolve(spark, df).collect()
-    assert {(r.record_id, r.business_id, r.decision) for r in got} == {(int(r.record_id), None if r.business_id != r.business_id else int(r.business_id), r.decision) for r in want.itertuples()}
+    assert in_spark(spark, df) == one_by_one(df)
+
+
+def listings(rng, n, hub):
+    """Records that share keys by chance; of a hub, a third of all hang together."""
+    one = lambda i: {
+        "record_id": 1000 + i, "domain": rng.choice([None, f"d{rng.randrange(n // 3)}.com"]), "phone": rng.choice([None, f"+1{rng.randrange(n // 2)}"]), "name": rng.choice(["abc plumbing", "abc plumbing co", "city dental", "joe diner"]),
+        "name_key": rng.choice([None, "ABK", "STN", "JTN"]), "postal": rng.choice([None, *[str(p) for p in range(n // 8)]]), "street": rng.choice([None, f"{rng.randrange(4)} main street"]),
+    }
+    rows = [one(i) for i in range(n)]
+    for i in range(1, n):
+        if rng.random() < 0.5:
+            rows[i] = rows[rng.randrange(i)] | {"record_id": 1000 + i} | {rng.choice(["domain", "phone", "street", "name_key", "seq"]): None}
+    for i in rng.sample(range(n), n // 3 if hub else 0):
+        k = rng.randrange(8)
+        rows[i] |= {"phone": rng.choice([None, f"+9{k // 2}"]), "domain": rng.choice([None, f"h{k}.com", f"h{k}.com"]), "name": rng.choice(["abc plumbing", "abc plumbing co"]), "name_key": rng.choice(["ABK", "STN"]), "postal": rng.choice([None, "1", "2"]), "street": f"{k} main street"}
+    return rows
+
+
+@pytest.mark.parametrize(("seed", "hub", "how"), [(1, False, {}), (2, True, {"whole": 10, "window": 40}), (3, True, {"whole": 0, "window": 60})])
+def test_resolution_in_windows_as_one_by_one(spark, seed, hub, how):
+    import random
+
+    rng = random.Random(seed)
+    rows = listings(rng, 150, hub)
+    order = rng.sample(range(5000), len(rows))
+    base = records(spark, [r | {"seq": q} for r, q in zip(rows, order)])
+    df = base.withColumns({"source_rank": (F.col("record_id") % 3).cast("int"), "observed_at": (F.col("record_id") * 7 % 11).cast("double")})
+    got, want = in_spark(spark, df, **how), one_by_one(df)
+    assert got == want and len({d for _, _, d in got[0]}) == 3
+
+
+def test_shown_values_equal_a_full_recompute(spark):
+    import random
+
+    rows = listings(random.Random(5), 120, True)
+    df = records(spark, [{k: v for k, v in r.items() if k != "seq"} for r in rows]).withColumns({"source_rank": (F.col("record_id") % 3).cast("int"), "observed_at": (F.col("record_id") * 7 % 11).cast("double")})
+    decided, shown = in_spark(spark, df)
+    plain = {r.record_id: r for r in df.collect()}
+    for business, fields in shown.items():
+        own = [plain[i] for i, b, _ in decided if b == business]
+        best = lambda known, rank=lambda r: 0: min((r for r in own if known(r)), key=lambda r: (rank(r), r.source_rank, -r.observed_at, -r.seq), default=None)  # noqa: B023, E731
+        want = [getattr(best(lambda r, c=c: getattr(r, c) is not None), c, None) for c in ("domain", "phone", "name", "name_key")]
+        place = best(lambda r: r.postal or r.street, lambda r: not r.street)
+        assert fields == (*want, *((place.postal, place.street, None, None) if place else (None,) * 4))
 
 
 def test_pairs_and_decisions(spark):
