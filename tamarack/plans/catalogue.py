@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarack.functions import geo, pii, places, records, scores, text, web
-from tamarack.operators import leads, lifecycle, pages, relational, reports, resolution
+from tamarack.operators import leads, lifecycle, pages, relational, reports, resolution, retention
+from tamarack.scratch import Scratch
 from tamarack.session import ship, table
 
 FLAGSHIP = "queue_composite"
@@ -243,6 +244,39 @@ def retention_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.expired(aged, F.expr("ts < newest - interval 10 days"), ["value", "props"]).select("event_id", "user_id", "value", "props")
 
 
+@query("""
+WITH v AS (SELECT user_id AS business_id, event_id AS record_id, ['phone', 'industry', 'legal_name'][event_id % 3 + 1] AS field, CASE WHEN event_id % 7 <> 0 THEN event_type END AS value, CASE event_id % 5 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS source, ts, ts + INTERVAL 20 DAY AS until, (SELECT max(ts) FROM events) - INTERVAL 10 DAY AS now FROM events),
+s AS (SELECT business_id, field, value FROM v WHERE until >= now AND value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY business_id, field ORDER BY source, ts DESC, record_id DESC) = 1)
+SELECT business_id, max(s.value) FILTER (field = 'phone') AS phone, max(s.value) FILTER (field = 'industry') AS industry, max(s.value) FILTER (field = 'legal_name') AS legal_name, any_value(k.until) AS content_expires_at, any_value(k.n) AS n_purged
+FROM (SELECT business_id, min(until) FILTER (until >= now) AS until, count(*) FILTER (until < now) AS n FROM v GROUP BY 1) k LEFT JOIN s USING (business_id) GROUP BY 1
+""")
+def purged_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST4, ER15: what businesses show after the purge of values past their time, recomputed for those alone that it touched."""
+    k, e = F.col("event_id"), table(spark, sf_dir, "events")
+    newest = e.agg(F.max("ts").alias("t")).head().t
+    now = (F.lit(newest) - F.expr("interval 10 days")).cast("timestamp")
+    field = F.element_at(F.array(F.lit("phone"), F.lit("industry"), F.lit("legal_name")), (k % 3 + 1).cast("int"))
+    source = F.when(k % 5 == 0, "google_places").when(k % 5 == 1, "demo_fixture").otherwise("zeta")
+    rows = e.select(F.col("user_id").alias("business_id"), k.alias("record_id"), field.alias("field"), F.when(k % 7 != 0, F.col("event_type")).alias("value"), source.alias("source"), F.col("ts").cast("timestamp").alias("observed_at"), (F.col("ts") + F.expr("interval 20 days")).cast("timestamp").alias("expires_at"), F.lit(None).cast("timestamp").alias("purged_at"))
+    fields, tables = ("phone", "industry", "legal_name"), Scratch(spark, "purged_values")
+    values = retention.Buckets(spark, f"{tables.root}/values", "business_id", 16).create(rows)
+    businesses = retention.Buckets(spark, f"{tables.root}/businesses", "business_id", 16).create(retention.shown(values.read(), fields))
+    retention.purge_values(values, businesses, now, fields)
+    gone = values.read().groupBy("business_id").agg(F.count_if(F.col("purged_at").isNotNull()).alias("n_purged"))
+    return businesses.read().join(gone, "business_id").select("business_id", *fields, "content_expires_at", "n_purged")
+
+
+@query(r"""
+SELECT event_id, CASE WHEN due THEN NULL ELSE value END AS value, CASE WHEN due THEN regexp_replace(props, '("k": *)[0-9]+', '\1null') ELSE props END AS props FROM (SELECT *, ts < (SELECT max(ts) FROM events) - INTERVAL 10 DAY AS due FROM events)
+""")
+def purged_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST5: of rows past their time a column and one key of a JSON text go; the rest of the text stays as written."""
+    e = table(spark, sf_dir, "events")
+    now = (F.lit(e.agg(F.max("ts").alias("t")).head().t) - F.expr("interval 10 days")).cast("timestamp")
+    rows = e.select("event_id", "value", "props", F.col("ts").cast("timestamp").alias("expires_at"), F.lit(None).cast("timestamp").alias("purged_at"))
+    return retention.purged(rows, now, ["value"], {"props": ["k"]}).select("event_id", "value", "props")
+
+
 @query("SELECT l_orderkey, round(least(1 - product(1 - l_discount), 0.95), 3) AS confidence FROM lineitem GROUP BY 1")
 def combine_prob(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Independent signals combined, with a cap."""
