@@ -11,6 +11,10 @@
    similarity reaches the threshold falls below ``tolerance``. All others are verified on their whole
    shingle sets. A cell returns its links as counts and a spanning forest, never as pairs.
 4. Forests are joined into classes of near duplicates by their least labels.
+
+Where only the classes are asked for, as in ``distinct``, a forest will do, and work follows the number of texts: each
+class is held against its near alone first; what is linked by then needs no more. In buckets that still hold several
+groups the few outside the largest one are held against it, and only the rest goes to cells as above.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarack.llm import common, hashing
@@ -31,6 +35,8 @@ from tamarack.session import ship
 SHINGLE, THRESHOLD, BANDS, ROWS, TOLERANCE = 5, 0.8, 40, 6, 1e-7
 #: Classes, and bytes of text, that a part of a block holds on average.
 BLOCK, BLOCK_BYTES = 768, 4 << 20
+#: Most classes of a bucket outside its largest group that are held against all of it.
+FEW = 64
 #: Bytes of the table of shared shingles that a cell builds at a time.
 TABLE_BYTES = 32 << 20
 
@@ -243,7 +249,70 @@ def _cells(tables: Scratch, classes: DataFrame, block: int) -> DataFrame:
     across = seen.join(others, "band").where("near <> near2").select("node", "near", "part", "near2", "part2").distinct()
     own, other = F.struct("near", "part"), F.struct(F.col("near2").alias("near"), F.col("part2").alias("part"))
     side = F.when(own > other, 1).when(own < other, 0).otherwise(-1)
-    return within.unionByName(across).select(F.struct(F.least(own, other).alias("a"), F.greatest(own, other).alias("b")).alias("cell"), side.alias("side"), "node")
+    low, high = F.least(own, other), F.greatest(own, other)
+    return within.unionByName(across).select(F.concat_ws("/", low["near"], low["part"], high["near"], high["part"]).alias("cell"), side.alias("side"), "node")
+
+
+def _classes(tables: Scratch, docs: DataFrame, k: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, key, text); the rows with words and their signatures; and a row for each class of equal words."""
+    ship(tables.spark)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_key(F.col("text")).alias("key"), "text")
+    signed = tables.keep(texts.where("text is not null").mapInArrow(_sign(k, bands, rows), "doc_id long, key binary, c1 long, c2 long, size long, bands array<long>"), "signed")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
+    classes = signed.groupBy("c1", "c2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.min(F.struct(F.coalesce("doc_id", F.lit(0)), "doc_id", "key")).alias("at"), first, F.max("size").alias("size"), F.first("bands").alias("bands"))
+    return texts, signed, tables.keep(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+
+
+def _linked(tables: Scratch, cells: DataFrame, classes: DataFrame, texts: DataFrame, verify, name: str) -> DataFrame:
+    """(node, root, docs, texts) of the links in cells (cell, side, node): texts are fetched once for each class that is in one."""
+    members = cells.groupBy("node").agg(F.collect_list(F.struct("cell", "side")).alias("cells")).join(classes.select("node", "copies", "at", "bands"), "node")
+    same = F.col("m.at.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("m.at.key") == F.col("t.key"))
+    fetched = members.alias("m").join(texts.alias("t"), same).select("m.node", "m.copies", "m.bands", "t.text", F.explode("m.cells").alias("c"))
+    dealt = fetched.select("c.cell", "c.side", "node", "copies", "bands", "text").repartition("cell").sortWithinPartitions("cell", "node")
+    return tables.keep(dealt.mapInArrow(verify, "node long, root long, docs long, texts long"), name)
+
+
+def _parts(n: Column, size: Column, block: int) -> Column:
+    return F.greatest(F.lit(1), F.ceil(n / F.lit(block)), F.ceil(size / F.lit(BLOCK_BYTES))).cast("int")
+
+
+def _part(parts: Column) -> Column:
+    return F.pmod(F.xxhash64("node"), parts).cast("int")
+
+
+def _star_cells(members: DataFrame, block: int) -> DataFrame:
+    """(cell, side, node): each class against its near, the least head of its buckets, in parts of the near's classes."""
+    near = members.groupBy("node").agg(F.min("head").alias("near"), F.first("size").alias("size")).where("near <> node")
+    parts = near.groupBy("near").agg(_parts(F.count("*"), F.sum("size"), block).alias("parts"))
+    placed = near.join(parts, "near").select("near", "node", _part(F.col("parts")).alias("part"), "parts")
+    cell = F.concat_ws("/", F.lit("near"), "near", "part").alias("cell")
+    heads = parts.select("near", F.col("near").alias("node"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return placed.select(cell, F.lit(1).alias("side"), "node").unionByName(heads.select(cell, F.lit(0).alias("side"), "node"))
+
+
+def _cells_between(tables: Scratch, members: DataFrame, labels: DataFrame, classes: DataFrame, block: int) -> DataFrame:
+    """(cell, side, node) for buckets whose classes are in several groups by now.
+
+    If few are outside the largest group of a bucket, each of them meets all of that group, and they meet each other.
+    Buckets with the same few classes beside the same group count once. All other buckets go to ``_cells``.
+    """
+    labelled = tables.keep(members.join(labels, "node", "left").select("band", "node", "size", F.coalesce("label", "node").alias("label")), "labelled")
+    groups = labelled.groupBy("band", "label").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    by_band = groups.groupBy("band").agg(F.max_by(F.struct("label", "n", "bytes"), F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    mixed = tables.keep(by_band.where("n > main.n").withColumn("few", (F.col("n") - F.col("main.n") <= FEW) & (F.col("bytes") - F.col("main.bytes") <= BLOCK_BYTES)), "several")
+    rest = labelled.join(mixed.where("not few").select("band"), "band")
+    rest = tables.keep(rest.groupBy("node").agg(F.collect_list("band").alias("bands"), F.first("size").alias("size")), "rest")
+    own = labelled.join(mixed.where("few").select("band", F.col("main.label").alias("main"), _parts(F.col("main.n"), F.col("main.bytes"), block).alias("parts")), "band")
+    outside = own.where("label <> main")
+    beside = outside.groupBy("band").agg(F.xxhash64(F.array_sort(F.collect_list("node"))).alias("beside"))  # at most ``FEW`` of a bucket
+    one = tables.keep(own.join(beside, "band").select("main", "beside", "parts", "node", (F.col("label") == F.col("main")).alias("inside")), "few")
+    parts = one.groupBy("main", "beside").agg(F.max("parts").alias("parts"))
+    one = one.select("main", "beside", "node", "inside").distinct().join(parts, ["main", "beside"])
+    cell = F.concat_ws("/", F.lit("few"), "main", "beside", "part").alias("cell")
+    inside = one.where("inside").withColumn("part", _part(F.col("parts"))).select(cell, F.lit(1).alias("side"), "node")
+    against = one.where("not inside").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(cell, F.lit(0).alias("side"), "node")
+    among = one.where("not inside").select(F.concat_ws("/", F.lit("among"), "main", "beside").alias("cell"), F.lit(-1).alias("side"), "node")
+    return inside.unionByName(against).unionByName(among).unionByName(_cells(Scratch(tables.spark, "jaccard-rest"), rest, block))
 
 
 def similar(spark: SparkSession, docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
@@ -255,21 +324,10 @@ def similar(spark: SparkSession, docs: DataFrame, k: int = SHINGLE, threshold: f
     all of them. Null and empty texts, and texts without words, link to nothing and keep their own doc_id.
     Repeated rows are copies of each other. Other columns are not read.
     """
-    ship(spark)
     tables = Scratch(spark, "jaccard")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_key(F.col("text")).alias("key"), "text")
-    signed = tables.keep(texts.where("text is not null").mapInArrow(_sign(k, bands, rows), "doc_id long, key binary, c1 long, c2 long, size long, bands array<long>"), "signed")
-    classes = tables.keep(
-        signed.groupBy("c1", "c2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.min(F.struct(F.coalesce("doc_id", F.lit(0)), "doc_id", "key")).alias("at"), F.max("size").alias("size"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()),
-        "classes",
-    )
+    texts, signed, classes = _classes(tables, docs, k, bands, rows)
     cells = _cells(tables, classes, block)
-    members = cells.groupBy("node").agg(F.collect_list(F.struct("cell", "side")).alias("cells")).join(classes.select("node", "copies", "at", "bands"), "node")
-    same = F.col("m.at.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("m.at.key") == F.col("t.key"))
-    fetched = members.alias("m").join(texts.alias("t"), same).select("m.node", "m.copies", "m.bands", "t.text", F.explode("m.cells").alias("c"))
-    dealt = fetched.select("c.cell", "c.side", "node", "copies", "bands", "text").repartition("cell").sortWithinPartitions("cell", "node")
-    dealt = dealt.withColumn("cell", F.concat_ws("/", "cell.a.near", "cell.a.part", "cell.b.near", "cell.b.part"))
-    links = tables.keep(dealt.mapInArrow(_verify(k, bands, rows, threshold, tolerance), "node long, root long, docs long, texts long"), "links")
+    links = _linked(tables, cells, classes, texts, _verify(k, bands, rows, threshold, tolerance), "links")
     labels = components(tables, links.select(F.col("root").alias("a"), F.col("node").alias("b")), "groups")
     counted = links.groupBy("node").agg(F.sum("docs").alias("docs"), F.sum("texts").alias("texts"))
     grouped = labels.join(classes.select("node", "least"), "node")
@@ -283,15 +341,26 @@ def similar(spark: SparkSession, docs: DataFrame, k: int = SHINGLE, threshold: f
     return out.unionByName(wordless)
 
 
-def distinct(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
+def distinct(spark: SparkSession, docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
     """The rows of ``docs``, with all their columns, less all but one of each group of ``similar``: that of the least doc_id.
 
     Of repeated rows one stays; rows without words (null and empty texts among them) all stay, as they are in no
-    group. Ties in doc_id are broken by the text's hash. Columns of any name and type come through.
+    group. Ties in doc_id are broken by the text's hash. Very long texts are compared whole. Columns come through
+    under any name but ``__tm_id``, ``__tm_none`` and ``__tm_key``. An empty table gives an empty result. Groups are
+    found by a forest of links, so a group of near copies costs in proportion to its size.
     """
-    groups = similar(spark, docs, **options)
-    first = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
-    stay = groups.where("group is not null").groupBy("group").agg(F.min(first).alias("at")).select("at.doc_id", "at.key")
+    tables = Scratch(spark, "jaccard")
+    texts, _, classes = _classes(tables, docs, k, bands, rows)
+    verify = _verify(k, bands, rows, threshold, tolerance)
+    dealt = classes.select("node", "size", F.explode("bands").alias("band"))
+    heads = dealt.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("head")).where("n > 1").drop("n")
+    members = tables.keep(dealt.join(heads, "band"), "dealt")
+    ends = lambda links: links.select(F.col("root").alias("a"), F.col("node").alias("b"))
+    stars = ends(_linked(tables, _star_cells(members, block), classes, texts, verify, "stars"))
+    between = _cells_between(tables, members, components(tables, stars, "star"), classes, block)
+    labels = components(tables, stars.union(ends(_linked(tables, between, classes, texts, verify, "between"))), "groups")
+    group = F.coalesce("label", "node")
+    stay = classes.join(labels, "node", "left").groupBy(group.alias("group")).agg(F.min("first").alias("first")).select("first.doc_id", "first.key")
     return common.matched(docs.where(F.col("text").rlike(common.WORD)), stay, common.text_key(F.col("text"))).unionByName(docs.where(F.col("text").isNull() | ~F.col("text").rlike(common.WORD)))
 
 

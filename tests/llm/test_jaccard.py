@@ -41,8 +41,10 @@ def test_against_brute_force(spark, docs, plain, block):
     assert sorted(map(tuple, got.collect()), key=str) == brute([(i, t) for i, t, _, _ in plain])
 
 
-def test_distinct_keeps_one_of_each(spark, docs, plain):
-    got = jaccard.distinct(spark, docs)
+@pytest.mark.parametrize(("block", "few"), [(768, 64), (3, 64), (3, 0), (4, 2)])
+def test_distinct_keeps_one_of_each(spark, docs, plain, monkeypatch, block, few):
+    monkeypatch.setattr(jaccard, "FEW", few)
+    got = jaccard.distinct(spark, docs, block=block)
     assert got.columns == docs.columns
     classes = brute([(i, t) for i, t, _, _ in plain])
     named = {c for i, c, _ in classes if i is not None}
@@ -63,6 +65,42 @@ def test_empty(spark, empty):
     assert jaccard.distinct(spark, empty).count() == 0
 
 
+def chains(rng, groups, n):
+    """Texts of which each is near the one before, so that ends of a chain are far apart, and texts that only look alike."""
+    rows = []
+    for g in range(groups):
+        words = [f"g{g}w{i}" for i in range(60)]
+        for _ in range(n):
+            rows.append(" ".join(words))
+            words = words[:]
+            words[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+        rows += [" ".join(words[:40] + [f"y{rng.randrange(10**6)}" for _ in range(20)]) for _ in range(3)]
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("few", [64, 3, 0])
+def test_distinct_follows_chains(spark, monkeypatch, few):
+    monkeypatch.setattr(jaccard, "FEW", few)
+    rows = chains(random.Random(few), 4, 25)
+    got = jaccard.distinct(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), block=8)
+    assert sorted(r.doc_id for r in got.collect()) == sorted({c for _, c, _ in brute(rows)})
+
+
+def test_rows_dealt_grow_with_the_group(spark, monkeypatch):
+    dealt = []
+    linked = jaccard._linked
+    monkeypatch.setattr(jaccard, "_linked", lambda tables, cells, *rest: dealt.append(cells.count()) or linked(tables, cells, *rest))
+    words = [f"w{i}" for i in range(120)]
+    per = {}
+    for n in (400, 800, 1600):
+        rows = [(i, " ".join([*words, f"copy{i}"])) for i in range(n)] + [(10**6 + i, " ".join([*words[:70], *(f"s{i}v{j}" for j in range(50))])) for i in range(5)]
+        dealt.clear()
+        assert jaccard.distinct(spark, spark.createDataFrame(rows, "doc_id long, text string"), block=64).count() == 6
+        per[n] = sum(dealt) / n
+    assert per[1600] < 1.3 * per[400]
+
+
 def test_an_empty_block_adds_no_links(spark, monkeypatch):
     rng = random.Random(4)
     rows = []
