@@ -143,6 +143,25 @@ def upsert_opportunities(found: DataFrame, stored: DataFrame, blocked: DataFrame
     return joined.select(*found.columns, F.when(F.col("open") & F.col("was_withdrawn"), "revive").when(F.col("open"), "update").when(F.col("blocked"), "skip").otherwise("create").alias("action"))
 
 
+def pending(opportunities: DataFrame) -> DataFrame:
+    """Of each business and service the open row to write to: a live pending one, else a withdrawn pending one, else one that
+    needs enrichment; of equals the newest, then the last id."""
+    rank = F.when(F.col("status") == "pending", F.when(F.col("withdrawn_at").isNull(), 0).otherwise(1)).otherwise(2)
+    rows = opportunities.where(F.col("status").isin("pending", "needs_enrichment"))
+    rest = [c for c in opportunities.columns if c not in ("business_id", "service")]
+    best = rows.groupBy("business_id", "service").agg(F.max_by(F.struct(*rest), F.struct((-rank).alias("rank"), F.col("created_at").alias("at"), F.col("id").alias("last"))).alias("r"))
+    return best.select("business_id", "service", "r.*").select(*opportunities.columns)
+
+
+def approved(opportunities: DataFrame, limit: int, after: DataFrame | None = None) -> DataFrame:
+    """A page of the approved list, last decided first; withdrawn ones stay in it. ``after``: one row (decided_at, id) of the page before."""
+    rows = opportunities.where("status = 'approved'")
+    if after is not None:
+        cursor = F.broadcast(after.select(F.struct("decided_at", "id").alias("__cursor")).limit(1))
+        rows = rows.crossJoin(cursor).where(F.struct("decided_at", "id") < F.col("__cursor")).drop("__cursor")
+    return rows.orderBy(F.desc("decided_at"), F.desc("id")).limit(limit)
+
+
 def blocked_services(decisions: DataFrame, now: Column, days: int = 90) -> DataFrame:
     """(business_id, service, why): approved, or rejected fewer than ``days`` ago; approval wins."""
     why = F.when(F.col("status") == "approved", "approved").when((F.col("status") == "rejected") & (F.col("decided_at") > now - F.expr(f"interval {days} days")), "cooldown")

@@ -106,10 +106,10 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[str] | N
 
 
 def seen_again(old: DataFrame, new: DataFrame, keys: list[str], seen: str) -> DataFrame:
-    """Repeated sightings of a record: the first time stays, all else is as of the last; idempotent."""
+    """Repeated sightings of a record: the first time stays, all else is as of the last (of equal times the greatest row); idempotent."""
     rows = old.unionByName(new.withColumn("first_seen", F.col(seen)), allowMissingColumns=True)
     rest = [c for c in old.columns if c not in (*keys, "first_seen")]
-    return rows.groupBy(*keys).agg(F.min("first_seen").alias("first_seen"), F.max_by(F.struct(*rest), F.struct(seen)).alias("__r")).select(*keys, "first_seen", "__r.*").select(*old.columns)
+    return rows.groupBy(*keys).agg(F.min("first_seen").alias("first_seen"), F.max_by(F.struct(*rest), F.struct(seen, *rest)).alias("__r")).select(*keys, "first_seen", "__r.*").select(*old.columns)
 
 
 def sync_links(current: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarack.functions import geo, pii, places, records, scores, text, web
-from tamarack.operators import leads, lifecycle, pages, relational, reports, resolution, review
+from tamarack.operators import leads, lifecycle, pages, relational, reports, resolution, review, schedule
 from tamarack.plans.catalogue import query
 from tamarack.session import ship, table
 
@@ -94,7 +94,7 @@ src AS (SELECT user_id AS business_id, array_to_string(list_sort(list(DISTINCT e
 SELECT business_id, top_score, weak_hidden, codes, sources FROM pass LEFT JOIN f USING (business_id) LEFT JOIN src USING (business_id) ORDER BY top_score DESC NULLS LAST, business_id DESC LIMIT 51
 """)
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first page of the review queue, by the operator that serves it."""
+    """The first page of the review queue, by the operator that serves it."""
     rows = review.queue(_businesses(spark, sf_dir), _opportunities(spark, sf_dir), _suppressions(spark, sf_dir), _audits(spark, sf_dir), _sightings(spark, sf_dir), service="seo_gbp", state="tx")
     codes = F.array_join(F.transform("findings", lambda f: f["code"]), ",")
     return rows.select("business_id", "top_score", "weak_hidden", codes.alias("codes"), F.array_join("sources", ",").alias("sources"))
@@ -314,7 +314,7 @@ m AS (SELECT a.id AS record_id, b.id AS business_id, min(a.rank) AS rank FROM k
 SELECT record_id, business_id, rank::INT AS rank, (row_number() OVER (PARTITION BY record_id ORDER BY rank, business_id))::INT AS place FROM m QUALIFY place <= 25
 """)
 def blocked_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J12, ER1, ER2, W5: pairs of records and businesses that share a block key, the strongest 25 of each record."""
+    """J12, ER1, ER2: pairs of records and businesses that share a block key, the strongest 25 of each record."""
     ship(spark)
     k = F.col("c_custkey")
     rows = table(spark, sf_dir, "customer").select(
@@ -377,7 +377,7 @@ def named_businesses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_orderkey AS id, l_linenumber AS n, coalesce(l_returnflag <> 'R' AND l_linestatus = CASE WHEN l_orderkey % 2 = 0 THEN 'F' ELSE 'O' END, false) AS is_displayed FROM lineitem")
 def displayed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ER20: which of the values known is the one that is shown."""
+    """ER19: which of the values known is the one that is shown."""
     k = F.col("l_orderkey")
     values = table(spark, sf_dir, "lineitem").select(k.alias("business_id"), F.lit("status").alias("field"), F.col("l_linestatus").alias("value"), F.when(F.col("l_returnflag") == "R", F.col("l_shipdate")).alias("purged_at"), F.col("l_linenumber").alias("n"))
     shown = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("business_id"), F.lit("status").alias("field"), F.when(F.col("o_orderkey") % 2 == 0, "F").otherwise("O").alias("shown"))
@@ -398,7 +398,7 @@ bl AS (SELECT DISTINCT business_id, service FROM o WHERE status = 'approved')
 SELECT f.business_id, f.service, CASE WHEN was THEN 'revive' WHEN was IS NOT NULL THEN 'update' WHEN bl.service IS NOT NULL THEN 'skip' ELSE 'create' END AS action FROM f LEFT JOIN s2 USING (business_id, service) LEFT JOIN bl USING (business_id, service)
 """)
 def opportunity_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST6: what to do with each found pair."""
+    """ST7: what to do with each found pair."""
     o = _opportunities(spark, sf_dir)
     stored = o.where("status = 'pending'").groupBy("business_id", "service").agg(F.min_by(F.struct("status", "withdrawn_at"), "id").alias("r")).select("business_id", "service", "r.*")
     return leads.upsert_opportunities(o.select("business_id", "service").distinct(), stored, o.where("status = 'approved'"))
@@ -406,7 +406,7 @@ def opportunity_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_O} SELECT business_id, service, min(CASE WHEN status = 'approved' THEN 'approved' ELSE 'cooldown' END) AS why FROM o WHERE status = 'approved' OR (status = 'rejected' AND created_at > TIMESTAMP '2000-01-01' - INTERVAL 90 DAY) GROUP BY 1, 2")
 def blocked_services(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST7, W21: pairs that are approved or cooling down."""
+    """Pairs that are approved or cooling down."""
     return leads.blocked_services(_opportunities(spark, sf_dir).withColumnRenamed("created_at", "decided_at"), F.lit("2000-01-01").cast("timestamp_ntz"))
 
 
@@ -448,7 +448,7 @@ SELECT o_orderkey, (w = 'running' AND s = 'queued') OR (s = 'queued' AND w IN ('
 FROM (SELECT o_orderkey, ['queued', 'running', 'failed', 'done', 'cancelled'][o_orderkey % 5 + 1] AS s, ['queued', 'running', 'failed', 'done', 'cancelled'][o_custkey % 5 + 1] AS w FROM orders)
 """)
 def run_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST17: moves of a job run that are allowed."""
+    """ST6: moves of a job run that are allowed."""
     names = ("queued", "running", "failed", "done", "cancelled")
     rows = table(spark, sf_dir, "orders").select("o_orderkey", _nth(names, F.col("o_orderkey") % 5).alias("status"), _nth(names, F.col("o_custkey") % 5).alias("wanted"))
     return leads.transitions(rows).select("o_orderkey", "allowed")
@@ -866,9 +866,44 @@ def saved_industries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.industries(rows)
 
 
+@query(f"""
+WITH {_O}, t AS (SELECT *, CASE WHEN id % 4 = 1 AND status = 'approved' THEN 'needs_enrichment' ELSE status END AS st FROM o)
+SELECT business_id, service, id FROM t WHERE st IN ('pending', 'needs_enrichment') QUALIFY row_number() OVER (PARTITION BY business_id, service ORDER BY CASE WHEN st = 'pending' THEN CASE WHEN withdrawn_at IS NULL THEN 0 ELSE 1 END ELSE 2 END, created_at DESC, id DESC) = 1
+""")
+def pending_opportunities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each business and service the open opportunity to write to."""
+    o = _opportunities(spark, sf_dir)
+    status = F.when((F.col("id") % 4 == 1) & (F.col("status") == "approved"), "needs_enrichment").otherwise(F.col("status"))
+    return leads.pending(o.withColumn("status", status)).select("business_id", "service", "id")
+
+
+@query(f"WITH {_O} SELECT id, business_id, service, created_at AS decided_at, withdrawn_at IS NOT NULL AS withdrawn FROM o WHERE status = 'approved' AND (created_at, id) < (SELECT (created_at, id) FROM o WHERE status = 'approved' ORDER BY created_at DESC, id DESC LIMIT 1 OFFSET 99) ORDER BY created_at DESC, id DESC LIMIT 100")
+def approved_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of the approved list, by the time of decision; withdrawn ones are in it."""
+    o = _opportunities(spark, sf_dir).withColumnRenamed("created_at", "decided_at")
+    last = leads.approved(o, 100).agg(F.min(F.struct("decided_at", "id")).alias("r")).select("r.*")
+    return leads.approved(o, 100, last).select("id", "business_id", "service", "decided_at", F.col("withdrawn_at").isNotNull().alias("withdrawn"))
+
+
+_LINES = ("*/15 * * * *", "30 2 * * *", "0 9 * * 1-5", "0 0 31 * *", "15 6 29 2 *", "0 12 1,15 * 5")
+
+
+@query(f"""
+WITH d AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2033-01-01', INTERVAL 1 DAY)) AS d),
+f AS (SELECT 0 AS k, unnest(generate_series(min(ts)::DATE::TIMESTAMP, max(ts) + INTERVAL 1 DAY, INTERVAL 15 MINUTE)) AS t FROM events UNION ALL SELECT 1, d + INTERVAL '2:30' HOUR TO MINUTE FROM d UNION ALL SELECT 2, d + INTERVAL 9 HOUR FROM d WHERE isodow(d) <= 5
+  UNION ALL SELECT 3, d FROM d WHERE day(d) = 31 UNION ALL SELECT 4, d + INTERVAL 375 MINUTE FROM d WHERE day(d) = 29 AND month(d) = 2 UNION ALL SELECT 5, d + INTERVAL 12 HOUR FROM d WHERE day(d) IN (1, 15) OR isodow(d) = 5)
+SELECT e.event_id, f.t AS next_fire FROM (SELECT event_id, event_id % 6 AS k, ts FROM events) e ASOF JOIN f ON e.k = f.k AND e.ts < f.t
+""".replace("INTERVAL '2:30' HOUR TO MINUTE", "INTERVAL 150 MINUTE"))
+def next_fires(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K5: when a schedule line fires next after each event."""
+    e = table(spark, sf_dir, "events")
+    rows = e.select("event_id", _nth(_LINES, F.col("event_id") % 6).alias("line"), F.col("ts").cast("timestamp").alias("ts"))
+    return schedule.with_next_fire(rows, "line", "ts").select("event_id", F.col("next_fire").cast("timestamp_ntz").alias("next_fire"))
+
+
 @query("SELECT c_custkey AS lead_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000)")
 def export_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leads that no batch holds yet, those never sent last."""
+    """ST17: leads that no batch holds yet, those never sent last."""
     rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("lead_id"), F.when(F.col("c_custkey") % 2 == 0, F.lit("2024-01-01").cast("timestamp")).alias("last_synced_at"))
     return lifecycle.to_export(rows, table(spark, sf_dir, "orders").where("o_totalprice > 450000").select(F.col("o_custkey").alias("lead_id"))).select("lead_id")
 

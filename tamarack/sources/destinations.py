@@ -1,4 +1,4 @@
-"""Where leads are delivered: a registry of destinations, and one that is a table; an append-only log."""
+"""Where leads are delivered: a registry of destinations, and one that is a table."""
 
 from __future__ import annotations
 
@@ -7,6 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tamarack.operators.lifecycle import LEAD_FIELDS
+
+#: What a destination holds before anything is written to it.
+EMPTY = ", ".join(f"{c} {'int' if c == 'lead_score' else 'boolean' if c == 'do_not_contact' else 'string'}" for c in LEAD_FIELDS) + ", withdrawn boolean"
+
 _DESTINATIONS: dict[str, Callable[..., object]] = {}
 
 
@@ -48,19 +53,22 @@ class TableDestination:
         done = lambda p: files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
         return sorted(int(s.getPath().getName()[1:]) for s in files.listStatus(path) if s.getPath().getName()[1:].isdigit() and done(s.getPath()))
 
-    def read(self) -> DataFrame | None:
+    def read(self) -> DataFrame:
+        """The newest version; an empty table of lead records before the first."""
         versions = self._versions()
-        return self.spark.read.parquet(f"{self.path}/v{versions[-1]}") if versions else None
+        return self.spark.read.parquet(f"{self.path}/v{versions[-1]}") if versions else self.spark.createDataFrame([], EMPTY)
 
     def _write(self, rows: DataFrame) -> None:
         rows.write.parquet(f"{self.path}/v{(self._versions() or [0])[-1] + 1}")
 
     def upsert(self, leads: DataFrame) -> None:
         """New leads come in; of known ones all columns are replaced but those that are set on creation only, and what marks them."""
-        fresh = leads.dropDuplicates(["business_key"])
-        old = self.read()
-        if old is None:
+        rest = [c for c in leads.columns if c != "business_key"]
+        # of several rows of a key the greatest counts, so that a batch that is delivered again gives the same
+        fresh = leads.groupBy("business_key").agg(F.max(F.struct(*rest)).alias("r")).select("business_key", "r.*").select(*leads.columns)
+        if not self._versions():
             return self._write(fresh.withColumn("withdrawn", F.lit(False)))
+        old = self.read()
         joined = old.alias("o").join(fresh.alias("n"), "business_key", "full_outer")
         given = F.col("n.business_name").isNotNull() if "business_name" in leads.columns else F.lit(True)
         kept = [c for c in old.columns if c != "business_key"]
@@ -78,6 +86,8 @@ class TableDestination:
         return self.read().join(keys.select("business_key").distinct(), "business_key", "left_semi")
 
     def _flag(self, keys: DataFrame, column: str) -> None:
+        if not self._versions():
+            return
         rows = self.read()
         marked = keys.select("business_key", F.lit(True).alias("__hit")).distinct()
         self._write(rows.join(marked, "business_key", "left").withColumn(column, F.coalesce(F.col("__hit"), F.col(column))).select(*rows.columns))
@@ -90,8 +100,3 @@ class TableDestination:
 
     def check(self) -> bool:
         return bool(self._versions())
-
-
-def append_log(rows: DataFrame, path: str, at: Column) -> None:
-    """Adds rows to a log that only grows; no function here changes or removes what it holds."""
-    rows.withColumn("at", at).write.mode("append").parquet(path)

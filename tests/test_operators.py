@@ -503,9 +503,12 @@ def test_destination(spark, tmp_path):
     got = {r.business_key: (r.business_name, r.notes, r.do_not_contact, r.withdrawn) for r in table.read().collect()}
     assert got == {"1": ("a", "n1", False, True), "2": ("B", "other", True, False), "3": ("c", None, False, False)} and table.check()
     assert table.find_by_keys(first).count() == 2
-    for _ in range(2):
-        destinations.append_log(first.select("business_key"), str(tmp_path / "log"), F.lit(NOW))
-    assert spark.read.parquet(str(tmp_path / "log")).count() == 4
+    unused = destinations.get("table", spark, str(tmp_path / "unused"))
+    unused.withdraw(first)
+    unused.mark_do_not_contact(first)
+    assert unused.find_by_keys(first).collect() == [] and not unused.check() and "withdrawn" in unused.read().columns
+    table.upsert(leads_of(("4", "x", None, False), ("4", "y", None, False)))
+    assert table.find_by_keys(leads_of(("4", "", None, False))).head().business_name == "y"
 
 
 def test_hosts_cron_and_logs(spark):
