@@ -21,6 +21,8 @@ from tamarack.scratch import Scratch
 
 TREES, DEPTH, LEAST, SEED = 30, 8, 0.5, 5
 BESIDE = 48
+#: Partitions that labelled findings are dealt to.
+TRAINING_PARTS = 4
 #: Texts that must share a word for it to be in the dictionary.
 SHARED = 3
 
@@ -88,8 +90,7 @@ def labelled_findings(spark: SparkSession, words: DataFrame | None = None, each:
     dictionary, names and slugs made of ``3 * each`` of its words.
     """
     some = [r.word for r in words.orderBy(F.xxhash64(F.lit(seed), "word"), "word").limit(3 * each).collect()] if words is not None else []
-    own = F.array(*map(F.lit, some)) if some else F.array().cast("array<string>")
-    word = lambda k: F.get(own, F.pmod(3 * F.col("i") + k, F.lit(max(1, len(some)))).cast("int"))
+    word = lambda k: F.get(F.col("own"), F.pmod(3 * F.col("i") + k, F.lit(max(1, len(some)))).cast("int"))
     hexed = lambda salt: F.sha2(F.concat_ws("|", F.lit(f"{seed}{salt}"), F.col("i").cast("string")), 256)
     based = lambda salt: F.regexp_replace(F.base64(F.unhex(F.concat(hexed(salt), hexed(salt + "+")))), "[+/=\n]", "")
     letters = lambda salt: F.translate(based(salt), "0123456789", "gHjKmPqRsT")
@@ -115,7 +116,7 @@ def labelled_findings(spark: SparkSession, words: DataFrame | None = None, each:
         (F.lit("1234567890123456"), name(), F.lit("\""), 0), (F.concat(F.lit("====================="), digits("x", 1)), F.lit("\n"), F.lit("\n"), 0),
     ]
     cases = F.array(*[F.struct(v.alias("value"), a.alias("left"), b.alias("right"), F.lit(float(y)).alias("label")) for v, a, b, y in kinds])
-    rows = spark.range(each, numPartitions=1).withColumnRenamed("id", "i")
+    rows = spark.createDataFrame([(i, some) for i in range(each)], "i long, own array<string>")
     return rows.select(F.explode(cases).alias("f"), pick("src/main", "src0", "docs/guide", "tests/fixtures", "web").alias("path")).select("f.value", "f.left", "f.right", "path", "f.label")
 
 
@@ -129,14 +130,19 @@ def train(findings: DataFrame, words: DataFrame | None = None, trees: int = TREE
         # the id is made of the row itself, so that a task that runs again gives the same
         rows = covered(rows.withColumn("id", F.xxhash64("value", "left", "right", "path", "label")).dropDuplicates(["id"]), words)
     rows = rows.select(F.col("label").cast("double").alias("label"), *features(F.col("value"), empty("left"), empty("right"), empty("path"), F.col("covered")))
+    # the forest goes over its rows once a level; they are dealt by their values, so that reruns agree
+    rows = Scratch(findings.sparkSession, "secrets-training").keep(rows, "rows")
+    rows = rows.repartition(TRAINING_PARTS, F.xxhash64("label", *FEATURES)).sortWithinPartitions("label", *FEATURES)
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows).select("label", "features")
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(vectors.coalesce(1).sortWithinPartitions("label", F.hash(F.col("features").cast("string"))))
+    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(vectors)
 
 
 def candidates(docs: DataFrame) -> DataFrame:
     """One row per candidate: doc_id, place (0, 1, ... in its text), start (code points), value, left, right, path."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("path"), "text").where(F.col("text").rlike(CANDIDATE))
-    cut = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "path", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("found"), F.split("text", CANDIDATE, -1).alias("between"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("path"), "text")
+    # texts are searched once; those with candidates are cut at them once more
+    found = rows.withColumn("found", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)))
+    cut = found.select("row", "doc_id", "path", "found", F.when(F.size("found") > 0, F.split("text", CANDIDATE, -1)).alias("between"))
     pair = F.transform("found", lambda f, i: F.struct(f.alias("match"), F.length(F.get("between", i)).alias("gap"), F.right(F.get("between", i), F.lit(BESIDE)).alias("left"), F.left(F.get("between", i + 1), F.lit(BESIDE)).alias("right")))
     each = cut.select("row", "doc_id", "path", F.posexplode(pair).alias("place", "c")).select("row", "doc_id", "path", "place", "c.*")
     # a window holds the candidates of one text
