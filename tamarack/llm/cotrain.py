@@ -346,7 +346,8 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, model: Mod
     by default the score that all but a few of the held-out good rows reach).
 
     Null texts count as empty, null metadata as a value of its own. A document with several labels is good if
-    all say so; rows that share a doc_id share its label. If either class has no labelled rows, every score is
+    all say so; rows that share a doc_id share its label. Every text is scored whole; texts of more than ``most_words``
+    different features teach nothing and give no pseudo-labels. If either class has no labelled rows, every score is
     0.5. Repeated rows get equal answers; other columns are not read. An empty table gives an empty result.
     """
     ship(spark)

@@ -201,7 +201,7 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, window: int = WINDOW,
     as documents of their own, so all of a repeated row of 35 words or more goes. Other columns are not
     read. An empty table gives an empty result.
     """
-    spans = repeats(spark, docs, window, seed).select("doc_id", "key", "start", "stop").distinct().groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    spans = maximal_repeats(spark, docs, window, seed).select("doc_id", "key", "start", "stop").distinct().groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_key(F.col("text")).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     both = texts.alias("t").join(spans.alias("s"), F.col("t.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("t.key") == F.col("s.key")), "left").select("t.doc_id", "t.key", "t.text", "s.spans")
     return both.mapInArrow(_cut(with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
