@@ -433,19 +433,25 @@ SELECT item_id, count(DISTINCT doc_id) AS docs FROM (SELECT item_id, lower(trim(
 def verbatim_quote(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold each item verbatim.
 
-    Probes first: the longest word of an item but its first and last (which a document may hold as parts of longer
-    words) is joined to the documents' distinct words, and only pairs that share it are compared in full. No pair is
-    made without a probe, but for items of fewer than three words, which are held against every text.
+    Probes first: of an item's words but its first and last (which a document may hold as parts of longer words) the one
+    that the fewest documents have is joined to the documents' distinct words, and only pairs that share it are compared in
+    full. No pair is made without a probe, but for items of fewer than three words, if there are any: these, a stated
+    set of queries, are held against every text.
     """
     split = lambda c: F.split(c, " ")
-    longest = F.array_max(F.transform(F.slice(split(F.col("q")), F.lit(2), F.greatest(F.size(split(F.col("q"))) - 2, F.lit(0))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
-    items = table(spark, sf_dir, "benchmark").select("item_id", text.verbatim(F.col("text")).alias("q")).withColumn("word", longest["w"])
+    inner = F.slice(split(F.col("q")), F.lit(2), F.greatest(F.size(split(F.col("q"))) - 2, F.lit(0)))
+    items = table(spark, sf_dir, "benchmark").select("item_id", text.verbatim(F.col("text")).alias("q")).withColumn("inner", F.array_distinct(inner))
     docs = table(spark, sf_dir, "documents").select("doc_id", text.verbatim(F.col("text")).alias("t"))
-    words = docs.select("doc_id", F.explode(F.array_distinct(split(F.col("t")))).alias("word"))
-    pairs = words.join(items.where("word is not null").select("item_id", "word"), "word").select("doc_id", "item_id").distinct()
+    asked = items.select("item_id", F.explode("inner").alias("word"))
+    words = Scratch(spark, "quotes").keep(docs.select("doc_id", F.explode(F.array_distinct(split(F.col("t")))).alias("word")).join(asked.select("word").distinct(), "word", "left_semi"), "words")
+    seen = words.groupBy("word").agg(F.count("*").alias("n"))
+    # a word that no document has is the rarest, and its item is nowhere
+    probes = asked.join(seen, "word", "left").groupBy("item_id").agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("word"))
+    pairs = words.join(probes, "word").select("doc_id", "item_id").distinct()
     met = pairs.join(docs, "doc_id").join(items.select("item_id", "q"), "item_id").where(F.contains("t", "q")).select("item_id", "doc_id")
-    short = items.where("word is null").select("item_id", "q")
-    met = met.unionByName(docs.join(short, F.contains("t", "q")).select("item_id", "doc_id"))
+    short = items.where(F.size("inner") == 0).select("item_id", "q")
+    if not short.isEmpty():
+        met = met.unionByName(docs.join(short, F.contains("t", "q")).select("item_id", "doc_id"))
     return met.groupBy("item_id").agg(F.countDistinct("doc_id").alias("docs"))
 
 
