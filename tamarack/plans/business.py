@@ -885,6 +885,29 @@ def approved_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leads.approved(o, 100, last).select("id", "business_id", "service", "decided_at", F.col("withdrawn_at").isNotNull().alias("withdrawn"))
 
 
+@query(r"""
+WITH h AS (SELECT page_id, url, '<div itemscope itemtype="https://schema.org/Plumber"><div itemprop="address" itemscope><i itemprop="streetAddress">' || page_id % 90 || ' Main St Suite ' || page_id % 4 || '</i></div></div><a href="tel:+1512555' || lpad((page_id % 10000)::VARCHAR, 4, '0') || '">call</a>' || html AS html,
+  '+1512555' || lpad((page_id % 10000 - page_id % 10000 % 2)::VARCHAR, 4, '0') AS phone, page_id // 3 * 3 % 90 || ' main street #' || page_id % 3 AS street, CASE page_id % 4 WHEN 0 THEN replace(url, 'https://', 'http://') WHEN 1 THEN replace(url, '//', '//www.') WHEN 2 THEN 'https://other.example.org/' ELSE url END AS website FROM pages),
+d AS (SELECT *, regexp_extract(html, 'href="tel:([^"]*)"', 1) AS told, regexp_extract(html, 'streetAddress">([^<]*)<', 1) AS there, lower(regexp_extract(url, '//(?:www\.)?([^/?#]*)', 1)) AS own, lower(regexp_extract(website, '//(?:www\.)?([^/?#]*)', 1)) AS listed, (website LIKE '%//www.%') <> (url LIKE '%//www.%') AS w FROM h)
+SELECT page_id, CASE WHEN told = phone THEN 'match' ELSE 'mismatch' END AS phone,
+  CASE WHEN regexp_extract(there, '^(\d+)', 1) = regexp_extract(street, '^(\d+)', 1) AND regexp_extract(there, '(\d+)$', 1) = regexp_extract(street, '(\d+)$', 1) THEN 'match' ELSE 'mismatch' END AS address,
+  CASE WHEN regexp_extract(own, '([^.]+\.[^.]+)$', 1) <> regexp_extract(listed, '([^.]+\.[^.]+)$', 1) THEN 'not_compared' WHEN (website LIKE 'http://%' AND url LIKE 'https://%') OR (w AND own = listed) THEN 'mismatch' ELSE 'match' END AS website FROM d
+""")
+def listing_against_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings against what their page says of itself, read from the page."""
+    k, url = F.col("page_id"), F.col("url")
+    rows = table(spark, sf_dir, "pages")
+    pad = lambda n: F.lpad(n.cast("string"), 4, "0")
+    item = F.concat(
+        F.lit('<div itemscope itemtype="https://schema.org/Plumber"><div itemprop="address" itemscope><i itemprop="streetAddress">'), (k % 90).cast("string"), F.lit(" Main St Suite "), (k % 4).cast("string"),
+        F.lit('</i></div></div><a href="tel:+1512555'), pad(k % 10000), F.lit('">call</a>'), F.col("html"),
+    )
+    website = F.when(k % 4 == 0, F.replace(url, F.lit("https://"), F.lit("http://"))).when(k % 4 == 1, F.replace(url, F.lit("//"), F.lit("//www."))).when(k % 4 == 2, "https://other.example.org/").otherwise(url)
+    listings = rows.select("page_id", F.concat(F.lit("+1512555"), pad(k % 10000 - k % 10000 % 2)).alias("phone_e164"), F.concat((F.floor(k / 3) * 3 % 90).cast("string"), F.lit(" main street #"), (k % 3).cast("string")).alias("street"), F.lit(None).cast("string").alias("postal_code"), website.alias("website"))
+    compared = lifecycle.against_listing(pages.audit(rows.withColumn("html", item)), listings)
+    return compared.select("page_id", "phone", "address.status", F.col("website.status").alias("site")).withColumnsRenamed({"status": "address", "site": "website"})
+
+
 _LINES = ("*/15 * * * *", "30 2 * * *", "0 9 * * 1-5", "0 0 31 * *", "15 6 29 2 *", "0 12 1,15 * 5")
 
 
