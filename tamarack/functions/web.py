@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from urllib.robotparser import RobotFileParser
 
 import pandas as pd
@@ -30,16 +31,78 @@ def host_of(url: Column) -> Column:
     return F.when(F.contains(F.lower(rest), F.lit(".")), F.nullif(host, F.lit("")))
 
 
+# Signs that the mapping drops, full stops of other scripts, signs that stay though they fold to others.
+DROPPED = "\u00ad\u034f\u180b\u180c\u180d\u200b\u2060\u2064\ufeff" + "".join(map(chr, range(0xFE00, 0xFE10)))
+STOPS = "\u3002\uff0e\uff61"
+KEPT = "\u00df\u03c2\u200c\u200d"
+# Signs that are valid, or not, whatever their category says.
+VALID = "\u00df\u03c2\u06fd\u06fe\u0f0b\u3007"
+INVALID = "\u0640\u07fa\u302e\u302f\u3031\u3032\u3033\u3034\u3035\u303b"
+#: Categories of letters, marks and digits, of which labels are made.
+_LABEL_KINDS = ("Ll", "Lo", "Lm", "Mn", "Mc", "Nd")
+
+
+def _mapped(host: str) -> str:
+    """Small letters and plain forms; dropped signs gone, all full stops one."""
+    signs = ("." if c in STOPS else c if c in KEPT else "" if c in DROPPED else unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", c).casefold()) for c in host)
+    return unicodedata.normalize("NFC", "".join(signs))
+
+
+def _in_place(label: str, i: int) -> bool:
+    """Whether a sign that is valid in some surroundings only stands in these."""
+    c, before, after = label[i], label[:i], label[i + 1 :]
+    if c in "\u200c\u200d":
+        return bool(before) and unicodedata.combining(before[-1]) == 9
+    if c == "\u00b7":
+        return before.endswith("l") and after.startswith("l")
+    if c == "\u0375":
+        return bool(after) and unicodedata.name(after[0], "").startswith("GREEK")
+    if c in "\u05f3\u05f4":
+        return bool(before) and unicodedata.name(before[-1], "").startswith("HEBREW")
+    if c == "\u30fb":
+        return any(unicodedata.name(x, "").startswith(("HIRAGANA", "KATAKANA LETTER", "CJK UNIFIED")) for x in label)
+    return False
+
+
+def _valid(label: str) -> bool:
+    if not label or label[0] == "-" or label[-1] == "-" or label[2:4] == "--" or unicodedata.category(label[0]).startswith("M"):
+        return False
+    for i, c in enumerate(label):
+        plain = c == "-" or c in VALID or c not in INVALID and unicodedata.category(c) in _LABEL_KINDS and unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", c).casefold()) == c
+        if not plain and not _in_place(label, i):
+            return False
+    arabic, eastern = (any(low <= c <= chr(ord(low) + 9) for c in label) for low in ("\u0660", "\u06f0"))
+    return not (arabic and eastern)
+
+
+def _label(label: str) -> str | None:
+    if label.startswith("xn--"):
+        try:
+            told = label[4:].encode("ascii").decode("punycode")
+        except (UnicodeError, ValueError):
+            return None
+        return label if told and not told.isascii() and _mapped(told) == told and _valid(told) else None
+    if not _valid(label):
+        return None
+    return label if label.isascii() else "xn--" + label.encode("punycode").decode("ascii")
+
+
 def _ascii(host: str | None) -> str | None:
-    try:
-        return host.strip().rstrip(".").lower().encode("idna").decode() if host and host.strip() else None
-    except UnicodeError:
+    if not host or not host.strip():
         return None
+    labels = [_label(x) for x in _mapped(host.strip()).removesuffix(".").split(".")]
+    if None in labels or any(len(x) > 63 for x in labels):
+        return None
+    return whole if len(whole := ".".join(labels)) <= 253 else None
 
 
 @pandas_udf(StringType())
 def ascii_host(s: pd.Series) -> pd.Series:
-    """A host in ASCII, by the standard library's codec (the 2003 rules); null for one that has no such form."""
+    """A host in ASCII, by the rules of 2008 after mapping to small letters and plain forms; null for one that has no such form.
+
+    Sharp s and final sigma stay letters of their own. Labels of signs other than letters, marks, digits and hyphens are
+    invalid, as are hyphens at the ends or third and fourth, and joiners out of place. Writing directions are not checked.
+    """
     return s.map(_ascii)
 
 

@@ -129,3 +129,16 @@ def test_records(spark):
     assert one(spark, text.clip(F.col("a"), 5), a="abcdefgh") == "abcd…"
     assert one(spark, text.contains_quote(F.col("a"), F.lit("“a  B”")), a=['x "A b" y']) is True
     assert one(spark, text.contains_quote(F.col("a"), F.lit(" ")), a=["x"]) is False
+
+
+@pytest.mark.parametrize(
+    ("host", "ascii_form"),
+    [
+        ("Bücher.Example", "xn--bcher-kva.example"), ("faß.de", "xn--fa-hia.de"), ("日本語。ＪＰ", "xn--wgv71a119e.jp"), ("βόλος.com", "xn--nxasmm1c.com"), ("xn--mnchen-3ya.de", "xn--mnchen-3ya.de"), ("a\u00adb.com", "ab.com"), ("①.com", "1.com"), ("ñ.ES.", "xn--ida.es"), ("l·l.cat", "xn--ll-0ea.cat"),
+        ("क्\u200dष.in", "xn--11b2ezcw70k.in"), ("メール・株.jp", "xn--4dkua2cc6471e.jp"), ("example.com", "example.com"), ("1.2.3.4", "1.2.3.4"),
+        ("a..b", None), (".a", None), ("-a.com", None), ("a-.com", None), ("ab--cd.com", None), ("☃.net", None), ("a_b.com", None), ("\u0301a.com", None), ("a·b.com", None), ("a\u200db.com", None), ("xn--.com", None), ("xn--a.com", None), ("xn--BCHER-kva.de", "xn--bcher-kva.de"), ("x" * 64 + ".com", None), (("x" * 63 + ".") * 4 + "com", None),
+        ("٠۰.com", None), ("a b.com", None), ("", None), (None, None),
+    ],
+)
+def test_hosts_in_ascii(host, ascii_form):
+    assert web._ascii(host) == ascii_form
