@@ -24,6 +24,9 @@ LEAST, THRESHOLD = 5, 0.5
 #: Benchmarks up to this many bytes of text are sent to every executor; larger ones are joined.
 SENT_BYTES = 32 << 20
 
+#: Items that share a seed with a text and are brought to it together, where the benchmark is joined.
+ITEMS_BESIDE = 1000
+
 SEPARATORS = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
 
 
@@ -166,15 +169,18 @@ def _seeds(column: str, least: int):
     return run
 
 
-def _pairs(least: int):
+def _against(least: int, threshold: float):
+    """Best coverage of a text by the items beside it (``items``: id and text), and those over the threshold."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in common.sliced(batches, "text", hashing.PIECE):
-            _, _, hashes, counts = hashing.words(folded(texts), SEPARATORS)[1:]
-            ends = np.cumsum(counts)
-            share = []
-            for i, item in enumerate(common.encoded(batch.column("item"))):
-                share.append(Items([(0, item)], least).covered(hashes[ends[i] - counts[i] : ends[i]]).get(0, 0.0))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), batch.column("item_id"), pa.array(share, pa.float64())], names=["doc_id", "key", "item_id", "share"])
+            own = batch.column("items").to_pylist()
+            rows = []
+            for text, listed in zip(texts, own, strict=True):
+                hashes = hashing.words(folded([text]), SEPARATORS)[3]
+                items = Items([(i["item_id"], i["item"].encode()) for i in listed], least)
+                rows.append(_verdict(items.covered(hashes), items.ids, threshold))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array([r[0] for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=["doc_id", "key", "best", "over"])
 
     return run
 
@@ -202,11 +208,15 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, lea
     tables = Scratch(spark, "decontaminate")
     seeds = items.mapInArrow(_seeds("item_id", least), "item_id long, gram long").distinct()
     read = texts.where("text is not null").mapInArrow(_seeds("doc_id", least), "doc_id long, key binary, gram long").distinct()
-    pairs = read.join(seeds, "gram").select("doc_id", "key", "item_id").distinct()
     same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.key") == F.col(f"{b}.key"))
-    both = pairs.alias("p").join(texts.dropDuplicates(["doc_id", "key"]).alias("t"), same("p", "t")).select("p.*", "t.text").join(items.withColumnRenamed("text", "item"), "item_id")
-    shares = tables.keep(both.select("doc_id", "key", "text", "item_id", "item").mapInArrow(_pairs(least), "doc_id long, key binary, item_id long, share double"), "shares")
-    found = shares.groupBy("doc_id", "key").agg(F.max("share").alias("coverage"), F.array_sort(F.collect_list(F.when(F.col("share") >= threshold, F.col("item_id")))).alias("item_ids"))
+    pairs = tables.keep(read.join(seeds, "gram").select("doc_id", "key", "item_id").distinct(), "pairs")
+    # a text comes once for each ``ITEMS_BESIDE`` of its items, not once for each
+    parts = pairs.groupBy("doc_id", "key").agg(F.ceil(F.count("*") / F.lit(ITEMS_BESIDE)).alias("parts"))
+    dealt = pairs.alias("p").join(parts.alias("n"), same("p", "n")).select("p.*", F.pmod(F.xxhash64("item_id"), "parts").alias("part"))
+    beside = dealt.join(items.withColumnRenamed("text", "item"), "item_id").groupBy("doc_id", "key", "part").agg(F.collect_list(F.struct("item_id", "item")).alias("items"))
+    both = beside.alias("b").join(texts.dropDuplicates(["doc_id", "key"]).alias("t"), same("b", "t")).select("b.doc_id", "b.key", "t.text", "b.items")
+    judged = tables.keep(both.mapInArrow(_against(least, threshold), "doc_id long, key binary, best double, over array<long>"), "judged")
+    found = judged.groupBy("doc_id", "key").agg(F.max("best").alias("coverage"), F.array_sort(F.flatten(F.collect_list("over"))).alias("item_ids"))
     return texts.drop("text").alias("t").join(found.alias("p"), same("t", "p"), "left").select(
         "t.doc_id", "t.key", (F.coalesce(F.size("item_ids"), F.lit(0)) > 0).alias("contaminated"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"), F.greatest(F.coalesce(F.size("item_ids"), F.lit(0)), F.lit(0)).cast("long").alias("n_items"), F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids")
     )

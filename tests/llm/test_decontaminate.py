@@ -53,7 +53,9 @@ def test_verdicts(spark, docs):
     assert decontaminate.contaminated(spark, docs, rows.limit(0)).where("contaminated").count() == 0
 
 
-def test_both_paths_agree(spark, docs):
+@pytest.mark.parametrize("beside", [1000, 3])
+def test_both_paths_agree(spark, docs, monkeypatch, beside):
+    monkeypatch.setattr(decontaminate, "ITEMS_BESIDE", beside)
     items = docs.where("doc_id between 1 and 20").selectExpr("doc_id as item_id", "text")
     a, b = (sorted(map(str, decontaminate.contaminated(spark, docs, items, sent_bytes=n).collect())) for n in (1 << 20, 0))
     assert a == b
