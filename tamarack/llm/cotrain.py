@@ -12,6 +12,7 @@ Features are extracted once and written; rounds and the final scores read that t
 
 from __future__ import annotations
 
+import copy
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -192,13 +193,15 @@ class Rows:
 
 
 def cotrain(known: Rows, held: Rows, ask, rounds: int = ROUNDS) -> Model:
-    """Both views trained on ``known``; ``held`` only calibrates and combines.
+    """Both views trained on ``known``; ``held`` only calibrates, combines, and tells which round to keep.
 
-    ``ask(views)`` gives for a round two ``Rows``: what the first view teaches the second, and the reverse.
+    Of all rounds that one counts after which the combined score is surest of the held-out rows (by log loss), so an exchange that
+    teaches the views wrong things costs nothing but time. ``ask(views)`` gives for a round two ``Rows``: what the first view teaches the second, and the reverse.
     """
     views = [View(BUCKETS, FORM), View(META_BUCKETS, 0)]
     learned = [known, known]
     truth = np.array(held.good)
+    best: tuple[float, Model] | None = None
     for turn in range(rounds + 1):
         for v, view in enumerate(views):
             n = np.bincount(np.concatenate([*learned[v].ids, np.empty(0, np.int64)]).astype(np.int64), minlength=BUCKETS)
@@ -207,17 +210,25 @@ def cotrain(known: Rows, held: Rows, ask, rounds: int = ROUNDS) -> Model:
             if len(truth):
                 raw = np.array([view.weights[i].sum() + f @ view.form + view.bias for i, f in held.of(v, often)])
                 view.scale = tuple(logistic(raw[:, None], truth))
+        if len(truth):
+            loss, model = _combined(copy.deepcopy(views), held, truth)
+            if best is None or loss < best[0]:
+                best = loss, model
         if turn == rounds:
             break
         taught = ask(views)
         learned = [learned[0].plus(taught[1]), learned[1].plus(taught[0])]
-    if not len(truth):
-        return Model(views[0], views[1], np.array([1.0, 1.0, 0.0]))
+    return best[1] if best else Model(views[0], views[1], np.array([1.0, 1.0, 0.0]))
+
+
+def _combined(views: list[View], held: Rows, truth: np.ndarray) -> tuple[float, Model]:
+    """The views with their weights in the combined score, and the log loss of that on the held-out rows."""
     every = np.ones(BUCKETS, bool)
     logits = np.column_stack([scaled(view, np.array([view.weights[i].sum() + f @ view.form + view.bias for i, f in held.of(v, every)])) for v, view in enumerate(views)])
     both = logistic(logits, truth)
     chance = sigmoid(np.column_stack((logits, np.ones(len(logits)))) @ both)
-    return Model(views[0], views[1], both, float(np.quantile(chance[truth == 1], LOST)))
+    loss = -float(np.log(np.clip(np.where(truth == 1, chance, 1 - chance), 1e-12, 1)).mean())
+    return loss, Model(views[0], views[1], both, float(np.quantile(chance[truth == 1], LOST)))
 
 
 FEATURES = "doc_id long, key binary, n int, ids array<int>, form array<double>, meta array<int>"
