@@ -227,26 +227,31 @@ def _verify(k: int, bands: int, rows: int, threshold: float, tolerance: float):
     return run
 
 
+def _met(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join of tables that grow with the input. Neither is broadcast: Spark sizes a table by its compressed files, and takes an exploded list for one entry."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def _cells(tables: Scratch, classes: DataFrame, block: int) -> DataFrame:
     """(cell, side, node): the classes that each cell compares; side 0 and 1 in a cell of two parts, else -1."""
     dealt = classes.select("node", F.explode("bands").alias("band"))
     heads = dealt.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("head")).where("n > 1").drop("n")
-    members = tables.keep(dealt.join(heads, "band"), "members")
-    near = members.groupBy("node").agg(F.min("head").alias("near")).join(classes.select("node", "size"), "node")
-    near = tables.keep(near, "near")
+    members = tables.keep(_met(dealt, heads, "band"), "members")
+    near = members.groupBy("node").agg(F.min("head").alias("near"))
+    near = tables.keep(_met(near, classes.select("node", "size"), "node"), "near")
     sizes = near.groupBy("near").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
     parts = F.greatest(F.ceil(F.col("n") / F.lit(block)), F.ceil(F.col("bytes") / F.lit(BLOCK_BYTES))).cast("int")
-    placed = near.join(sizes.select("near", "n", parts.alias("parts")), "near").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    placed = _met(near, sizes.select("near", "n", parts.alias("parts")), "near").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
     placed = tables.keep(placed.select("node", "near", "part", "parts", "n"), "placed")
     tables.drop("near")
     within = placed.where("n > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     within = within.select("node", "near", "part", F.col("near").alias("near2"), F.col("other").alias("part2"))
     # buckets that hold several nears: each class meets the parts of the other nears in the bucket
-    seen = members.select("band", "node").join(placed.select("node", "near", "part"), "node")
+    seen = _met(members.select("band", "node"), placed.select("node", "near", "part"), "node")
     mixed = seen.groupBy("band").agg(F.min("near").alias("low"), F.max("near").alias("high")).where("low < high").select("band")
-    seen = tables.keep(seen.join(mixed, "band"), "mixed")
+    seen = tables.keep(_met(seen, mixed, "band"), "mixed")
     others = seen.select("band", F.col("near").alias("near2"), F.col("part").alias("part2")).distinct()
-    across = seen.join(others, "band").where("near <> near2").select("node", "near", "part", "near2", "part2").distinct()
+    across = _met(seen, others, "band").where("near <> near2").select("node", "near", "part", "near2", "part2").distinct()
     own, other = F.struct("near", "part"), F.struct(F.col("near2").alias("near"), F.col("part2").alias("part"))
     side = F.when(own > other, 1).when(own < other, 0).otherwise(-1)
     low, high = F.least(own, other), F.greatest(own, other)
@@ -265,9 +270,9 @@ def _classes(tables: Scratch, docs: DataFrame, k: int, bands: int, rows: int) ->
 
 def _linked(tables: Scratch, cells: DataFrame, classes: DataFrame, texts: DataFrame, verify, name: str) -> DataFrame:
     """(node, root, docs, texts) of the links in cells (cell, side, node): texts are fetched once for each class that is in one."""
-    members = cells.groupBy("node").agg(F.collect_list(F.struct("cell", "side")).alias("cells")).join(classes.select("node", "copies", "at", "bands"), "node")
+    members = _met(cells.groupBy("node").agg(F.collect_list(F.struct("cell", "side")).alias("cells")), classes.select("node", "copies", "at", "bands"), "node")
     same = F.col("m.at.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("m.at.key") == F.col("t.key"))
-    fetched = members.alias("m").join(texts.alias("t"), same).select("m.node", "m.copies", "m.bands", "t.text", F.explode("m.cells").alias("c"))
+    fetched = members.alias("m").hint("merge").join(texts.alias("t"), same).select("m.node", "m.copies", "m.bands", "t.text", F.explode("m.cells").alias("c"))
     dealt = fetched.select("c.cell", "c.side", "node", "copies", "bands", "text").repartition("cell").sortWithinPartitions("cell", "node")
     return tables.keep(dealt.mapInArrow(verify, "node long, root long, docs long, texts long"), name)
 
@@ -284,7 +289,7 @@ def _star_cells(members: DataFrame, block: int) -> DataFrame:
     """(cell, side, node): each class against its near, the least head of its buckets, in parts of the near's classes."""
     near = members.groupBy("node").agg(F.min("head").alias("near"), F.first("size").alias("size")).where("near <> node")
     parts = near.groupBy("near").agg(_parts(F.count("*"), F.sum("size"), block).alias("parts"))
-    placed = near.join(parts, "near").select("near", "node", _part(F.col("parts")).alias("part"), "parts")
+    placed = _met(near, parts, "near").select("near", "node", _part(F.col("parts")).alias("part"), "parts")
     cell = F.concat_ws("/", F.lit("near"), "near", "part").alias("cell")
     heads = parts.select("near", F.col("near").alias("node"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     return placed.select(cell, F.lit(1).alias("side"), "node").unionByName(heads.select(cell, F.lit(0).alias("side"), "node"))
@@ -296,18 +301,18 @@ def _cells_between(tables: Scratch, members: DataFrame, labels: DataFrame, class
     If few are outside the largest group of a bucket, each of them meets all of that group, and they meet each other.
     Buckets with the same few classes beside the same group count once. All other buckets go to ``_cells``.
     """
-    labelled = tables.keep(members.join(labels, "node", "left").select("band", "node", "size", F.coalesce("label", "node").alias("label")), "labelled")
+    labelled = tables.keep(_met(members, labels, "node", "left").select("band", "node", "size", F.coalesce("label", "node").alias("label")), "labelled")
     groups = labelled.groupBy("band", "label").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
     by_band = groups.groupBy("band").agg(F.max_by(F.struct("label", "n", "bytes"), F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
     mixed = tables.keep(by_band.where("n > main.n").withColumn("few", (F.col("n") - F.col("main.n") <= FEW) & (F.col("bytes") - F.col("main.bytes") <= BLOCK_BYTES)), "several")
-    rest = labelled.join(mixed.where("not few").select("band"), "band")
+    rest = _met(labelled, mixed.where("not few").select("band"), "band")
     rest = tables.keep(rest.groupBy("node").agg(F.collect_list("band").alias("bands"), F.first("size").alias("size")), "rest")
-    own = labelled.join(mixed.where("few").select("band", F.col("main.label").alias("main"), _parts(F.col("main.n"), F.col("main.bytes"), block).alias("parts")), "band")
+    own = _met(labelled, mixed.where("few").select("band", F.col("main.label").alias("main"), _parts(F.col("main.n"), F.col("main.bytes"), block).alias("parts")), "band")
     outside = own.where("label <> main")
     beside = outside.groupBy("band").agg(F.xxhash64(F.array_sort(F.collect_list("node"))).alias("beside"))  # at most ``FEW`` of a bucket
-    one = tables.keep(own.join(beside, "band").select("main", "beside", "parts", "node", (F.col("label") == F.col("main")).alias("inside")), "few")
+    one = tables.keep(_met(own, beside, "band").select("main", "beside", "parts", "node", (F.col("label") == F.col("main")).alias("inside")), "few")
     parts = one.groupBy("main", "beside").agg(F.max("parts").alias("parts"))
-    one = one.select("main", "beside", "node", "inside").distinct().join(parts, ["main", "beside"])
+    one = one.select("main", "beside", "node", "inside").distinct().join(parts.hint("merge"), ["main", "beside"])
     cell = F.concat_ws("/", F.lit("few"), "main", "beside", "part").alias("cell")
     inside = one.where("inside").withColumn("part", _part(F.col("parts"))).select(cell, F.lit(1).alias("side"), "node")
     against = one.where("not inside").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(cell, F.lit(0).alias("side"), "node")
@@ -330,11 +335,11 @@ def similar(spark: SparkSession, docs: DataFrame, k: int = SHINGLE, threshold: f
     links = _linked(tables, cells, classes, texts, _verify(k, bands, rows, threshold, tolerance), "links")
     labels = components(tables, links.select(F.col("root").alias("a"), F.col("node").alias("b")), "groups")
     counted = links.groupBy("node").agg(F.sum("docs").alias("docs"), F.sum("texts").alias("texts"))
-    grouped = labels.join(classes.select("node", "least"), "node")
+    grouped = _met(labels, classes.select("node", "least"), "node")
     least = grouped.groupBy("label").agg(F.min("least").alias("class_id"))
-    found = tables.keep(grouped.join(least, "label").join(counted, "node").select("node", "label", "class_id", "docs", "texts"), "found")
-    every = classes.select("c1", "c2", "node", "copies", "least").join(found, "node", "left")
-    out = signed.select("doc_id", "key", "c1", "c2").join(every, ["c1", "c2"]).select(
+    found = tables.keep(_met(_met(grouped, least, "label"), counted, "node").select("node", "label", "class_id", "docs", "texts"), "found")
+    every = _met(classes.select("c1", "c2", "node", "copies", "least"), found, "node", "left")
+    out = _met(signed.select("doc_id", "key", "c1", "c2"), every, ["c1", "c2"]).select(
         "doc_id", "key", F.coalesce("label", "node").alias("group"), F.coalesce("class_id", "least").alias("class_id"), (F.col("copies") - 1 + F.coalesce("docs", F.lit(0))).alias("n_links"), F.coalesce("texts", F.lit(0)).cast("long").alias("n_text_links")
     )
     wordless = texts.where(F.col("text").isNull() | ~F.col("text").rlike(common.WORD)).select("doc_id", "key", F.lit(None).cast("long").alias("group"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_text_links"))
@@ -354,13 +359,13 @@ def distinct(spark: SparkSession, docs: DataFrame, k: int = SHINGLE, threshold:
     verify = _verify(k, bands, rows, threshold, tolerance)
     dealt = classes.select("node", "size", F.explode("bands").alias("band"))
     heads = dealt.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("head")).where("n > 1").drop("n")
-    members = tables.keep(dealt.join(heads, "band"), "dealt")
+    members = tables.keep(_met(dealt, heads, "band"), "dealt")
     ends = lambda links: links.select(F.col("root").alias("a"), F.col("node").alias("b"))
     stars = ends(_linked(tables, _star_cells(members, block), classes, texts, verify, "stars"))
     between = _cells_between(tables, members, components(tables, stars, "star"), classes, block)
     labels = components(tables, stars.union(ends(_linked(tables, between, classes, texts, verify, "between"))), "groups")
     group = F.coalesce("label", "node")
-    stay = classes.join(labels, "node", "left").groupBy(group.alias("group")).agg(F.min("first").alias("first")).select("first.doc_id", "first.key")
+    stay = _met(classes, labels, "node", "left").groupBy(group.alias("group")).agg(F.min("first").alias("first")).select("first.doc_id", "first.key")
     return common.matched(docs.where(F.col("text").rlike(common.WORD)), stay, common.text_key(F.col("text"))).unionByName(docs.where(F.col("text").isNull() | ~F.col("text").rlike(common.WORD)))
 
 

@@ -110,3 +110,17 @@ def test_an_empty_block_adds_no_links(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK_BYTES", max(len(t) for _, t in rows) * 3 // 2)
     got = jaccard.similar(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r.doc_id, r.class_id, r.n_links, r.n_text_links) for r in got} == {(i, i // 3 * 3, 2, 2) for i, _ in rows}
+
+
+def test_nothing_that_grows_is_broadcast(spark, docs, monkeypatch):
+    plans, keep = [], jaccard.Scratch.keep
+
+    def noted(self, df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(self, df, name)
+
+    monkeypatch.setattr(jaccard.Scratch, "keep", noted)
+    for made in (jaccard.similar(spark, docs), jaccard.distinct(spark, docs)):
+        plans.append(made._jdf.queryExecution().executedPlan().toString())
+    # distinct finds its rows in the input by ``common.matched``, by Spark's own size check
+    assert len(plans) > 10 and not [p for p in plans[:-1] if "BroadcastHashJoin" in p]
