@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tamarack.functions.binding import once
+
 EARTH_M, PRECISION, NEAR_M, FAR_M = 6371008.8, 7, 50.0, 500.0
-_BASE32 = "0123456789bcdefghjkmnpqrstuvwxyz"
+_DIGITS, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "0123456789bcdefghjkmnpqrstuvwxyz"
 
 
 def valid_point(lat: Column, lng: Column) -> Column:
@@ -19,18 +21,26 @@ def geohash(lat: Column, lng: Column, precision: int = PRECISION) -> Column:
     Halving an interval n times is the binary expansion of the point's place in it, so each axis is one
     integer and a character is five of the interleaved bits. A point on a midpoint counts as below it.
     """
-    bits = 5 * precision
-    lng_bits, lat_bits = (bits + 1) // 2, bits // 2
-    place = lambda x, low, high, n: F.greatest(F.lit(0), F.ceil((x - low) / F.lit((high - low) / (1 << n))) - 1).cast("long")
-    x, y = place(lng, -180.0, 180.0, lng_bits), place(lat, -90.0, 90.0, lat_bits)
-    chars = []
-    for c in range(precision):
-        code = F.lit(0).cast("long")
-        for b in range(5 * c, 5 * c + 5):
-            value, width, i = (x, lng_bits, b // 2) if b % 2 == 0 else (y, lat_bits, b // 2)
-            code = code * 2 + F.shiftright(value, width - 1 - i).bitwiseAND(F.lit(1))
-        chars.append(F.substring(F.lit(_BASE32), (code + 1).cast("int"), F.lit(1)))
-    return F.when(valid_point(lat, lng), F.concat(*chars))
+    return F.when(valid_point(lat, lng), _cell(_column(lng, precision), _row(lat, precision), precision))
+
+
+def _spread(x: Column, low: float, high: float, n: int) -> Column:
+    """The place of ``x`` among 2 ** n equal parts, with a gap after each bit for those of the other axis."""
+    place = F.greatest(F.lit(0), F.ceil((x - low) / F.lit((high - low) / (1 << n))) - 1).cast("long")
+    return F.conv(F.bin(place), 4, 10).cast("long")
+
+
+def _column(lng: Column, precision: int) -> Column:
+    return _spread(lng, -180.0, 180.0, (5 * precision + 1) // 2)
+
+
+def _row(lat: Column, precision: int) -> Column:
+    return _spread(lat, -90.0, 90.0, 5 * precision // 2)
+
+
+def _cell(x: Column, y: Column, precision: int) -> Column:
+    code = x + 2 * y if precision % 2 else 2 * x + y
+    return F.translate(F.lpad(F.conv(code.cast("string"), 10, 32), precision, "0"), _DIGITS, _BASE32)
 
 
 def cell_size(precision: int = PRECISION) -> tuple[float, float]:
@@ -42,14 +52,16 @@ def cell_size(precision: int = PRECISION) -> tuple[float, float]:
 def neighbours(lat: Column, lng: Column, precision: int = PRECISION) -> Column:
     """The point's cell and those around it, each once, latitude clamped and longitude wrapped."""
     high, wide = cell_size(precision)
-    cells = []
-    for dy in (0, -1, 1):
-        for dx in (0, -1, 1):
-            y = F.least(F.greatest(lat + F.lit(dy * high), F.lit(-90.0)), F.lit(90.0))
-            x = lng + F.lit(dx * wide)
-            x = F.when(x > 180, x - 360).when(x < -180, x + 360).otherwise(x)
-            cells.append(geohash(y, x, precision))
-    return F.when(valid_point(lat, lng), F.array_distinct(F.array(*cells)))
+
+    def around(point: Column) -> Column:
+        lat, lng = point["lat"], point["lng"]
+        wrapped = lambda x: F.when(x > 180, x - 360).when(x < -180, x + 360).otherwise(x)
+        rows = F.transform(F.array(*[lat + F.lit(d * high) for d in (0, -1, 1)]), lambda y: _row(F.least(F.greatest(y, F.lit(-90.0)), F.lit(90.0)), precision))
+        columns = F.transform(F.array(*[lng + F.lit(d * wide) for d in (0, -1, 1)]), lambda x: _column(wrapped(x), precision))
+        cells = once(columns, lambda xs: F.transform(rows, lambda y: F.transform(xs, lambda x: _cell(x, y, precision))))
+        return F.when(valid_point(lat, lng), F.array_distinct(F.flatten(cells)))
+
+    return once(F.struct(lat.cast("double").alias("lat"), lng.cast("double").alias("lng")), around)
 
 
 def distance_m(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:

@@ -142,3 +142,29 @@ def test_records(spark):
 )
 def test_hosts_in_ascii(host, ascii_form):
     assert web._ascii(host) == ascii_form
+
+
+def test_cells_at_every_precision_name_their_point_once(spark):
+    points = [(30.2672, -97.7431), (-90.0, -180.0), (90.0, 180.0), (0.0, 0.0), (45.0, 179.9999999), (91.0, 0.0), (None, 1.0)]
+
+    def cell(lat, lng, precision):
+        bounds, out = [[-180.0, 180.0], [-90.0, 90.0]], ""
+        for c in range(precision):
+            code = 0
+            for i in range(5 * c, 5 * c + 5):
+                low, high = bounds[i % 2]
+                upper = (lng, lat)[i % 2] > (low + high) / 2
+                bounds[i % 2][0 if upper else 1] = (low + high) / 2
+                code = 2 * code + upper
+            out += "0123456789bcdefghjkmnpqrstuvwxyz"[code]
+        return out
+
+    rows = spark.createDataFrame(points, "lat double, lng double")
+    for precision in (1, 4, 7, 10):
+        got = rows.select("lat", "lng", geo.geohash(F.col("lat"), F.col("lng"), precision).alias("own"), geo.neighbours(F.col("lat"), F.col("lng"), precision).alias("around")).collect()
+        for r in got:
+            own = cell(r.lat, r.lng, precision) if r.lat is not None and abs(r.lat) <= 90 else None
+            assert r.own == own and (r.around[0] if own else r.around) == own
+    costly = spark.range(9).select(((F.col("id") * 37 % 17999) / 100 - 90).alias("lat"), F.lit(1.0).alias("lng"))
+    plan = costly.select(geo.neighbours(F.col("lat"), F.col("lng")).alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("17999") == 1
