@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tamarack.functions.binding import once
+
 # Least and greatest value of a cron line's fields in order, and the names that stand for values.
 FIELDS = (("minute", 0, 59), ("hour", 0, 23), ("day", 1, 31), ("month", 1, 12), ("weekday", 0, 7))
 NAMES = {
@@ -78,23 +80,37 @@ def with_next_fire(rows: DataFrame, cron: str, after: str, name: str = "next_fir
     are given a day counts if either holds. Seconds do not count. The session's time zone has to be UTC.
     """
     local = F.from_utc_timestamp(after, zone)
-    own = rows.withColumn("__cron", F.struct(parsed(F.col(cron)).alias("at"), F.date_trunc("minute", local).alias("last")))
-    at, last = F.col("__cron.at"), F.col("__cron.last")
+    # reading a line costs more than the search, and lines are few beside rows
+    lines = rows.select(F.col(cron).alias("__line")).distinct().select("__line", parsed(F.col("__line")).alias("__at"))
+    when = once(F.struct(F.col("__at").alias("at"), F.date_trunc("minute", local).alias("last")), lambda x: _next(x["at"], x["last"]))
+    return rows.join(lines, F.col(cron) == F.col("__line"), "left").withColumn(name, F.to_utc_timestamp(when, zone)).drop("__line", "__at")
+
+
+def _ahead(at: Column, month: Column, low: int, high: int) -> Column:
+    """The first day on which a line fires in the ``low``-th to ``high``-th month after ``month``, null for none."""
+    days = lambda m: once(F.add_months(month, m), lambda first: F.date_add(first, _first_from(_days(at, first), F.lit(1)) - 1))
+    return F.get(F.filter(F.transform(F.sequence(F.lit(low), F.lit(high)), days), lambda d: d.isNotNull()), F.lit(0))
+
+
+def _next(at: Column, last: Column) -> Column:
+    """The next time after the minute ``last`` at which a parsed line fires."""
     minute_now = _first_from(at["minute"], F.minute(last) + 1)
     hour_now = F.when(_first_from(at["hour"], F.hour(last)) == F.hour(last), minute_now)
     hour_later = _first_from(at["hour"], F.hour(last) + 1)
     month = F.trunc(last, "MM")
-    today = _first_from(_days(at, month), F.dayofmonth(last)) == F.dayofmonth(last)
     first_hour, first_minute = _first_from(at["hour"], F.lit(0)), _first_from(at["minute"], F.lit(0))
-    same_day = F.when(today, F.coalesce(F.hour(last) * 60 + hour_now, hour_later * 60 + first_minute))
-    later = _first_from(_days(at, month), F.dayofmonth(last) + 1)
-    months = F.sequence(F.lit(1), F.lit(MONTHS))
-    ahead = F.transform(months, lambda m: F.struct(F.add_months(month, m).alias("first"), _first_from(_days(at, F.add_months(month, m)), F.lit(1)).alias("day")))
-    found = F.get(F.filter(ahead, lambda x: x["day"].isNotNull()), F.lit(0))
-    day = F.when(same_day.isNotNull(), F.to_date(last)).when(later.isNotNull(), F.date_add(month, later - 1)).otherwise(F.date_add(found["first"], found["day"] - 1))
-    minutes = F.coalesce(same_day, first_hour * 60 + first_minute)
-    when = F.timestamp_seconds(F.unix_timestamp(day.cast("timestamp")) + 60 * minutes)
-    return own.withColumn(name, F.to_utc_timestamp(when, zone)).drop("__cron")
+    same_day = F.coalesce(F.hour(last) * 60 + hour_now, hour_later * 60 + first_minute)
+
+    def by_days(days: Column) -> Column:
+        today = F.call_function("shiftright", days, F.dayofmonth(last)).bitwiseAND(F.lit(1).cast("long")) == 1
+        later = _first_from(days, F.dayofmonth(last) + 1)
+        now = F.when(today, same_day)
+        # months are searched only where this one has no day left, and the far ones only where the near ones have none
+        far = F.coalesce(*[_ahead(at, month, low, high) for low, high in ((1, 2), (3, 12), (13, MONTHS))])
+        day = F.when(now.isNotNull(), F.to_date(last)).when(later.isNotNull(), F.date_add(month, later - 1)).otherwise(far)
+        return F.timestamp_seconds(F.unix_timestamp(day.cast("timestamp")) + 60 * F.coalesce(now, first_hour * 60 + first_minute))
+
+    return once(_days(at, month), by_days)
 
 
 def tick(jobs: DataFrame, now: Column, zone: str = "UTC") -> DataFrame:

@@ -76,3 +76,11 @@ def test_tick(spark):
     assert got == {"first": (False, at(2, 30)), "missed": (True, at(2, 30)), "ran": (False, at(2)), "often": (True, at(2, 30)), "broken": (False, at(1))}
     again = schedule.tick(schedule.tick(jobs, F.lit(at(2, 30))), F.lit(at(2, 31)))
     assert not any(r.due for r in again.collect())
+
+
+def test_a_line_is_read_once_not_for_each_row(spark):
+    rows = spark.range(100).selectExpr("id", "if(id % 2 = 0, '*/15 * * * *', '0 0 29 feb *') AS line", "timestamp'2024-01-01 00:07:00' AS ts")
+    df = schedule.with_next_fire(rows, "line", "ts")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" in plan and "RLIKE" not in plan[: plan.index("Join")]
+    assert {str(r.next_fire) for r in df.collect()} == {"2024-01-01 00:15:00", "2024-02-29 00:00:00"}
