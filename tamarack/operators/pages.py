@@ -102,7 +102,7 @@ CHECKS = (
     "builder string, builder_evidence string, structured_types array<string>, local_business boolean, broken_structured_data boolean, copyright_year int, copyright_open boolean, "
     "business struct<syntax: string, type: string, name: string, phone: string, street: string, locality: string, region: string, postal_code: string, country: string, address_text: string, hours: array<string>, same_as: array<string>>, "
     "businesses int, booking_flow string, booking_onward string, "
-    "copyright_evidence string, placeholder_text string, images_without_alt int, unlabelled_inputs int, scripts int, links int, js_shell boolean, lang string, html_bytes int"
+    "copyright_evidence string, placeholder_text string, images_without_alt int, unlabelled_inputs int, scripts int, links int, js_shell boolean, lang string, html_bytes int, title_markup string"
 )
 
 
@@ -129,6 +129,8 @@ class Page(HTMLParser):
         self.text: list[str] = []
         self.open: list[str] = []
         self.title: str | None = None
+        #: Where the first title begins and its text ends: line, column, and length of the tag before the text.
+        self.titled: list[tuple[int, int, int]] = []
         self.meta: dict[str, str] = {}
         self.levels: list[int] = []
         self.hrefs: list[str] = []
@@ -156,6 +158,8 @@ class Page(HTMLParser):
         self.scopes.start(tag, a)
         if tag in _SILENT or tag in ("title", "label"):
             self.open.append(tag)
+        if tag == "title" and not self.titled:
+            self.titled.append((*self.getpos(), len(written)))
         if address := a.get("src" if tag in ("iframe", "script") else "href" if tag in ("a", "link") else ""):
             self.leads.append((address.strip(), written))
         if tag == "html":
@@ -201,6 +205,8 @@ class Page(HTMLParser):
             self.inside.append((tag, click))
 
     def handle_endtag(self, tag: str) -> None:
+        if tag == "title" and len(self.titled) == 1:
+            self.titled.append((*self.getpos(), 0))
         self.scopes.end(tag)
         self.footer -= tag == "footer" and self.footer > 0
         if any(t == tag for t, _ in self.inside):
@@ -324,6 +330,11 @@ def zoom_blocked(viewport: str | None) -> str | None:
     return None
 
 
+def _place(html: str, line: int, column: int, length: int) -> int:
+    """The index of what the parser found at a line and column, and ``length`` after it; lines end at line feeds alone."""
+    return sum(len(x) + 1 for x in html.split("\n", line - 1)[: line - 1]) + column + length
+
+
 def checks_of(html: str, url: str = "", year: int = 2026) -> dict:
     page = Page()
     try:
@@ -342,6 +353,7 @@ def checks_of(html: str, url: str = "", year: int = 2026) -> dict:
     noted, open_range, line = copyright_year(text, year)
     return booking(page, markup, url) | {
         "title": " ".join((page.title or "").split()) or None,
+        "title_markup": html[slice(*[_place(html, *at) for at in page.titled])] if len(page.titled) == 2 else None,
         "meta_description": " ".join(page.meta.get("description", "").split()) or None,
         "viewport_meta": viewport is not None,
         "viewport_zoom_blocked": zoom_blocked(viewport),

@@ -580,3 +580,14 @@ def test_blocked_pairs_meet_the_first_of_a_block_only(spark):
                 want.add((record, business, k, places[record]))
         assert set(map(tuple, pairs.select("record_id", "business_id", "rank", "place").collect())) == want
     assert resolution.blocked_pairs(rows, businesses)._jdf.queryExecution().optimizedPlan().toString().count("WindowGroupLimit") == 2
+
+
+def test_title_as_written(tmp_path, spark):
+    from tamarack.plans import catalogue
+
+    got = pages.checks_of('<html>\n\n <title a="1">A &quot;b&quot;\n c &amp</title></head>\n<svg><title>q</title></svg>')
+    assert got["title_markup"] == "A &quot;b&quot;\n c &amp" and got["title"].startswith('A "b" c &')
+    assert pages.checks_of("<p>x")["title_markup"] is None and pages.checks_of("<svg>\n<title>&lt;</title>")["title_markup"] == "&lt;"
+    spark.createDataFrame([(1, "https://a.com", "<title>Say &quot;a&quot; &lt;b&gt;\n&amp</title>"), (2, "https://b.com", "<p>")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    rows = catalogue.QUERIES["page_audit"](spark, str(tmp_path)).select("page_id", "title").collect()
+    assert sorted(map(tuple, rows)) == [(1, "Say &quot;a&quot; <b> &amp"), (2, "")]
