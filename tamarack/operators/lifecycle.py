@@ -188,11 +188,13 @@ def lead_records(businesses: DataFrame, approved: DataFrame, origin: DataFrame,
     """The 25 columns of a lead: one row for each business with an approved opportunity.
 
     ``approved``: (business_id, service_name, score, reason, decided_at, decided_by, note); ``origin``:
-    (business_id, source, source_url, priority, first_discovered_at); ``suppressed``: (business_id).
+    (business_id, source, source_url, priority, first_discovered_at), if known with record_id, whose least one
+    breaks ties, then source and source_url; ``suppressed``: (business_id).
     """
     row = F.struct((-F.col("score")).alias("s"), "service_name", "reason", "decided_at", "decided_by", "note")
-    sold = approved.groupBy("business_id").agg(F.array_sort(F.collect_list(row)).alias("rows"), F.max("score").alias("score"), F.max_by(F.struct("decided_at", "decided_by", "note"), "decided_at").alias("last"))
-    came = origin.groupBy("business_id").agg(F.min_by(F.struct("source", "source_url"), F.struct("priority", "first_discovered_at")).alias("o"), F.min("first_discovered_at").alias("since"))
+    sold = approved.groupBy("business_id").agg(F.array_sort(F.collect_list(row)).alias("rows"), F.max("score").alias("score"), F.max(F.when(F.col("decided_at").isNotNull(), F.struct("decided_at", "decided_by", "note"))).alias("last"))
+    first = F.struct("priority", "first_discovered_at", *[c for c in ("record_id",) if c in origin.columns], "source", "source_url")
+    came = origin.groupBy("business_id").agg(F.min_by(F.struct("source", "source_url"), first).alias("o"), F.min("first_discovered_at").alias("since"))
     out = businesses.join(sold, "business_id").join(came, "business_id", "left").join(suppressed.select("business_id", F.lit(True).alias("dnc")).distinct(), "business_id", "left")
     part = lambda c: F.transform("rows", lambda r: r[c])
     nothing = F.lit(None).cast("string")
