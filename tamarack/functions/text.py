@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -45,6 +46,7 @@ def normalize_name(raw: Column) -> Column:
 _VOWELS = set("aeiou")
 
 
+@lru_cache(1 << 16)
 def metaphone(word: str) -> str:
     """The classic metaphone code of one word of ASCII letters, by the published rules."""
     w = re.sub(r"(.)\1+", lambda m: m[0] if m[1] == "c" else m[1], "".join(c for c in word.lower() if "a" <= c <= "z"))
@@ -166,8 +168,11 @@ def token_set(a: str | None, b: str | None) -> float:
     both, one, two = (" ".join(sorted(s)) for s in (x & y, x - y, y - x))
     if both and (not one or not two):
         return 100.0
-    left, right = f"{both} {one}".strip(), f"{both} {two}".strip()
-    return max(ratio(left, right), *((ratio(both, left), ratio(both, right)) if both else (0.0,)))
+    # both rests stand after the same words, so only what the rests share is searched for
+    n = len(both) + 1 if both else 0
+    left, right = n + len(one), n + len(two)
+    whole = 200 * (n + _common(one, two)) / (left + right)
+    return max(whole, 200 * len(both) / (len(both) + min(left, right))) if both else whole
 
 
 @pandas_udf(DoubleType())

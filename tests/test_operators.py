@@ -87,6 +87,66 @@ def test_resolution_in_windows_as_one_by_one(spark, seed, hub, how):
     assert got == want and len({d for _, _, d in got[0]}) == 3
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_replay_decides_as_if_all_pairs_were_scored(seed, monkeypatch):
+    import random
+
+    import pandas as pd
+
+    rng = random.Random(seed)
+    names = ("record_id", "seq", "domain", "phone", "name", "name_key", "postal", "street", "lat", "lng")
+    place = lambda: rng.choice([(None, None), (30 + rng.randrange(9) * 0.0007, -97 + rng.randrange(9) * 0.0007)])
+    rows = [dict.fromkeys(names) | r | dict(zip(("lat", "lng"), place())) | {"seq": i} for i, r in enumerate(listings(rng, 400, True))]
+    frame = pd.DataFrame(rows)[list(names)].assign(source_rank=0, observed_at=[float(rng.randrange(5)) for _ in rows])
+    frame = frame.astype({c: "object" for c in ("domain", "phone", "name_key", "postal", "street")}).where(lambda x: x.notna(), None)
+
+    def every_pair(known, r):
+        rank = lambda b: min((k for k, key in resolution._keys(r) if key in {own for _, own in resolution._keys(b, own=True)}), default=9)
+        met = sorted((rank(b), b["created"], at) for at, b in enumerate(known.made))
+        met = [at for k, _, at in met if k < 3 or k == 3 and resolution.text.token_set(r["name"], known.made[at]["name"]) >= resolution.BLOCK_NAME][: resolution.CANDIDATES]
+        assert known.near(r) == met
+        differ = lambda b, c: r[c] and b[c] and r[c] != b[c]
+        ranked = sorted(((resolution._pair(r, b), at) for at in met if not (differ(b := known.made[at], "domain") and differ(b, "phone"))), key=lambda x: -x[0][0])
+        if ranked and ranked[0][0][0] >= 0.85 and ranked[0][0][1]:
+            return "auto_merge", ranked[0][1]
+        return ("review" if any(p[2] for p, _ in ranked) else "new"), None
+
+    told, decide = [], resolution._Businesses.decide
+
+    def both(known, r):
+        told.append((decide(known, r), every_pair(known, r)))
+        return told[-1][0]
+
+    monkeypatch.setattr(resolution._Businesses, "decide", both)
+    resolution._replay(frame)
+    assert len(told) == 400 and all(a == b for a, b in told) and len({a[0] for a, _ in told}) == 3
+
+
+def test_replay_compares_few_names(monkeypatch):
+    import pandas as pd
+
+    n, compared, common = 2000, [], resolution.text._common
+    monkeypatch.setattr(resolution.text, "_common", lambda a, b: compared.append(1) or common(a, b))
+    one = lambda i: {"record_id": i, "seq": i, "domain": None, "phone": f"+1{i % 10}", "name": f"few names {i}", "name_key": "FN", "postal": str(i % 40), "street": f"{i} main street", "lat": None, "lng": None, "source_rank": 0, "observed_at": 0.0}
+    done = resolution._replay(pd.DataFrame([one(i) for i in range(n)]))
+    # the same phone is to be reviewed whatever the names are
+    assert (done[done["kind"] == "decision"]["decision"] == "review").sum() == n - 10 and len(compared) <= n // 10
+
+
+def test_windows_write_few_tables(spark, monkeypatch):
+    from tamarack.scratch import Scratch
+
+    written, keep = [], Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name: written.append(name) or keep(self, df, name))
+    df = records(spark, [{"record_id": i, "phone": f"+1{i % 3}", "domain": "a.com", "name": f"shop {i}"} for i in range(60)])
+    tables = []
+    for window in (30, 10):
+        written.clear()
+        assert in_spark(spark, df, whole=0, window=window) == one_by_one(df)
+        tables.append(len(written))
+    assert tables[1] - tables[0] <= 3 * 4, written  # four windows more
+
+
 def test_shown_values_equal_a_full_recompute(spark):
     import random
 
